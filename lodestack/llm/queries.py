@@ -6,7 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.common import table
-from lodestack.llm import contamination, split, tokens
+from lodestack.llm import contamination, functions, secrets, split, syntax, tokens
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_lines(table(spark, sf_dir, "file_entries"))
+
+
+def p1_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The masked content of every entry with a secret."""
+    return secrets.mask_secrets(table(spark, sf_dir, "file_entries"))
+
+
+def p1_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings and entries by type of secret."""
+    found = secrets.find_secrets(table(spark, sf_dir, "file_entries"))
+    return found.groupBy("secret_type").agg(F.count("*").alias("n_findings"), F.count_distinct("entry_id").alias("n_entries"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +39,15 @@ def p3_tokenizer_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.budget_by_slice(budget, table(spark, sf_dir, "exports")).withColumnRenamed("estimated_tokens", "tokens")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.invalid_entries(table(spark, sf_dir, "file_entries"), table(spark, sf_dir, "languages")).select("entry_id").distinct()
+
+
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of unreadable entries by repository and language."""
+    return syntax.invalid_rates(table(spark, sf_dir, "file_entries"), table(spark, sf_dir, "languages"))
+
+
 def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every oversized entry."""
     return split.split_oversized(table(spark, sf_dir, "file_entries"), table(spark, sf_dir, "exports"))
@@ -33,6 +57,15 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_pieces(spark, sf_dir).select("entry_id").distinct()
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return functions.documented_functions(table(spark, sf_dir, "file_entries"), table(spark, sf_dir, "languages"))
+
+
+def p7_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every documented function with its code and documentation."""
+    return functions.function_pairs(table(spark, sf_dir, "file_entries"), table(spark, sf_dir, "languages"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -44,11 +77,18 @@ def p9_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_masked": p1_masked,
+    "p1_types": p1_types,
     "p3_found": p3_found,
     "p3_budget_by_source": p3_budget_by_source,
     "p3_tokenizer_budget": p3_tokenizer_budget,
+    "p5_found": p5_found,
+    "p5_rates": p5_rates,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
+    "p7_found": p7_found,
+    "p7_pairs": p7_pairs,
     "p9_found": p9_found,
     "p9_leaked_items": p9_leaked_items,
 }
