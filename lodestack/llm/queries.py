@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.common import table
-from lodestack.llm import contamination, functions, secrets, split, syntax, tokens
+from lodestack.llm import contamination, functions, handwritten, secrets, split, syntax, tokens
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,15 @@ def p1_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("secret_type").agg(F.count("*").alias("n_findings"), F.count_distinct("entry_id").alias("n_entries"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return handwritten.not_handwritten(table(spark, sf_dir, "file_entries")).select("entry_id")
+
+
+def p2_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries that were not written by hand, by kind."""
+    return handwritten.not_handwritten(table(spark, sf_dir, "file_entries")).groupBy("kind").agg(F.count("*").alias("n_entries"), F.count_distinct("cluster").alias("n_clusters"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_budget(table(spark, sf_dir, "file_entries"), table(spark, sf_dir, "languages"))
 
@@ -80,6 +89,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_masked": p1_masked,
     "p1_types": p1_types,
+    "p2_found": p2_found,
+    "p2_kinds": p2_kinds,
     "p3_found": p3_found,
     "p3_budget_by_source": p3_budget_by_source,
     "p3_tokenizer_budget": p3_tokenizer_budget,
