@@ -34,7 +34,7 @@ _NOT_NAMES = "if|for|while|switch|catch|function|return|new|else|do|try|throw|aw
 _SCRIPT_HEAD = re.compile(
     rf"^[ \t]*(?:(?:export[ \t]+)?(?:default[ \t]+)?(?:declare[ \t]+)?(?:async[ \t]+)?function\b\s*\*?\s*(?P<f>[\w$]+)\s*(?:<[^\n(]*>\s*)?\("
     rf"|(?:export[ \t]+)?const[ \t]+(?P<a>[\w$]+)\s*(?::[^=\n]+(?:=>[^=\n]+)?)?=\s*(?:async\b\s*)?(?:function\b\s*\*?\s*[\w$]*\s*{_ARGS}[^{{;=]*\{{|(?:<[^\n(]*>\s*)?(?:{_ARGS}|[\w$]+)\s*(?::[^={{;]+)?=>\s*\{{)"
-    rf"|(?:(?:public|private|protected|static|async|get|set|override|readonly|abstract)\s+)*\*?\s*(?!(?:{_NOT_NAMES})\b)(?P<m>\#?[\w$]+)\s*(?:<[^\n(]*>\s*)?{_ARGS}\s*(?::[^={{;]+)?\{{)",
+    rf"|(?:(?:public|private|protected|static|async|get|set|override|readonly|abstract)[ \t]+)*(?:\*[ \t]*)?(?!(?:{_NOT_NAMES})\b)(?P<m>\#?[\w$]+)[ \t]*(?:<[^\n(]*>[ \t]*)?{_ARGS}\s*(?::[^={{;]+)?\{{)",
     re.MULTILINE,
 )
 _JAVA_HEAD = re.compile(
@@ -62,8 +62,11 @@ class _Lines:
         return bisect_right(self.ends, at - 1) + 1
 
 
-def tokens(language: str, text: str) -> list[tuple[int, str, int, int, str | None]]:
-    """``(position, kind, first line, last line, text)`` of the structural tokens, in order; nothing without a function."""
+def tokens(language: str, text: str, blocks: bool = True) -> list[tuple[int, str, int, int, str | None]]:
+    """``(position, kind, first line, last line, text)`` of the structural tokens, in order; nothing without a function.
+
+    The brackets of blocks are left out unless ``blocks``.
+    """
     lines = _Lines(text)
     out: list[tuple[int, str, int, int, str | None]] = []
 
@@ -75,11 +78,12 @@ def tokens(language: str, text: str) -> list[tuple[int, str, int, int, str | Non
                 out.append((start, COMMENT if piece.startswith("/*") else LINE_COMMENT, lines.of(start), lines.of(m.end() - 1), piece))
         elif "k" in m.re.groupindex and m["k"] is not None:
             return m["k"] + _blank(piece[len(m["k"]) :])
-        return _blank(piece)
+            return _blank(piece)
+        return _blank(piece) if language == "python" or m["c"] is not None else re.sub(r"[^\n]", '"', piece)
 
     blank = _SKIPS[language].sub(skip, text)
     if language == "python":
-        return _python_tokens(text, blank, lines)
+        return _python_tokens(text, blank, lines, blocks)
     heads = []
     for m in _HEADS[language].finditer(blank):
         name = m.lastgroup
@@ -91,12 +95,13 @@ def tokens(language: str, text: str) -> list[tuple[int, str, int, int, str | Non
     out += heads
     if language in ("java", "typescript", "javascript"):
         out += [(m.start(), ANNOTATION, lines.of(m.start() + len(m.group()) - len(m.group().lstrip())), lines.of(m.end() - 1 if m.end() > m.start() else m.start()), None) for m in _NOTE.finditer(blank)]
-    out += [(m.start(), m.group(), line := lines.of(m.start()), line, None) for m in _BRACE.finditer(blank)]
+    if blocks:
+        out += [(m.start(), m.group(), line := lines.of(m.start()), line, None) for m in _BRACE.finditer(blank)]
     out.sort(key=lambda t: t[0])
     return out
 
 
-def _python_tokens(text: str, blank: str, lines: _Lines) -> list[tuple[int, str, int, int, str | None]]:
+def _python_tokens(text: str, blank: str, lines: _Lines, blocks: bool) -> list[tuple[int, str, int, int, str | None]]:
     out: list[tuple[int, str, int, int, str | None]] = []
     for m in _PYTHON_HEAD.finditer(blank):
         at = m.start("f")
@@ -116,6 +121,8 @@ def _python_tokens(text: str, blank: str, lines: _Lines) -> list[tuple[int, str,
             out.append((doc.start(1), DOCSTRING, lines.of(doc.start(1)), lines.of(doc.end(1) - 1), doc.group(1)))
     if not any(t[1] == DOCSTRING for t in out):
         return []
+    if not blocks:
+        return out
     indents, depth, at, previous, joined = [0], 0, 0, 0, False
     number = 0
     for line, original in zip(blank.split("\n"), text.split("\n"), strict=True):
@@ -144,15 +151,21 @@ def _python_tokens(text: str, blank: str, lines: _Lines) -> list[tuple[int, str,
 TOKEN = "copy long, entry_id long, lang string, ord int, kind string, delta int, first_line int, last_line int, text string"
 
 
-def _lex(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _near(found: list[tuple[int, str, int, int, str | None]]) -> bool:
+    """Whether a comment of some words ends directly above a function or an annotation, or there is a docstring."""
+    starts = {t[2] for t in found if t[1] in (FUNCTION, ANNOTATION)}
+    return any(t[1] == DOCSTRING or (t[1] in (COMMENT, LINE_COMMENT) and t[3] + 1 in starts) for t in found)
+
+
+def _lex(batches: Iterator[pa.RecordBatch], blocks: bool) -> Iterator[pa.RecordBatch]:
     warnings.simplefilter("ignore")
     types = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
     names = [part.split()[0] for part in TOKEN.split(", ")]
     for batch in batches:
         columns: list[list] = [[] for _ in types]
         for copy, entry, language, text in zip(*(batch.column(n).to_pylist() for n in ("copy", "entry_id", "lang", "content")), strict=True):
-            found = tokens(language, text)
-            if not any(t[1] in (COMMENT, LINE_COMMENT, DOCSTRING) for t in found) or judge(language, text) is not None:
+            found = tokens(language, text, blocks)
+            if not _near(found) or judge(language, text) is not None:
                 continue
             n = len(found)
             _, kinds, first, last, texts = zip(*found, strict=True)
@@ -161,11 +174,11 @@ def _lex(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
-def function_tokens(entries: DataFrame, languages: DataFrame) -> DataFrame:
-    """One row per structural token of the valid entries that have a function and a comment. ``copy`` tells repeated rows apart."""
+def function_tokens(entries: DataFrame, languages: DataFrame, blocks: bool = True) -> DataFrame:
+    """One row per structural token of the valid entries that have a commented function. ``copy`` tells repeated rows apart."""
     texts = with_language(entries.where("content is not null").select("entry_id", "path", "language", "content"), languages)
     known = texts.where(F.col("lang").isin(*LANGUAGES)).select(F.monotonically_increasing_id().alias("copy"), "entry_id", "lang", "content")
-    return known.mapInArrow(_lex, TOKEN)
+    return known.mapInArrow(lambda batches: _lex(batches, blocks), TOKEN)
 
 
 _MARKS = r"^[\s/*#]+|[\s*/]+$"
@@ -227,7 +240,7 @@ def documented_functions(entries: DataFrame, languages: DataFrame, least_words:
 
     Entries that are null, empty, of other languages or not valid in theirs have none; repeated rows count once.
     """
-    return documented(function_tokens(entries, languages), least_words).select("entry_id", "line_start", "name").distinct()
+    return documented(function_tokens(entries, languages, blocks=False), least_words).select("entry_id", "line_start", "name").distinct()
 
 
 def function_pairs(entries: DataFrame, languages: DataFrame, least_words: int = 4) -> DataFrame:
