@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.common import table
-from lodestack.llm import contamination, functions, handwritten, secrets, split, syntax, tokens
+from lodestack.llm import contamination, functions, handwritten, packing, secrets, split, syntax, tokens
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +75,16 @@ def p7_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return functions.function_pairs(table(spark, sf_dir, "file_entries"), table(spark, sf_dir, "languages"))
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one container of each kind."""
+    return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, tokens and unused share of each kind."""
+    return packing.fill(p8_containers(spark, sf_dir), table(spark, sf_dir, "containers"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -100,6 +110,8 @@ QUERIES = {
     "p6_pieces": p6_pieces,
     "p7_found": p7_found,
     "p7_pairs": p7_pairs,
+    "p8_containers": p8_containers,
+    "p8_fill": p8_fill,
     "p9_found": p9_found,
     "p9_leaked_items": p9_leaked_items,
 }
