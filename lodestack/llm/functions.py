@@ -29,7 +29,7 @@ _SCRIPT_SKIP = re.compile(
 )
 _JAVA_SKIP = re.compile(r"(?P<c>//[^\n]*|/\*[\s\S]*?\*/)|\"{3}[\s\S]*?\"{3}|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)+'")
 _BASH_SKIP = re.compile(r"(?P<c>(?<![^\s;|&()])#[^\n]*)|(?<!<)<<-?[ \t]*([\"']?)(\w+)\2[^\n]*\n(?:[\s\S]*?\n)?[ \t]*\3(?=\r?\n|\Z)|\"(?:[^\"\\]|\\[\s\S])*\"|'[^']*'|\$\{[^}]*\}|\\.")
-_PYTHON_SKIP = re.compile(r"(?P<c>#[^\n]*)|(?:\b[rRbBuUfF]{1,2})?(?:\"{3}(?:[^\\]|\\[\s\S])*?\"{3}|'{3}(?:[^\\]|\\[\s\S])*?'{3}|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*')")
+_PYTHON_SKIP = re.compile(r"(?P<c>#[^\n]*)|(?:\"{3}(?:[^\\]|\\[\s\S])*?\"{3}|'{3}(?:[^\\]|\\[\s\S])*?'{3}|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*')")
 _NOT_NAMES = "if|for|while|switch|catch|function|return|new|else|do|try|throw|await|typeof|with|super|synchronized|case|assert|yield|class|instanceof"
 _SCRIPT_HEAD = re.compile(
     rf"^[ \t]*(?:(?:export[ \t]+)?(?:default[ \t]+)?(?:declare[ \t]+)?(?:async[ \t]+)?function\b\s*\*?\s*(?P<f>[\w$]+)\s*(?:<[^\n(]*>\s*)?\("
@@ -43,6 +43,7 @@ _JAVA_HEAD = re.compile(
 )
 _BASH_HEAD = re.compile(r"^[ \t]*(?:function[ \t]+(?P<f>[^\s(){};|&<>]+)(?:[ \t]*\([ \t]*\))?|(?P<m>[^\s(){};|&<>=]+)[ \t]*\([ \t]*\))\s*(?=[{(])", re.MULTILINE)
 _PYTHON_HEAD = re.compile(r"^[ \t]*(?:async[ \t]+)?def[ \t]+(?P<f>\w+)", re.MULTILINE)
+_PYTHON_HEADER = re.compile(r"\s*\((?:[^()\[\]{}:]|\[[^()\[\]{}]*\]|:)*\)\s*(?:->[^:\n()\[\]{}]*(?:\[[^()\[\]{}]*\])?[^:\n()\[\]{}]*)?:")
 _NOTE = re.compile(rf"^[ \t]*@[A-Za-z_][\w.]*(?:{_ARGS})?[ \t]*\r?$", re.MULTILINE)
 _HEADS = {"javascript": _SCRIPT_HEAD, "typescript": _SCRIPT_HEAD, "java": _JAVA_HEAD, "bash": _BASH_HEAD}
 _SKIPS = {"javascript": _SCRIPT_SKIP, "typescript": _SCRIPT_SKIP, "java": _JAVA_SKIP, "bash": _BASH_SKIP, "python": _PYTHON_SKIP}
@@ -68,22 +69,22 @@ def tokens(language: str, text: str, blocks: bool = True) -> list[tuple[int, str
     The brackets of blocks are left out unless ``blocks``.
     """
     lines = _Lines(text)
+    if language == "python":
+        return _python_tokens(text, _PYTHON_SKIP.sub(lambda m: _blank(m.group()), text), lines, blocks) if "def " in text or "def\t" in text else []
     out: list[tuple[int, str, int, int, str | None]] = []
 
     def skip(m: re.Match) -> str:
         piece = m.group()
-        if m["c"] is not None and language != "python":
+        if m["c"] is not None:
             start = m.start()
             if not text[text.rfind("\n", 0, start) + 1 : start].strip() and not (language == "bash" and start == 0 and piece.startswith("#!")):
                 out.append((start, COMMENT if piece.startswith("/*") else LINE_COMMENT, lines.of(start), lines.of(m.end() - 1), piece))
         elif "k" in m.re.groupindex and m["k"] is not None:
             return m["k"] + _blank(piece[len(m["k"]) :])
             return _blank(piece)
-        return _blank(piece) if language == "python" or m["c"] is not None else re.sub(r"[^\n]", '"', piece)
+        return _blank(piece) if m["c"] is not None else '"' * len(piece) if "\n" not in piece else re.sub(r"[^\n]", '"', piece)
 
     blank = _SKIPS[language].sub(skip, text)
-    if language == "python":
-        return _python_tokens(text, blank, lines, blocks)
     heads = []
     for m in _HEADS[language].finditer(blank):
         name = m.lastgroup
@@ -107,6 +108,8 @@ def _python_tokens(text: str, blank: str, lines: _Lines, blocks: bool) -> list[t
         at = m.start("f")
         line = lines.of(at)
         depth, p = 0, m.end()
+        if plain := _PYTHON_HEADER.match(blank, p):
+            p = plain.end() - 1
         while p < len(blank):
             c = blank[p]
             if c in "([{":

@@ -15,6 +15,11 @@ _REDIRECT = re.compile(r"(?:\d+|\{\w+\})?(?:<<<|<<-?|<&|<>|>>|>&|>\||&>>|&>|<|>)
 _OPERATOR = re.compile(r"&&|\|\||;;&|;;|;&|\|&|[;|&\n]")
 _NAME = re.compile(r"[A-Za-z_]\w*")
 _OPEN = {"if": "then", "while": "do", "until": "do"}
+_WORD = re.compile(r"[^\s;|&()<>\"'`$\\]+")
+_CHAIN = re.compile(r"&&|\|\||\|&?(?!\|)")
+_TEST_END = re.compile(r"\s\]\](?=[\s;|&)]|$)")
+_FUNCTION = re.compile(r"[^\s()<>|&;\"'`$]+")
+_CALL_LIKE = re.compile(r"[^\s()<>|&;\"'`$=]+[ \t]*\([ \t]*\)")
 _ASSIGN = re.compile(r"[A-Za-z_]\w*(?:\[[^\]]*\])?\+?=$")
 
 
@@ -187,7 +192,7 @@ class _Shell:
 
     def keyword(self) -> str:
         """The word at this place, if it is plain; nothing is read."""
-        m = re.compile(r"[^\s;|&()<>\"'`$\\]+").match(self.t, self.p)
+        m = _WORD.match(self.t, self.p)
         return m.group() if m and (m.end() == len(self.t) or self.t[m.end()] in " \t\r\n;|&()<>") else ""
 
     def expect(self, word: str) -> None:
@@ -218,7 +223,7 @@ class _Shell:
             self.pipeline()
             count += 1
             self.space()
-            while m := re.compile(r"&&|\|\||\|&?(?!\|)").match(self.t, self.p):
+            while m := _CHAIN.match(self.t, self.p):
                 self.p = m.end()
                 self.lines()
                 self.pipeline()
@@ -334,7 +339,7 @@ class _Shell:
                 if self.list_(";; esac") == ";;":
                     self.p += 3 if t.startswith(";;&", self.p) else 2
         if word == "[[":
-            end = re.compile(r"\s\]\](?=[\s;|&)]|$)").search(t, self.p)
+            end = _TEST_END.search(t, self.p)
             if not end:
                 self.fail("]] is missing")
             self.p = end.end()
@@ -342,7 +347,7 @@ class _Shell:
         if word == "function":
             self.p += 8
             self.space()
-            if not (m := re.compile(r"[^\s()<>|&;\"'`$]+").match(t, self.p)):
+            if not (m := _FUNCTION.match(t, self.p)):
                 self.fail("name of a function")
             self.p = m.end()
             self.space()
@@ -356,7 +361,7 @@ class _Shell:
         if word in ("then", "do", "done", "fi", "else", "elif", "esac", "}", "in", "]]"):
             if word not in ("in", "]]"):
                 self.fail(f"unexpected {word}")
-        if m := re.compile(r"[^\s()<>|&;\"'`$=]+[ \t]*\([ \t]*\)").match(t, self.p):
+        if m := _CALL_LIKE.match(t, self.p):
             self.p = m.end()
             return self.function_body()
         count = 0

@@ -7,6 +7,7 @@ failure everywhere a damaged file.
 
 from __future__ import annotations
 
+import _symtable
 import json
 import re
 import tomllib
@@ -22,8 +23,35 @@ from lodestack.llm.grammar import css, java, script, shell
 from lodestack.llm.grammar.brackets import Invalid
 
 
+_SCOPES = re.compile(r"^([ \t]*)(def|async def|class|return|for|while|else|break|continue)\b", re.MULTILINE)
+#: Words at which the compiler may find what parser and symbol table let pass.
+_COMPILER_ONLY = ("await", "async for", "async with", "yield", "nonlocal", "__future__", "__debug__", "except:", "except :", ", *")
+
+
+def _jumps_inside(text: str) -> bool:
+    """Whether every line that begins with ``return``, ``break`` or ``continue`` surely lies within a function or a loop."""
+    stack: list[tuple[int, str]] = []
+    for m in _SCOPES.finditer(text):
+        width, word = len(m[1].expandtabs(8)), m[2]
+        while stack and stack[-1][0] >= width:
+            stack.pop()
+        if word == "return":
+            if next((w for _, w in reversed(stack) if w in ("def", "async def", "class")), "class") == "class":
+                return False
+        elif word in ("break", "continue"):
+            if next((w for _, w in reversed(stack) if w != "else"), "class") not in ("for", "while"):
+                return False
+        else:
+            stack.append((width, word))
+    return True
+
+
 def _python(text: str) -> None:
-    compile(text, "entry", "exec", dont_inherit=True)  # without its result; the compiler finds what the parser lets pass
+    """The parser and the symbol table reject most; the compiler is asked only about what it alone would reject."""
+    if any(word in text for word in _COMPILER_ONLY) or not _jumps_inside(text):
+        compile(text, "entry", "exec", dont_inherit=True)
+    else:
+        _symtable.symtable(text, "entry", "exec")
 
 
 def _no_constant(name: str) -> None:
