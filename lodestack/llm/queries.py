@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.common import table
-from lodestack.llm import contamination, functions, handwritten, packing, secrets, split, syntax, tokens
+from lodestack.llm import contamination, functions, handwritten, packing, secrets, split, subjects, syntax, tokens
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +95,15 @@ def p9_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_found(spark, sf_dir).join(sources, "doc_id").groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_documents"), F.count_distinct("source").alias("n_sources"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.assign_subjects(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subjects")).select("doc_id", "subject")
+
+
+def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The make-up of the corpus: documents by source and subject."""
+    return subjects.composition(p10_found(spark, sf_dir), table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_masked": p1_masked,
@@ -114,6 +123,8 @@ QUERIES = {
     "p8_fill": p8_fill,
     "p9_found": p9_found,
     "p9_leaked_items": p9_leaked_items,
+    "p10_found": p10_found,
+    "p10_composition": p10_composition,
 }
 
 _ENTRIES = r"""
