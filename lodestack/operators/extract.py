@@ -287,18 +287,21 @@ def _top_level(body: str) -> list[str]:
     return [x for x in [*out, "".join(part).strip()] if x]
 
 
+def _created(statement: str) -> re.Match | None:
+    """The last part of the name of the table that a statement creates."""
+    m = _CREATE.match(statement)
+    name = m and _IDENTIFIER.match(statement, m.end())
+    while name and statement[name.end() : name.end() + 1] == "." and (further := _IDENTIFIER.match(statement, name.end() + 1)):
+        name = further
+    return name
+
+
 def tables_of(text: str) -> list[tuple]:
     """``(table_name, position, column_name, data_type, nullable, default_value, is_primary_key)``; a table without a readable body has one row of nulls."""
     out: list[tuple] = []
     for statement in sql_statements(text):
-        m = _CREATE.match(statement)
-        name = m and _IDENTIFIER.match(statement, m.end())
-        if not name:
+        if not (name := _created(statement)):
             continue
-        full = name
-        while full and statement[full.end() : full.end() + 1] == ".":
-            full = _IDENTIFIER.match(statement, full.end() + 1)
-            name = full or name
         table = next(g for g in name.groups() if g is not None)
         start, end = statement.find("(", name.end()), statement.rfind(")")
         rows = []
@@ -330,8 +333,7 @@ def foreign_keys_of(text: str) -> list[tuple]:
     rule = re.compile(rf"foreign\s+key\s*\(\s*{ident}[^)]*\)\s*references\s+{ident}\s*(?:\(\s*{ident}[^)]*\))?([^,]*)", re.IGNORECASE)
     out = []
     for statement in sql_statements(text):
-        m = _CREATE.match(statement)
-        name = m and _IDENTIFIER.match(statement, m.end())
+        name = _created(statement)
         for fk in rule.finditer(statement) if name else ():
             actions = {a.lower(): b.upper() for a, b in re.findall(r"on\s+(delete|update)\s+(cascade|restrict|set\s+null|set\s+default|no\s+action)", fk.group(4), re.IGNORECASE)}
             out.append((next(g for g in name.groups() if g is not None), fk.group(1), fk.group(2), fk.group(3), actions.get("delete"), actions.get("update")))
