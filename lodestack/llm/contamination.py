@@ -86,17 +86,17 @@ def _probe(index: WindowIndex):
 def leaked(documents: DataFrame, items: DataFrame, window: int = 12) -> DataFrame:
     """``doc_id, item_id`` of every document that holds ``window`` or more consecutive words of the item's passage.
 
-    Null texts and passages hold no words; repeated rows give a pair once; empty tables give no rows. The items are a
+    Null texts and passages hold no words, rows without id give no pair; repeated rows give a pair once; empty tables give no rows. The items are a
     fixed test set: they are read to the driver behind a check of their size. Of the documents only the counts of words
     that occur in items are gathered, over the whole corpus.
     """
-    held = items.where("passage is not null").select("item_id", "passage")
+    held = items.where("item_id is not null and passage is not null").select("item_id", "passage")
     size = held.agg(F.sum(F.octet_length("passage"))).first()[0] or 0
     if size > MAX_ITEM_CHARS:
         raise ValueError(f"{size} bytes of passages; join them in parts of at most {MAX_ITEM_CHARS}")
     passages = [(item, found) for item, passage in held.collect() if len(found := words(passage)) >= window]
     spark = documents.sparkSession
-    texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
+    texts = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
     vocabulary = frozenset(w for _, passage in passages for w in passage)
     count = dict(texts.select("text").mapInPandas(_count_known(vocabulary), "word string, n long").groupBy("word").agg(F.sum("n")).collect()) if vocabulary else {}
     shared = spark.sparkContext.broadcast(WindowIndex(passages, count, window))

@@ -37,6 +37,7 @@ _SCRIPT_HEAD = re.compile(
     rf"|(?:(?:public|private|protected|static|async|get|set|override|readonly|abstract)[ \t]+)*(?:\*[ \t]*)?(?!(?:{_NOT_NAMES})\b)(?P<m>\#?[\w$]+)[ \t]*(?:<[^\n(]*>[ \t]*)?{_ARGS}\s*(?::[^={{;]+)?\{{)",
     re.MULTILINE,
 )
+_AFTER_NAME = re.compile(_ARGS + r"\s*(?::\s*(?:\{[^{}]*\}|[^{};])*)?\{")
 _JAVA_HEAD = re.compile(
     rf"^[ \t]*(?:@[\w.]+(?:{_ARGS})?[ \t]+)*(?:(?:public|protected|private|static|final|abstract|synchronized|native|default|strictfp)\s+)*(?:<[^\n(]*>\s*)?(?!(?:{_NOT_NAMES})\b)[\w$.]+(?:<[^;(){{}}=]*>)?(?:\[\])*\s+(?!(?:{_NOT_NAMES})\b)(?P<m>[\w$]+)\s*{_ARGS}\s*(?:throws\s+[\w$.,\s]+)?[{{;]",
     re.MULTILINE,
@@ -85,19 +86,24 @@ def tokens(language: str, text: str, blocks: bool = True) -> list[tuple[int, str
         return _blank(piece) if m["c"] is not None else '"' * len(piece) if "\n" not in piece else re.sub(r"[^\n]", '"', piece)
 
     blank = _SKIPS[language].sub(skip, text)
-    heads = []
+    heads, headers = [], []
     for m in _HEADS[language].finditer(blank):
         name = m.lastgroup
         at = m.start(name)
         first = m.start() + len(m.group()) - len(m.group().lstrip())
         heads.append((first, FUNCTION, lines.of(first), lines.of(at), m[name].lstrip("#")))
+        if blocks:  # brackets within the header are no blocks
+            body = _AFTER_NAME.match(blank, m.end() - 1) if blank[m.end() - 1] == "(" else None
+            headers.append((m.start(), (body or m).end() - (1 if blank[(body or m).end() - 1] == "{" else 0)))
     if not heads:
         return []
     out += heads
     if language in ("java", "typescript", "javascript"):
         out += [(m.start(), ANNOTATION, lines.of(m.start() + len(m.group()) - len(m.group().lstrip())), lines.of(m.end() - 1 if m.end() > m.start() else m.start()), None) for m in _NOTE.finditer(blank)]
     if blocks:
-        out += [(m.start(), m.group(), line := lines.of(m.start()), line, None) for m in _BRACE.finditer(blank)]
+        starts = [start for start, _ in headers]
+        inside = lambda at: (k := bisect_right(starts, at)) > 0 and at < headers[k - 1][1]
+        out += [(m.start(), m.group(), line := lines.of(m.start()), line, None) for m in _BRACE.finditer(blank) if not inside(m.start())]
     out.sort(key=lambda t: t[0])
     return out
 
@@ -179,7 +185,7 @@ def _lex(batches: Iterator[pa.RecordBatch], blocks: bool) -> Iterator[pa.RecordB
 
 def function_tokens(entries: DataFrame, languages: DataFrame, blocks: bool = True) -> DataFrame:
     """One row per structural token of the valid entries that have a commented function. ``copy`` tells repeated rows apart."""
-    texts = with_language(entries.where("content is not null").select("entry_id", "path", "language", "content"), languages)
+    texts = with_language(entries.where("entry_id is not null and content is not null").select("entry_id", "path", "language", "content"), languages)
     known = texts.where(F.col("lang").isin(*LANGUAGES)).select(F.monotonically_increasing_id().alias("copy"), "entry_id", "lang", "content")
     return known.mapInArrow(lambda batches: _lex(batches, blocks), TOKEN)
 

@@ -20,7 +20,7 @@ _TYPED = {
 }
 _PUNCT = {"=>": "R", "...": "p", "?.": ".", "++": "#", "--": "#", "!": "!", "~": "!", "+": "+", "-": "+", ";": ";", ",": ",", ".": ".", ":": ":", "?": "?", "*": "*", "@": "@", "<": "<", ">": ">", "|": "|", "&": "|"}
 _REGEX = r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[a-z]*"
-_OPERATOR = r"=>|\.\.\.|\?\.(?!\d)|===|!==|==|!=|<=|\*\*=?|&&=?|\|\|=?|\?\?=?|<<=?|[+\-*%&|^]=|[=!~+\-*%&|^<>?:;,(\[{]"
+_OPERATOR = r"=>|\.\.\.|\?\.(?!\d)|===|!==|==|!=|<=|\*\*=?|&&=?|\|\|=?|\?\?=?|<<=?|[+\-*%&|^]=|[=!~+\-*%&|^<>?:;,(\[{@]"
 _INNER = r"(?:[^{}`]|\{(?:[^{}`]|\{[^{}`]*\})*\}|`[^`]*`)*"
 _TOKEN = re.compile(
     rf"""(?P<w>(?:[^\W\d]|\$)(?:\w|\$)*)(?P<wr>(?<=return)\s*{_REGEX}|(?<=typeof)\s*{_REGEX}|(?<=case)\s*{_REGEX})?
@@ -497,7 +497,7 @@ class _Level(Cursor):
                 self.type()
             if self.optional("="):
                 self.type()
-            if not self.optional(","):
+            if not self.optional(",") or self.peek() == ">":
                 break
         self.take(">")
 

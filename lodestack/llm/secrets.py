@@ -230,10 +230,10 @@ def _findings(batch: pd.DataFrame, texts: list[str], found: list[list[Finding]])
 def find_secrets(entries: DataFrame) -> DataFrame:
     """One row per secret: ``entry_id, line_number (from 1, at line feeds), secret_type, variable_name, masked_text``.
 
-    Null and empty contents have none; repeated rows of one entry_id give their findings once; the language or path may be
+    Null and empty contents have none, nor have rows without entry_id; repeated rows of one entry_id give their findings once; the language or path may be
     null, which only disallows values without quotes.
     """
-    texts = entries.where("content <> ''").select("entry_id", "path", "language", "content")
+    texts = entries.where("entry_id is not null and content <> ''").select("entry_id", "path", "language", "content")
     return texts.mapInPandas(_per_batch(_findings), FINDING).distinct()
 
 
@@ -244,7 +244,7 @@ def _lines(batch: pd.DataFrame, texts: list[str], found: list[list[Finding]]) ->
 
 def secret_lines(entries: DataFrame) -> DataFrame:
     """The distinct ``entry_id, line_number`` of ``find_secrets``."""
-    texts = entries.where("content <> ''").select("entry_id", "path", "language", "content")
+    texts = entries.where("entry_id is not null and content <> ''").select("entry_id", "path", "language", "content")
     return texts.mapInPandas(_per_batch(_lines), "entry_id long, line_number int").distinct()
 
 
@@ -255,5 +255,5 @@ def _masked(batch: pd.DataFrame, texts: list[str], found: list[list[Finding]]) -
 
 def mask_secrets(entries: DataFrame) -> DataFrame:
     """``entry_id, n_secrets, masked_content`` of every entry with a secret; masking a masked content changes nothing."""
-    texts = entries.where("content <> ''").select("entry_id", "path", "language", "content")
+    texts = entries.where("entry_id is not null and content <> ''").select("entry_id", "path", "language", "content")
     return texts.mapInPandas(_per_batch(_masked), "entry_id long, n_secrets int, masked_content string").dropDuplicates(["entry_id"])

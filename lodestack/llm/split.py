@@ -125,13 +125,13 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def split_oversized(entries: DataFrame, exports: DataFrame) -> DataFrame:
     """The pieces of every entry whose content exceeds ``split_max_chars`` or ``max_export_bytes`` of its export.
 
-    Repeated rows of one entry_id are one entry; entries without content, within their limits or without export give no
-    row. Null limits are none. Two steps keep the texts out of needless shuffles: a text no longer than the least limit
+    Repeated rows of one entry_id are one entry; entries without id, without content, within their limits or without export give
+    no row. Null limits are none. Two steps keep the texts out of needless shuffles: a text no longer than the least limit
     of all exports is dropped where it is read, and the limits are joined afterwards.
     """
     limits = exports.select("export_id", "split_max_chars", "max_export_bytes", "split_overlap_chars").where("split_max_chars is not null or max_export_bytes is not null").dropDuplicates(["export_id"])
     least = limits.agg(F.min("split_max_chars").alias("least_chars"), F.min("max_export_bytes").alias("least_bytes"))
-    texts = entries.where("content is not null").select("entry_id", "export_id", "content", F.length("content").alias("chars"), F.octet_length("content").alias("bytes"))
+    texts = entries.where("entry_id is not null and content is not null").select("entry_id", "export_id", "content", F.length("content").alias("chars"), F.octet_length("content").alias("bytes"))
     large = texts.join(F.broadcast(least), (F.col("chars") > F.col("least_chars")) | (F.col("bytes") > F.col("least_bytes"))).drop("least_chars", "least_bytes")  # one row
     over = large.join(limits, "export_id").where("chars > split_max_chars or bytes > max_export_bytes").dropDuplicates(["entry_id"])
     wanted = over.select("entry_id", "export_id", "content", "split_max_chars", "max_export_bytes", "split_overlap_chars")

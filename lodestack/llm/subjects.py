@@ -239,7 +239,7 @@ def fit(encoded: DataFrame, labels: DataFrame, subjects: DataFrame) -> Model | N
         return None
     names.append(NO_SUBJECT)
     number = {s: k for k, s in enumerate(names)}
-    clean = labels.select("doc_id", F.lower(F.trim("subject")).alias("subject")).where(F.col("subject").isin(names)).groupBy("doc_id").agg(F.array_sort(F.collect_set("subject")).alias("subjects"))
+    clean = labels.where("doc_id is not null").select("doc_id", F.lower(F.trim("subject")).alias("subject")).where(F.col("subject").isin(names)).groupBy("doc_id").agg(F.array_sort(F.collect_set("subject")).alias("subjects"))
     sample = clean.join(encoded.dropDuplicates(["doc_id"]), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED).collect()
     described = [(encode(d), [s.strip().lower()]) for s, d in subjects.where("subject is not null and description is not null").select("subject", "description").collect()]
 
@@ -293,7 +293,7 @@ def assign_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame
     repeated, missing or in capitals; without labels the descriptions of the subjects are the seeds. Headings, code and
     diff heads are no sentences, nor are parts of under three words.
     """
-    encoded = cut(documents.where(F.col("text").isNotNull()).select("doc_id", "text").mapInArrow(_encode, "doc_id long, ids binary, language int"))
+    encoded = cut(documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text").mapInArrow(_encode, "doc_id long, ids binary, language int"))
     model = fit(encoded, labels, subjects)
     spark = documents.sparkSession
     if model is None:

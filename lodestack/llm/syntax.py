@@ -65,9 +65,15 @@ def _json(text: str) -> None:
 def _yaml(text: str) -> None:
     import yaml
 
-    loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
-    for _ in yaml.compose_all(text, loader):
-        pass
+    anchors: set[str] = set()
+    for event in yaml.parse(text, getattr(yaml, "CSafeLoader", yaml.SafeLoader)):  # events, not nodes, so that no nesting is too deep
+        if isinstance(event, yaml.DocumentStartEvent):
+            anchors.clear()
+        elif isinstance(event, yaml.AliasEvent):
+            if event.anchor not in anchors:
+                raise Invalid(f"unknown alias {event.anchor}")
+        elif (anchor := getattr(event, "anchor", None)) is not None:
+            anchors.add(anchor)
 
 
 def _html(text: str) -> None:
@@ -149,7 +155,7 @@ def judge(language: str, text: str) -> tuple[str, str, str | None] | None:
     return None if message is None else ("damaged", message, None)
 
 
-FOUND = "entry_id long, repo_id long, lang string, kind string, message string, parsed_as string"
+FOUND = "entry_id long, repo_id string, lang string, kind string, message string, parsed_as string"
 
 
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,19 +171,21 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def invalid_entries(entries: DataFrame, languages: DataFrame) -> DataFrame:
     """``entry_id, repo_id, lang, kind, message, parsed_as`` of the entries whose content isn't valid in their language.
 
-    Entries without content, of unknown languages or of languages without a grammar (Markdown, HTML, INI, text) never
+    Entries without id or content, of unknown languages or of languages without a grammar (Markdown, HTML, INI, text) never
     count; an empty text is invalid only as JSON. Repeated rows of one entry_id are one entry.
     """
-    texts = with_language(entries.where("content is not null").select("entry_id", "repo_id", "path", "language", "content"), languages)
+    texts = with_language(entries.where("entry_id is not null and content is not null").select("entry_id", F.col("repo_id").cast("string").alias("repo_id"), "path", "language", "content"), languages)
     known = texts.where(F.col("lang").isin(*GRAMMARS)).select("entry_id", "repo_id", "lang", "content")
-    return known.mapInPandas(_judge, FOUND).dropDuplicates(["entry_id"])
+    # as text, the ids of repositories survive a null among them
+    return known.mapInPandas(_judge, FOUND).withColumn("repo_id", F.col("repo_id").cast("long")).dropDuplicates(["entry_id"])
 
 
 def invalid_rates(entries: DataFrame, languages: DataFrame) -> DataFrame:
     """``repo_id, language, n_entries, n_invalid, rate`` over the entries that could be parsed."""
-    known = with_language(entries.where("content is not null").select("entry_id", "repo_id", "path", "language"), languages).where(F.col("lang").isin(*GRAMMARS))
+    known = with_language(entries.where("entry_id is not null and content is not null").select("entry_id", "repo_id", "path", "language"), languages).where(F.col("lang").isin(*GRAMMARS))
     totals = known.groupBy("repo_id", "lang").agg(F.count_distinct("entry_id").alias("n_entries"))
     bad = invalid_entries(entries, languages).groupBy("repo_id", "lang").agg(F.count("*").alias("n_invalid"))
-    joined = totals.join(bad, ["repo_id", "lang"], "left")
+    bad = bad.select(F.col("repo_id").alias("bad_repo"), F.col("lang").alias("bad_lang"), "n_invalid")
+    joined = totals.join(bad, F.col("repo_id").eqNullSafe(F.col("bad_repo")) & (F.col("lang") == F.col("bad_lang")), "left")
     n = F.coalesce("n_invalid", F.lit(0))
     return joined.select("repo_id", F.col("lang").alias("language"), "n_entries", n.alias("n_invalid"), F.round(n / F.col("n_entries"), 6).alias("rate"))

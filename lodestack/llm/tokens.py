@@ -90,7 +90,7 @@ def entry_tokens(entries: DataFrame, languages: DataFrame, counter=estimated_tok
     Texts are counted where they are read; only the counts are shuffled, to make repeated rows of one entry_id one entry
     (with the greatest count, should they differ). Unknown languages stay null.
     """
-    counted = entries.where("content is not null").select("entry_id", "export_id", "language", "path", counter(F.col("content")).alias("tokens"))
+    counted = entries.where("entry_id is not null and content is not null").select("entry_id", "export_id", "language", "path", counter(F.col("content")).alias("tokens"))
     known = with_language(counted, languages, out="lang")
     return known.groupBy("entry_id", "export_id").agg(F.max(F.struct("tokens", "lang")).alias("m")).select("entry_id", "export_id", F.col("m.lang").alias("language"), F.col("m.tokens").alias("tokens"))
 
