@@ -59,7 +59,9 @@ class _Places(dict):
 
 
 _PLACES = _Places()
-_LANGUAGE_PLACES = [np.array([_PLACES[w] for w in words], dtype=np.uint16) for words in FUNCTION_WORDS.values()]
+_LANGUAGE_AT = np.zeros(PLACES, dtype=np.uint8)  # 1 + language of the places of function words
+for _k, _words in enumerate(FUNCTION_WORDS.values()):
+    _LANGUAGE_AT[[_PLACES[w] for w in _words]] = _k + 1
 
 
 def encode(text: str) -> np.ndarray:
@@ -69,7 +71,7 @@ def encode(text: str) -> np.ndarray:
 
 
 def language_of(ids: np.ndarray) -> int:
-    return int(np.argmax([np.isin(ids, places).sum() for places in _LANGUAGE_PLACES]))
+    return int(np.bincount(_LANGUAGE_AT[ids], minlength=len(LANGUAGES) + 1)[1:].argmax())
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,13 +265,17 @@ def fit(encoded: DataFrame, labels: DataFrame, subjects: DataFrame) -> Model | N
     vectors = decompose(encoded, weights, start)
 
     embedded = np.zeros((len(texts), vectors.shape[1]), np.float32)
-    np.add.at(embedded, doc, weight[:, None] * vectors[row])
+    for part in np.array_split(np.arange(len(doc)), len(doc) // SLICE_TOKENS + 1):
+        np.add.at(embedded, doc[part], weight[part, None] * vectors[row[part]])
     embedded = _unit(embedded)
     seeds = np.zeros((len(LANGUAGES), len(names), vectors.shape[1]), np.float32)
     for (language, subject), members in columns.items():
         seeds[language, subject] = _unit(members @ embedded)
     model = Model(weights, vectors, seeds.copy(), names)
-    sentence_doc, unit = sentences(weights, texts, vectors)
+    ends = np.cumsum([len(t) for t in texts]) // SLICE_TOKENS
+    parts = [np.flatnonzero(ends == k) for k in np.unique(ends)]
+    found = [(own[doc], unit) for own in parts for doc, unit in [sentences(weights, [texts[k] for k in own], vectors)]]
+    sentence_doc, unit = np.concatenate([d for d, _ in found]), np.concatenate([u for _, u in found])
     spoken = languages[sentence_doc]
     for _ in range(ROUNDS):
         cosine = np.einsum("ik,ijk->ij", unit, model.centroids[spoken]) if len(unit) else np.zeros((0, len(names)))
