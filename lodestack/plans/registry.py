@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.common import table, with_language
-from lodestack.plans import file_queries, graph_queries, model_queries, snapshot_queries
+from lodestack.plans import file_queries, graph_queries, model_queries, more_queries, snapshot_queries
 
-MODULES = (snapshot_queries, file_queries, graph_queries, model_queries)
+MODULES = (snapshot_queries, file_queries, graph_queries, model_queries, more_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
