@@ -117,3 +117,29 @@ def test_registry_is_whole():
 
     queries, sql = registry.queries(), registry.sql()
     assert set(sql) <= set(queries) and len(queries) > 80
+
+
+def test_reports(spark, repository):
+    from lodestack.__main__ import files_of, main
+
+    root, _ = repository
+    (root / "src" / "util.py").write_text("from src import app\nimport app\npassword = 'hunter2hunter2'\n")
+    (root / "pyproject.toml").write_text('[project]\nname = "demo"\ndependencies = ["Lib_a>=1"]\n')
+    (root / "schema.sql").write_text("create table t (id int primary key, name text);\n")
+    subprocess.run(["git", "-C", str(root), "add", "."], check=True)
+    files, _ = files_of(spark, str(root))
+    from lodestack.operators import rendering
+
+    full = rendering.render(files, "repository").first().text
+    for part in ("## Repository", "- tracked: 9", "| Python | 3 |", "`-- ", "src/app.py L1 function f", "- lib-a>=1 (runtime, pyproject.toml)", "- t.id int", "- src/util.py:3 PASSWORD", "### src/app.py\n\n```python\n"):
+        assert part in full, part
+    assert "hunter2" not in full
+    ai = rendering.render(files, "repository", "ai").first().text
+    assert "1. README.md (90): documentation" in ai and "- type: Python package" in ai
+    assert "A sentence." in rendering.render(files, "repository", "docs").first().text
+    out = root.parent / "changed.txt"
+    assert main(["changed", str(root), str(out)]) == 0
+    assert "- added schema.sql" in out.read_text() and "hunter2" not in out.read_text()
+    assert len(rendering.render(files, "repository", "full", 200).first().text.encode()) <= 200
+    with pytest.raises(ValueError):
+        rendering.render(files, "repository", "other")
