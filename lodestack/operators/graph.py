@@ -102,6 +102,33 @@ def resolve_by_suffix(calls: DataFrame, symbols: DataFrame, call: str = "callee"
     return joined.withColumn("resolved_path", F.coalesce("exact_path", "loose_path")).drop("exact_path", "loose_path")
 
 
+def _suffixes(name: Column) -> Column:
+    parts = F.split(name, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+
+
+def resolve_aliases(aliases: DataFrame, edges: DataFrame, source: str, order: str) -> DataFrame:
+    """``aliases`` with the target of the first edge of their source that they can mean, and whether there is one.
+
+    Modules match if one is the other or ends in it after a dot; a name imported from a module must be the edge's name, too.
+    Aliases are (source, alias_id, import_type, imported_module, imported_name), edges (source, target_module, edge_name,
+    order). Both ways of ending are joins by equality on exploded suffixes.
+    """
+    own = edges.select(source, "target_module", "edge_name", order)
+    longer = aliases.withColumn("ending", F.explode(_suffixes(F.col("imported_module")))).join(own.withColumn("ending", F.col("target_module")), [source, "ending"])
+    shorter = aliases.withColumn("ending", F.col("imported_module")).join(own.withColumn("ending", F.explode(_suffixes(F.col("target_module")))), [source, "ending"])
+    fits = (F.col("import_type") == "import") | F.col("imported_name").eqNullSafe(F.col("edge_name"))
+    hits = longer.unionByName(shorter).where(fits).groupBy(source, "alias_id").agg(F.min(F.struct(order, "target_module")).alias("hit"))
+    joined = aliases.join(hits, [source, "alias_id"], "left")
+    return joined.withColumn("target_module", F.col("hit.target_module")).withColumn("is_local", F.col("hit").isNotNull()).drop("hit")
+
+
+def single_definitions(aliases: DataFrame, symbols: DataFrame, module: str = "target_module") -> DataFrame:
+    """Aliases whose target module defines exactly one top-level function of the imported name."""
+    once = symbols.where("kind = 'function'").groupBy(F.col("module").alias(module), F.col("name").alias("imported_name")).agg(F.count("*").alias("n")).where("n = 1").drop("n")
+    return aliases.join(once, [module, "imported_name"], "left_semi")
+
+
 # trees
 
 

@@ -266,3 +266,33 @@ def g1(spark, sf_dir):
 def j4(spark, sf_dir):
     own = files(spark, sf_dir, "path").where("path like '%.py'").select(paths.module_name(F.col("path")).alias("module"), "path").where("module is not null")
     return graph.first_seen(own, ["module"], ["path"])
+
+
+_ALIASES = """p as (select distinct l_suppkey, l_partkey % 200 as k from lineitem), a as (select l_suppkey, k, case when k % 2 = 0 then 'import' else 'from' end as import_type, case when k % 3 = 0 then 'a.m' || k else 'm' || k end as m, 'n' || (k % 5) as name from p),
+    e as (select l_suppkey, k, case when k % 2 = 0 then 'x.a.m' || (k - k % 10) else 'm' || k end as t, case when k % 4 = 1 then 'other' else 'n' || (k % 5) end as name from p)"""
+
+
+def _aliases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    p = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_partkey") % 200).alias("k")).distinct()
+    a = p.selectExpr("l_suppkey", "k as alias_id", "if(k % 2 = 0, 'import', 'from') as import_type", "if(k % 3 = 0, concat('a.m', k), concat('m', k)) as imported_module", "concat('n', k % 5) as imported_name")
+    e = p.selectExpr("l_suppkey", "if(k % 2 = 0, concat('x.a.m', k - k % 10), concat('m', k)) as target_module", "if(k % 4 = 1, 'other', concat('n', k % 5)) as edge_name", "k as edge_order")
+    return a, e
+
+
+@query(
+    "ref_j5_alias_edges",
+    f"with {_ALIASES}, h as (select a.l_suppkey, a.k, min_by(t, e.k) as target_module from a join e on e.l_suppkey = a.l_suppkey and (t = m or ends_with(t, '.' || m) or ends_with(m, '.' || t)) and (import_type = 'import' or a.name = e.name) group by all) select a.l_suppkey, a.k as alias_id, target_module, target_module is not null as is_local from a left join h using (l_suppkey, k)",
+)
+def j5(spark, sf_dir):
+    a, e = _aliases(spark, sf_dir)
+    return graph.resolve_aliases(a, e, "l_suppkey", "edge_order").select("l_suppkey", "alias_id", "target_module", "is_local")
+
+
+@query(
+    "ref_j6_single_definitions",
+    f"with {_SYMBOLS}, f as (select file_path as module, name from s where kind = 'function' group by all having count(*) = 1), a as (select distinct file_path as target_module, name as imported_name from s) select target_module, imported_name from a join f on f.module = a.target_module and f.name = a.imported_name",
+)
+def j6(spark, sf_dir):
+    s = _symbols(spark, sf_dir)
+    aliases = s.select(F.col("file_path").alias("target_module"), F.col("name").alias("imported_name")).distinct()
+    return graph.single_definitions(aliases, s.withColumn("module", F.col("file_path")))
