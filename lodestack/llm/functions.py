@@ -49,6 +49,7 @@ _NOTE = re.compile(rf"^[ \t]*@[A-Za-z_][\w.]*(?:{_ARGS})?[ \t]*\r?$", re.MULTILI
 _HEADS = {"javascript": _SCRIPT_HEAD, "typescript": _SCRIPT_HEAD, "java": _JAVA_HEAD, "bash": _BASH_HEAD}
 _SKIPS = {"javascript": _SCRIPT_SKIP, "typescript": _SCRIPT_SKIP, "java": _JAVA_SKIP, "bash": _BASH_SKIP, "python": _PYTHON_SKIP}
 _BRACE = re.compile(r"[{}]")
+_WORDS = re.compile(r"[^\W_]+")
 _DOC = re.compile(r"(?:\s|#[^\n]*\n|\\\n)*((?:[rRuU]?(?:\"{3}(?:[^\\]|\\[\s\S])*?\"{3}|'{3}(?:[^\\]|\\[\s\S])*?'{3}|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*')[ \t]*)+)(?=\r?\n|;|#|\Z)")
 
 
@@ -166,7 +167,21 @@ def _near(found: list[tuple[int, str, int, int, str | None]]) -> bool:
     return any(t[1] == DOCSTRING or (t[1] in (COMMENT, LINE_COMMENT) and t[3] + 1 in starts) for t in found)
 
 
-def _lex(batches: Iterator[pa.RecordBatch], blocks: bool) -> Iterator[pa.RecordBatch]:
+def _spoken(found: list[tuple[int, str, int, int, str | None]], least: int) -> bool:
+    """Whether any comment or docstring has words enough, were they all real; else no function of the file can count."""
+    words = 0
+    for _, kind, _, _, text in found:
+        if kind in (COMMENT, DOCSTRING):
+            words = 0  # of its own
+        elif kind != LINE_COMMENT:
+            continue
+        words += len(_WORDS.findall(text))
+        if words >= least:
+            return True
+    return least <= 0
+
+
+def _lex(batches: Iterator[pa.RecordBatch], blocks: bool, least: int) -> Iterator[pa.RecordBatch]:
     warnings.simplefilter("ignore")
     types = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
     names = [part.split()[0] for part in TOKEN.split(", ")]
@@ -174,7 +189,7 @@ def _lex(batches: Iterator[pa.RecordBatch], blocks: bool) -> Iterator[pa.RecordB
         columns: list[list] = [[] for _ in types]
         for copy, entry, language, text in zip(*(batch.column(n).to_pylist() for n in ("copy", "entry_id", "lang", "content")), strict=True):
             found = tokens(language, text, blocks)
-            if not _near(found) or judge(language, text) is not None:
+            if not _near(found) or not _spoken(found, least) or judge(language, text) is not None:
                 continue
             n = len(found)
             _, kinds, first, last, texts = zip(*found, strict=True)
@@ -183,14 +198,11 @@ def _lex(batches: Iterator[pa.RecordBatch], blocks: bool) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
-def function_tokens(entries: DataFrame, languages: DataFrame, blocks: bool = True) -> DataFrame:
-    """One row per structural token of the valid entries that have a commented function. ``copy`` tells repeated rows apart."""
+def function_tokens(entries: DataFrame, languages: DataFrame, blocks: bool = True, least_words: int = 0) -> DataFrame:
+    """One row per structural token of the valid entries that have a commented function and a comment of ``least_words`` words. ``copy`` tells repeated rows apart."""
     texts = with_language(entries.where("entry_id is not null and content is not null").select("entry_id", "path", "language", "content"), languages)
     known = texts.where(F.col("lang").isin(*LANGUAGES)).select(F.monotonically_increasing_id().alias("copy"), "entry_id", "lang", "content")
-    return known.mapInArrow(lambda batches: _lex(batches, blocks), TOKEN)
-
-
-_MARKS = r"^[\s/*#]+|[\s*/]+$"
+    return known.mapInArrow(lambda batches: _lex(batches, blocks, least_words), TOKEN)
 
 
 def real_words(doc: Column, name: Column) -> Column:
@@ -202,8 +214,10 @@ def real_words(doc: Column, name: Column) -> Column:
     words = F.regexp_extract_all(F.lower(F.array_join(kept, "\n")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     own = F.regexp_extract_all(F.lower(F.regexp_replace(F.regexp_replace(name, r"([\p{Ll}\p{N}])(\p{Lu})", "$1 $2"), r"(\p{Lu})(\p{Lu}\p{Ll})", "$1 $2")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     own = F.regexp_extract_all(F.regexp_replace(F.array_join(own, " "), "_", " "), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    empty = F.array(*[F.lit(w) for w in ("todo", "fixme", "tbd", "xxx")])
-    return F.size(F.filter(words, lambda w: ~F.array_contains(own, w) & ~F.array_contains(empty, w)))
+    # bound to a variable, the words of the name are made once a row and not once a word
+    both = F.array(F.struct(words.alias("words"), own.alias("own")))
+    left = F.transform(both, lambda x: F.size(F.filter(x["words"], lambda w: ~F.array_contains(x["own"], w) & ~w.isin("todo", "fixme", "tbd", "xxx"))))
+    return F.get(left, F.lit(0))
 
 
 def documented(rows: DataFrame, least_words: int = 4, ends: bool = False) -> DataFrame:
@@ -249,12 +263,12 @@ def documented_functions(entries: DataFrame, languages: DataFrame, least_words:
 
     Entries that are null, empty, of other languages or not valid in theirs have none; repeated rows count once.
     """
-    return documented(function_tokens(entries, languages, blocks=False), least_words).select("entry_id", "line_start", "name").distinct()
+    return documented(function_tokens(entries, languages, False, least_words), least_words).select("entry_id", "line_start", "name").distinct()
 
 
 def function_pairs(entries: DataFrame, languages: DataFrame, least_words: int = 4) -> DataFrame:
     """``entry_id, lang, name, line_start, line_end, doc, code``: the code from the line of the name to the end of the body."""
-    found = documented(function_tokens(entries, languages), least_words, ends=True).dropDuplicates(["entry_id", "line_start", "name"])
+    found = documented(function_tokens(entries, languages, True, least_words), least_words, ends=True).dropDuplicates(["entry_id", "line_start", "name"])
     texts = entries.where("content is not null").groupBy("entry_id").agg(F.max("content").alias("content"))
     lines = F.slice(F.split("content", "\n"), F.col("line_start"), F.greatest(F.col("line_end") - F.col("line_start") + 1, F.lit(1)))
     return found.join(texts, "entry_id").select("entry_id", "lang", "name", "line_start", F.greatest("line_end", "line_start").alias("line_end"), "doc", F.array_join(lines, "\n").alias("code"))
