@@ -172,12 +172,12 @@ def f18(spark, sf_dir):
 
 @query(
     "ref_f29_fingerprints",
-    f"with {SQL_FILES} select export_id, sha256(string_agg(path || chr(31) || coalesce(language, '') || chr(31) || coalesce(status, '') || chr(31) || coalesce(content, ''), chr(30) order by path, entry_id)) as fingerprint from files group by export_id",
+    f"with {SQL_FILES} select export_id, sha256(string_agg(sha256(path || chr(31) || coalesce(language, '') || chr(31) || coalesce(status, '') || chr(31) || coalesce(content, '')), '' order by path, entry_id)) as fingerprint from files group by export_id",
 )
 def f29(spark, sf_dir):
-    row = F.concat_ws("\x1f", "path", *[F.coalesce(c, F.lit("")) for c in ("language", "status", "content")])
+    row = F.sha2(F.concat_ws("\x1f", "path", *[F.coalesce(c, F.lit("")) for c in ("language", "status", "content")]), 256)  # only digests are gathered
     ordered = F.array_sort(F.collect_list(F.struct("path", "entry_id", row.alias("row"))))
-    return files(spark, sf_dir, "export_id", "path", "language", "status", "content").groupBy("export_id").agg(F.sha2(F.array_join(F.transform(ordered, lambda r: r["row"]), "\x1e"), 256).alias("fingerprint"))
+    return files(spark, sf_dir, "export_id", "path", "language", "status", "content").groupBy("export_id").agg(F.sha2(F.array_join(F.transform(ordered, lambda r: r["row"]), ""), 256).alias("fingerprint"))
 
 
 @query("ref_f31_xml_text", f"with {SQL_FILES} select entry_id, md5(replace(replace(replace(replace(replace(content, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')) as digest from files where content is not null")
