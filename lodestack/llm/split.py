@@ -66,7 +66,7 @@ def split_text(text: str, max_chars: int | None, max_bytes: int | None, overlap:
     if size <= chars and total <= most:
         return [(0, size, 0)]
     repeat = max(0, min(overlap or 0, chars - max(1, chars // 4)))
-    room = most - max(4, most // 4)  # bytes that an overlap may take
+    room = total if max_bytes is None else most - max(4, most // 4)  # bytes that an overlap may take
     if ascii_only:
         repeat = min(repeat, room)
 
@@ -130,9 +130,10 @@ def split_oversized(entries: DataFrame, exports: DataFrame) -> DataFrame:
     of all exports is dropped where it is read, and the limits are joined afterwards.
     """
     limits = exports.select("export_id", "split_max_chars", "max_export_bytes", "split_overlap_chars").where("split_max_chars is not null or max_export_bytes is not null").dropDuplicates(["export_id"])
-    least = limits.agg(F.min("split_max_chars").alias("least_chars"), F.min("max_export_bytes").alias("least_bytes"))
+    least = limits.agg(F.min("split_max_chars"), F.min("max_export_bytes")).first()  # two numbers
     texts = entries.where("entry_id is not null and content is not null").select("entry_id", "export_id", "content", F.length("content").alias("chars"), F.octet_length("content").alias("bytes"))
-    large = texts.join(F.broadcast(least), (F.col("chars") > F.col("least_chars")) | (F.col("bytes") > F.col("least_bytes"))).drop("least_chars", "least_bytes")  # one row
+    above = [F.col(c) > limit for c, limit in zip(("chars", "bytes"), least, strict=True) if limit is not None]
+    large = texts.where(above[0] | above[-1] if above else F.lit(False))
     over = large.join(limits, "export_id").where("chars > split_max_chars or bytes > max_export_bytes").dropDuplicates(["entry_id"])
     wanted = over.select("entry_id", "export_id", "content", "split_max_chars", "max_export_bytes", "split_overlap_chars")
     return wanted.mapInPandas(_pieces, PIECE)
