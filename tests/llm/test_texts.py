@@ -180,12 +180,30 @@ def leaked_by_brute_force(documents, items, window):
     return {(d, i) for d, t in documents if t for i, p in items if p and grams(clean(t)) & grams(clean(p))}
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_leaks(spark, seed):
+@pytest.mark.parametrize(("seed", "hot_rows"), [(0, 100_000), (1, 100_000), (2, 3)])
+def test_leaks(spark, seed, hot_rows):
     rng = random.Random(seed)
     words = ["a", "b", "c", "Dd", "éé", "x1"]
     text = lambda n: "".join(rng.choice(words) + rng.choice([" ", ", ", "_", "\n-", " -- "]) for _ in range(n))
     items = [(i, text(rng.randint(3, 14))) for i in range(8)]
     documents = [(d, text(rng.randint(0, 60)) + (items[d % 8][1].upper() if d % 3 == 0 else "")) for d in range(60)]
-    got = contamination.leaked(spark.createDataFrame(documents, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string"), window=5)
+    got = contamination.leaked(spark.createDataFrame(documents, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string"), window=5, hot_rows=hot_rows)
     assert {tuple(r) for r in got.collect()} == leaked_by_brute_force(documents, items, 5)
+
+
+def test_bitmap_holds_its_hashes(spark):
+    rng = np.random.default_rng(5)
+    values = rng.integers(-(1 << 62), 1 << 62, 3000)
+    slots = contamination._slots(spark.createDataFrame([(int(v),) for v in values], "hash long"), 1 << 17)
+    bitmap = contamination.Bitmap(1 << 17, slots)
+    assert len(bitmap.may_hold(values)) == len(values) and all(int(v) in bitmap for v in values[:50])
+    assert len(bitmap.may_hold(rng.integers(-(1 << 62), 1 << 62, 10_000))) < 400
+    assert contamination.bit_count(0) == contamination.LEAST_BITS and contamination.bit_count(1 << 40) == contamination.MOST_BITS
+
+
+def test_many_items_and_a_hot_passage(spark):
+    shared = "one two three four five six seven eight nine ten eleven twelve"
+    items = [(k, f"{shared} item{k}") for k in range(50)] + [(99, shared), (None, shared), (100, None)]
+    documents = [(d, f"start {d} {shared.upper()} end") for d in range(300)] + [(1000, "one two three"), (1001, None), (None, shared)]
+    got = contamination.leaked(spark.createDataFrame(documents, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string"), hot_rows=10)
+    assert {tuple(r) for r in got.collect()} == {(d, i) for d in range(300) for i in [*range(50), 99]}
