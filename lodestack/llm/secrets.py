@@ -25,21 +25,21 @@ REDACTED = "***REDACTED***"
 _KEYWORD = r"(?:pass(?:word|wd|phrase|code)|(?<![a-z])pass(?![a-z])|pwd|secret|token|(?:api|access|private|signing|encryption|auth|account|master|service)[_-]?key|(?<![a-z])auth(?![a-z])|credential)"
 #: What follows the name: a quoted value after a separator (perhaps on the next line), a plain value that ends its line, or a default in braces.
 _TAIL = (
-    r"(?:[\w-]{0,40}[\"'\])]{0,3}(?:\s*:\s*[a-z_][\w.|\[\]<>]*(?: *\| *\w+)*)?[ \t]*(?:=>|:=|=|:|,|\|\||\?\?)[ \t]*(?:\(?[ \t]*\r?\n[ \t]*)?[rbuf]{0,2}(?P<q>[\"'`])(?P<v>[^\"'`\s]{4,})(?P=q)"
-    r"|[\w-]{0,40}[ \t]*[:=][ \t]*(?P<plain>[^\s\"'`,;]{4,})[ \t]*(?=\r?\n|\Z|[ \t]#|[ \t];)"
-    r"|[\w-]{0,40}:?[-=](?P<default>[^\s\"'`{}]{4,})\})"
+    r"(?:[\w-]*[\"'\])]{0,3}(?:\s*:\s*[a-z_][\w.|\[\]<>]*(?: *\| *\w+)*)?[ \t]*(?:=>|:=|=|:|,|\|\||\?\?)[ \t]*(?:\(?[ \t]*\r?\n[ \t]*)?[rbuf]{0,2}(?P<q>[\"'`])(?P<v>(?:[^\"'`\s\\]|\\\S|(?!(?P=q))[\"'`]){4,})(?P=q)"
+    r"|[\w-]*[ \t]*[:=][ \t]*(?P<plain>[^\s\"'`,;]{4,})[ \t]*(?=\r?\n|\Z|[ \t]#|[ \t];)"
+    r"|[\w-]*:?[-=](?P<default>[^\s\"'`{}]{4,})\})"
 )
 
 #: Expression by type. The group ``v`` (or ``plain``, ``default``) is the value.
 PATTERNS = {
     "PRIVATE_KEY": r"(?P<v>-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)",
     "ASSIGNED": _KEYWORD + _TAIL,
-    "FLAG": r"--?[\w-]{0,20}" + _KEYWORD + r"[\w-]{0,20}(?:=|[ \t]+)[\"']?(?P<v>[^\s\"'`]{4,})",
+    "FLAG": r"(?<![\w-])--?[\w-]*?" + _KEYWORD + r"[\w-]*(?:=|[ \t]+)[\"']?(?P<v>[^\s\"'`]{4,})",
     "USER_FLAG": r"(?<![\w-])(?:-u|--user)[ =][\"']?[\w.-]+:(?P<v>[^\s\"'`@]{4,})",
     "HEADER": r"\b(?:Bearer|Basic)[ \t]+(?P<v>[^\s\"'`,;]{8,})",
-    "URL": r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@\"'`<>]{0,80}:(?P<v>[^\s/\"'`<>]{3,}?)@(?=[\w.\[-])",
-    "URL_QUERY": r"[?&][\w-]{0,20}" + _KEYWORD + r"[\w-]{0,20}=(?P<v>[^\s&\"'`<>#]{4,})",
-    "ELEMENT": r"<[\w.-]{0,20}" + _KEYWORD + r"[\w.-]{0,20}>(?P<v>[^\s<>]{4,})</",
+    "URL": r"[a-z0-9]://[^\s/:@\"'`<>]*:(?P<v>[^\s/\"'`<>]{3,}?)@(?=[\w.\[-])",
+    "URL_QUERY": r"[?&][\w-]*?" + _KEYWORD + r"[\w-]*=(?P<v>[^\s&\"'`<>#]{4,})",
+    "ELEMENT": r"<[\w.-]*?" + _KEYWORD + r"[\w.-]*>(?P<v>[^\s<>]{4,})</",
     "AWS_KEY": r"(?<![A-Za-z0-9])(?P<v>(?-i:A(?:KIA|SIA)[0-9A-Z]{16}))(?![A-Za-z0-9])",
     "FORGE_TOKEN": r"(?<![A-Za-z0-9])(?P<v>(?-i:gh[pousr]_[A-Za-z0-9]{16,}|github_pat_\w{20,}|glpat-[\w-]{16,}))",
     "CHAT_TOKEN": r"(?<![A-Za-z0-9])(?P<v>(?-i:xox[abeoprs]-[A-Za-z0-9-]{10,}))",
@@ -58,8 +58,10 @@ _REFERENCE = re.compile(
 )
 _HASH = re.compile(r"(?i)^(?:sha\d*|md5|blake2[bs]?|crc32)[-:$]|^\$\d\w?\$|^\{sha|^pbkdf2|^argon2|^scrypt")
 _NAME_OUT = re.compile(r"(?i)hash|digest|checksum|fingerprint|etag|integrity|public|sha\d|md5|_?(?:length|count|limit|days|ttl|type|name|url|uri|path|file|field|header|param|regex|pattern|policy|min|max|size|prefix|suffix|env|label|hint|prompt|message|error|format|expiry|expires\w*|timeout)$")
+_PASSWORD_NAME = re.compile(r"(?i)(?:password|passwd|pwd|passphrase|passcode)$")
+_ASSIGNS = re.compile(r"[\"'\])]{0,3}[ \t]*(?:=>|:=|=|:)[ \t]*[rbuf]{0,2}[\"'`]")
 _CALL = re.compile(r"^[A-Za-z_][\w.]*\(|[()\[\]]")
-_NAME_BEFORE = re.compile(r"[\w.-]*$")
+_NAME_AFTER = re.compile(r"[\w-]*")
 _COMMENT = re.compile(r"[ \t]*#")
 
 
@@ -80,6 +82,11 @@ def value_like(value: str) -> bool:
     return len(set(value)) > 3 and (re.search(r"\d", value) is not None or (re.search("[A-Z]", value) is not None and re.search("[a-z]", value) is not None))
 
 
+def password_like(value: str) -> bool:
+    """Whether a quoted ``value`` of something called a password can be one: short ones and words, too, but no placeholder, reference, number or hash."""
+    return not (_PLACEHOLDER.search(value) or _REFERENCE.search(value) or _HASH.search(value) or re.fullmatch(r"[\d.,_:+-]+|0x[0-9a-fA-F]+|(.)\1*", value))
+
+
 @lru_cache(maxsize=1)
 def _detectors() -> tuple[dict[str, re.Pattern], dict[str, tuple], Vocabulary]:
     compiled = {kind: re.compile(f"(?ai){pattern}") for kind, pattern in PATTERNS.items()}
@@ -120,9 +127,11 @@ def _accepted(kind: str, match: re.Match, start: int, group: str, text: str, unq
     if kind in ("ASSIGNED", "FLAG", "URL_QUERY", "ELEMENT"):
         if group == "plain" and (not unquoted or _CALL.search(value) or not re.match(r"[ \t]*(?:[-*>|+] )?[ \t]*(?:(?:export|set|local|declare|readonly|ENV|ARG)[ \t]+(?:-\w+[ \t]+)?)?[\w.-]*$", text[text.rfind("\n", 0, start) + 1 : start])):
             return None
-        key = re.match(r"[\w-]*", text[start : start + 120]).group()
-        name = _NAME_BEFORE.search(text[max(0, start - 80) : start]).group() + key
-        if _NAME_OUT.search(name) or not value_like(value):
+        begin = start
+        while begin and (text[begin - 1].isalnum() or text[begin - 1] in "_.-"):
+            begin -= 1
+        name = text[begin:start] + _NAME_AFTER.match(text, start).group()
+        if _NAME_OUT.search(name) or not (value_like(value) or (kind == "ASSIGNED" and group == "v" and _PASSWORD_NAME.search(name) and _ASSIGNS.fullmatch(text, begin + len(name), match.start(group)) and password_like(value))):
             return None
         low = name.lower()
         kind = "PASSWORD" if "pass" in low or "pwd" in low else "API_KEY" if "key" in low else "SECRET" if "secret" in low else "TOKEN"
@@ -183,15 +192,30 @@ def scan(texts: list[str], unquoted: list[bool]) -> list[list[Finding]]:
     return found
 
 
+_END = re.compile(r"-----(?:(?P<end>END)|BEGIN) (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+#: The body of a key without an end: headers and runs of encoded characters with line ends, quotes and the like between them.
+_OPEN_BODY = re.compile(r"(?:(?:\\[nr]|[\s\"'`+,\\])*(?:[A-Za-z][\w-]*: [^\n\"'`]*(?=\n)|[A-Za-z0-9+/]{16,}={0,2}(?![\w(.])|[A-Za-z0-9+/]{1,15}={1,2}(?![\w=(])))*")
+_BODY_RUN = re.compile(r"[^\s\\\"'`+,]{8,}")
+_OPEN_RUN = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9+/]+={1,2}")
+
+
 def mask(text: str, findings: list[Finding]) -> str:
-    """``text`` with every value, and every line within a private key block, replaced; all else is unchanged."""
+    """``text`` with every value, and every line within a private key block, replaced; all else is unchanged.
+
+    A key block reaches to its own END line; of one that has none, only what is encoded directly after it is replaced.
+    """
     out, at = [], 0
     for f in findings:
         start, end = f.start, f.end
         if f.secret_type == "PRIVATE_KEY":
-            close = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----").search(text, end)
-            start, end = end, close.start() if close else len(text)
-            body = re.sub(r"[^\s\\\"'`+,]{8,}", REDACTED, text[start:end])
+            close = _END.search(text, end)
+            start = end
+            if close and close["end"]:
+                end = close.start()
+                body = _BODY_RUN.sub(REDACTED, text[start:end])
+            else:
+                end = _OPEN_BODY.match(text, start).end()
+                body = _OPEN_RUN.sub(REDACTED, text[start:end])
         else:
             body = REDACTED
         if start < at:
@@ -222,7 +246,7 @@ def _findings(batch: pd.DataFrame, texts: list[str], found: list[list[Finding]])
     rows = []
     for entry, text, own in zip(batch["entry_id"], texts, found, strict=True):
         if own:
-            lines = mask(text, own).split("\n") if own[0].secret_type != "PRIVATE_KEY" else text.split("\n")
+            lines = mask(text, own).split("\n")
             rows += [(entry, f.line_number, f.secret_type, f.name, lines[f.line_number - 1].strip()) for f in own]
     return pd.DataFrame(rows, columns=["entry_id", "line_number", "secret_type", "variable_name", "masked_text"])
 
