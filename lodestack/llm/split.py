@@ -32,11 +32,11 @@ def _bytes(text: str) -> int:
     return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
 
 
-def atoms(text: str, most_chars: int, most_bytes: int) -> list[tuple[int, int]]:
-    """``(start, strength of the boundary before it)`` of every atomic segment."""
+def atoms(text: str, most_chars: int, most_bytes: int, widest: int) -> list[tuple[int, int]]:
+    """``(start, strength of the boundary before it)`` of every atomic segment; no character takes more than ``widest`` bytes."""
     out: list[tuple[int, int]] = []
     at, blank = 0, False
-    step = max(1, min(most_chars, most_bytes if text.isascii() else most_bytes // 4))
+    step = max(1, min(most_chars, most_bytes // widest))
     for line in _LINES.findall(text):
         strength = HEADING if _HEADING.match(line) else FUNCTION if _FUNCTION.match(line) else PARAGRAPH if blank else LINE
         blank = not line.strip()
@@ -54,19 +54,20 @@ def atoms(text: str, most_chars: int, most_bytes: int) -> list[tuple[int, int]]:
 def split_text(text: str, max_chars: int | None, max_bytes: int | None, overlap: int | None) -> list[tuple[int, int, int]]:
     """``(first new character, end, repeated characters before it)`` of each piece, in order.
 
-    A null limit is no limit; the limits count as at least 1 character and 4 bytes. A text within its limits is one piece.
-    Each piece but the first repeats ``overlap`` characters of the piece before, or all of a shorter one; only an overlap
-    that leaves less than a quarter of a limit for new text is cut down to do so.
+    A null limit is no limit; a limit under one character counts as one character (in bytes: the text's widest). A text
+    within its limits is one piece. Each piece but the first repeats ``overlap`` characters of the piece before, or all of a
+    shorter one; only where limit and overlap leave no room for a new character is the overlap shorter by what that needs.
     """
     size, ascii_only = len(text), text.isascii()
     offset = None if ascii_only else list(accumulate(map(_bytes, text), initial=0))
     total = size if ascii_only else offset[-1]
     chars = size if max_chars is None else max(1, max_chars)
-    most = total if max_bytes is None else max(4, max_bytes)
+    widest = 1 if ascii_only else _bytes(max(text))
+    most = total if max_bytes is None else max(widest, max_bytes)
     if size <= chars and total <= most:
         return [(0, size, 0)]
-    repeat = max(0, min(overlap or 0, chars - max(1, chars // 4)))
-    room = total if max_bytes is None else most - max(4, most // 4)  # bytes that an overlap may take
+    repeat = max(0, min(overlap or 0, chars - 1))
+    room = total if max_bytes is None else most - widest  # bytes that an overlap may take
     if ascii_only:
         repeat = min(repeat, room)
 
@@ -77,7 +78,7 @@ def split_text(text: str, max_chars: int | None, max_bytes: int | None, overlap:
         begin = first(start)
         return end - begin <= chars and (end - begin if ascii_only else offset[end] - offset[begin]) <= most
 
-    parts = atoms(text, chars - repeat, most - min(room, repeat * (1 if ascii_only else 4)))
+    parts = atoms(text, chars - repeat, most - min(room, repeat * widest), widest)
     starts = [start for start, _ in parts]
     strength = [s for _, s in parts]
     n = len(parts)

@@ -88,17 +88,20 @@ def test_bpe_counts(spark):
 PART = st.sampled_from(["a", "bc ", "\n", "\n\n", "# h\n", "é", "😀", "def x():\n", "word word ", "x" * 30, "\r\n", "}\n"])
 
 
-@given(st.lists(PART, max_size=120).map("".join), st.sampled_from([None, 1, 5, 20, 80]), st.sampled_from([None, 4, 9, 40, 200]), st.sampled_from([None, 0, 3, 10, 500]))
+@given(st.lists(PART, max_size=120).map("".join), st.sampled_from([None, 1, 5, 20, 80]), st.sampled_from([None, 1, 4, 9, 40, 200]), st.sampled_from([None, 0, 3, 10, 19, 500]))
 @settings(max_examples=300, deadline=None)
 def test_pieces(text, max_chars, max_bytes, overlap):
     cuts = split.split_text(text, max_chars, max_bytes, overlap)
     assert "".join(text[s:e] for s, e, _ in cuts) == text
-    fits = lambda t: (max_chars is None or len(t) <= max_chars) and (max_bytes is None or len(t.encode()) <= max(4, max_bytes))
+    widest = max((len(c.encode()) for c in text), default=1)
+    fits = lambda t: (max_chars is None or len(t) <= max_chars) and (max_bytes is None or len(t.encode()) <= max(widest, max_bytes))
     if fits(text):
         assert cuts == [(0, len(text), 0)]
     for i, (s, e, r) in enumerate(cuts):
         assert fits(text[s - r : e]) and (e > s or not text)
         assert r == 0 if not i else r <= (overlap or 0)
+        if i and max_bytes is None:  # the whole overlap, if a piece has room for it, or all of a shorter piece
+            assert r == min(overlap or 0, max_chars - 1, s - (cuts[i - 1][0] - cuts[i - 1][2]))
     # a cut that stays is one that couldn't be undone
     for (a, _, r), (_, e, _) in itertools.pairwise(cuts):
         assert not fits(text[a - r : e])
@@ -110,6 +113,12 @@ def test_overlap_and_boundaries():
     assert all(r == 40 for _, _, r in cuts[1:]) and all(text[s:].startswith("# part") for s, _, _ in cuts)
 
 
+def test_an_overlap_near_the_limit_is_kept():
+    cuts = split.split_text("word " * 100, 100, None, 90)
+    assert [r for _, _, r in cuts[1:]] == [90] * (len(cuts) - 1) and all(e - s + r <= 100 for s, e, r in cuts)
+    assert all(r == 99 for _, _, r in split.split_text("x" * 300, 100, None, 500)[1:]) and len(split.split_text("é" * 3, None, 1, 1)) == 3
+
+
 def best_bins(sizes, room):
     """The least number of bins, by search."""
     best = [len(sizes)]
