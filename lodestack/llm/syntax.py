@@ -1,17 +1,21 @@
 """Source files that can't be read as their language (problem 5).
 
-Every file is parsed by the grammar of its language. One that fails, or whose tokens speak against its language, is ranked
-by the tokens typical of each language and parsed by the other grammars in that order: a success tells a wrong extension,
-failure everywhere a damaged file.
+Every file is parsed by the grammar of its language and ranked by the tokens typical of each language. One that fails, or whose
+tokens speak for another language, is parsed by the other grammars in the order of the ranking: a success tells a wrong
+extension, failure everywhere a damaged file.
 """
 
 from __future__ import annotations
 
 import _symtable
+import io
 import json
 import re
+import sys
+import tokenize
 import tomllib
 import warnings
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -110,30 +114,123 @@ TOKENS: dict[str, list[tuple[int, re.Pattern]]] = {
         "html": [(20, r"\A\s*<(?:!doctype|html)"), (2, r"</\w+>")],
     }.items()
 }
-#: Tokens one of which any usual file of the language has. A file without them is ranked though it parses, as these grammars accept much.
-USUAL = {
-    "python": re.compile(r"\b(?:def|class|import|return|if|for|while|with|print|lambda|assert|try|raise)\b|\w\("),
-    "javascript": re.compile(r"\b(?:function|const|let|var|import|export|class|return|module|require|if|for)\b|=>|\w\("),
-    "typescript": re.compile(r"\b(?:function|const|let|var|import|export|class|return|interface|type|enum|if|for)\b|=>|\w\("),
-    "bash": re.compile(r"(?m)^#!|^\s*(?:if|for|while|case|echo|export|local|set|source|cd|exit|return|function|printf)\b|\$|^\w+=|\(\)"),
-    "yaml": re.compile(r"(?m)^(?:---|\s*[\w.\"'/-]+\s*:(?:\s|$)|\s*- |\s*[\[{]|\s*#)"),
+#: Words (runs without white space) and parts of text that speak for a language, for the first ranking: weight -> tokens.
+WORDS: dict[str, dict[int, str]] = {
+    "python": {4: "def elif except try: else: finally:", 1: "None True False class import from not lambda pass raise with return"},
+    "javascript": {3: "function const let var => === !== export", 1: "import class async return new null; }); { } this. if"},
+    "typescript": {3: "function const let var => === !== export interface type enum", 1: "import class async return new null; }); { } this. if"},
+    "java": {6: "package", 3: "public private protected final @Override throws", 1: "static void int String import class return new { }"},
+    "bash": {4: "fi done esac then ;;", 2: "echo [ [[ local set", 1: "if do export"},
+    "json": {2: "], ["},
+    "yaml": {2: "-"},
+    "toml": {1: "="},
+    "ini": {1: "="},
 }
+PARTS: dict[str, dict[int, tuple[str, ...]]] = {
+    "bash": {8: ("#!/bin/", "#!/usr/bin/env bash"), 1: ("$",)},
+    "json": {2: ('":',)},
+    "yaml": {1: (": ", ":\n")},
+    "toml": {4: ("\n[",)},
+    "ini": {4: ("\n[",), 1: ("\n;",)},
+    "css": {1: (";\n", "px;")},
+    "html": {2: ("</",), 20: ("<!doctype html", "<!DOCTYPE html", "<html")},
+}
+_BY_WORD: dict[str, list[tuple[str, int]]] = {}
+for _language, _weights in WORDS.items():
+    for _weight, _tokens in _weights.items():
+        for _token in _tokens.split():
+            _BY_WORD.setdefault(_token, []).append((_language, _weight))
+#: A language comes into question for a readable text from this part of the weight of the text's own language on.
+RIVAL = 1
 _SAME = {frozenset(("javascript", "typescript")), frozenset(("json", "yaml")), frozenset(("toml", "ini"))}
 
 
+_JSON_TOKEN = re.compile(r'[ \t\n\r]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.])|true\b|false\b|null\b))')
+
+
+def deep_json(text: str) -> None:
+    """Standard JSON of any depth, without recursion."""
+    stack, state, at = [], "value", 0  # states: value, first (a value or the end of a list), key, first key, colon, end
+    text = text.rstrip(" \t\n\r")
+    while at < len(text):
+        m = _JSON_TOKEN.match(text, at)
+        if not m:
+            raise Invalid(f"unexpected text at {at}")
+        at = m.end()
+        sign = m[1]
+        if sign in ("{", "[") and state in ("value", "first"):
+            stack.append(sign)
+            state = "first key" if sign == "{" else "first"
+        elif sign is None and state in ("value", "first"):
+            state = "end"
+        elif m[2] and state in ("key", "first key"):
+            state = "colon"
+        elif sign == ":" and state == "colon":
+            state = "value"
+        elif sign == "," and state == "end" and stack:
+            state = "key" if stack[-1] == "{" else "value"
+        elif (sign == "}" and state in ("end", "first key") and stack and stack[-1] == "{") or (sign == "]" and state in ("end", "first") and stack and stack[-1] == "["):
+            stack.pop()
+            state = "end"
+        else:
+            raise Invalid(f"unexpected {m.group().strip()} at {at}")
+    if stack or state != "end":
+        raise Invalid("unexpected end")
+
+
+def deep_python(text: str) -> None:
+    """Where the depth of the compiler's own stack ends, tokens, indents and brackets decide."""
+    pairs, stack = {")": "(", "]": "[", "}": "{"}, []
+    for token in tokenize.generate_tokens(io.StringIO(text).readline):
+        if token.type == tokenize.OP and token.string in "([{":
+            stack.append(token.string)
+        elif token.type == tokenize.OP and token.string in pairs and (not stack or stack.pop() != pairs[token.string]):
+            raise Invalid(f"unmatched {token.string} in line {token.start[0]}")
+    if stack:
+        raise Invalid(f"{stack[-1]} was never closed")
+
+
+def parses_deep(language: str, text: str) -> None:
+    """Reads a text that is nested deeper than the parser goes. Parsers in Python may go as deep as the text is long."""
+    if language in ("json", "python"):
+        return deep_json(text) if language == "json" else deep_python(text)
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(before + 40 * len(text))
+    try:
+        return FOREIGN[language](text)
+    finally:
+        sys.setrecursionlimit(before)
+
+
 def parses(language: str, text: str) -> str | None:
-    """Null if ``text`` is valid in ``language``, else what is wrong."""
+    """Null if ``text`` is valid in ``language``, else what is wrong. No depth of nesting is too deep."""
     try:
-        FOREIGN[language](text)
-    except RecursionError:
-        return None  # nested deeper than this parser goes; not a fault of the text
-    except MemoryError:
-        return None
+        try:
+            FOREIGN[language](text)
+        except (RecursionError, MemoryError):
+            parses_deep(language, text)
+    except (RecursionError, MemoryError):
+        raise  # this machine's limit, not a fault of the text
     except Exception as error:
-        return (str(error) or type(error).__name__)[:200]
+        return str(error) or type(error).__name__
     return None
 
 
+def weighed(text: str) -> dict[str, int]:
+    """The first ranking, of every text: the weight of each language's words and parts."""
+    counts = Counter(text.split())
+    out: dict[str, int] = dict.fromkeys(FOREIGN, 0)
+    for word in counts.keys() & _BY_WORD.keys():
+        n = counts[word]
+        for language, weight in _BY_WORD[word]:
+            out[language] += weight * n
+    for language, weights in PARTS.items():
+        for weight, parts in weights.items():
+            for part in parts:
+                out[language] += weight * text.count(part)
+    return out
+
+
 def ranked(text: str) -> list[tuple[float, str]]:
     """The languages by the weight of their tokens, the likeliest first; ties by name."""
     scores = [(sum(weight * sum(1 for _ in pattern.finditer(text)) for weight, pattern in rules), name) for name, rules in TOKENS.items()]
@@ -141,14 +238,22 @@ def ranked(text: str) -> list[tuple[float, str]]:
 
 
 def judge(language: str, text: str) -> tuple[str, str, str | None] | None:
-    """``(kind, message, language that it is)`` of a text that isn't valid in ``language``; null for a valid one."""
+    """``(kind, message, language that it is)`` of a text that isn't valid in ``language``; null for a valid one.
+
+    Every text is ranked by its words. If another language comes into question, or its own grammar rejects it, the finer
+    ranking gives the order in which the other grammars are tried; a text that its own grammar accepts is only another
+    language's if that one leads in the finer ranking, too.
+    """
     message = parses(language, text)
-    usual = USUAL.get(language)
-    if message is None and (usual is None or not text.strip() or usual.search(text)) and not (language != "json" and re.match(r"\s*(?:<!doctype html|<html)", text, re.IGNORECASE)):
-        return None
+    if message is None:
+        weight = weighed(text)
+        own = max(weight[language], 1)
+        if not any(w > RIVAL * own for other, w in weight.items() if other != language and frozenset((language, other)) not in _SAME):
+            return None
     order = ranked(text)
+    mine = next((s for s, n in order if n == language), 0)
     for score, other in order:
-        if other == language or (message is None and (score < 4 or frozenset((language, other)) in _SAME or score <= next((s for s, n in order if n == language), 0))):
+        if other == language or (message is None and (score < 4 or frozenset((language, other)) in _SAME or score <= mine)):
             continue
         if parses(other, text) is None:
             return "other language", message or f"reads as {other}", other
@@ -158,18 +263,18 @@ def judge(language: str, text: str) -> tuple[str, str, str | None] | None:
 FOUND = "entry_id long, repo_id string, lang string, kind string, message string, parsed_as string"
 
 
-def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _judge(batches: Iterator[pd.DataFrame], every: bool) -> Iterator[pd.DataFrame]:
     warnings.simplefilter("ignore")  # those of parsed files
     for batch in batches:
         out = []
         for entry, repo, language, text in zip(batch["entry_id"], batch["repo_id"], batch["lang"], batch["content"], strict=True):
-            if language in GRAMMARS and (verdict := judge(language, text)):
-                out.append((entry, repo, language, *verdict))
+            if (verdict := judge(language, text)) or every:
+                out.append((entry, repo, language, *(verdict or (None, None, None))))
         yield pd.DataFrame(out, columns=["entry_id", "repo_id", "lang", "kind", "message", "parsed_as"])
 
 
-def invalid_entries(entries: DataFrame, languages: DataFrame) -> DataFrame:
-    """``entry_id, repo_id, lang, kind, message, parsed_as`` of the entries whose content isn't valid in their language.
+def judged_entries(entries: DataFrame, languages: DataFrame, every: bool = True) -> DataFrame:
+    """``entry_id, repo_id, lang, kind, message, parsed_as`` of the entries that can be parsed, or of the invalid ones among them; ``kind`` is null for valid ones.
 
     Entries without id or content, of unknown languages or of languages without a grammar (Markdown, HTML, INI, text) never
     count; an empty text is invalid only as JSON. Repeated rows of one entry_id are one entry.
@@ -177,15 +282,15 @@ def invalid_entries(entries: DataFrame, languages: DataFrame) -> DataFrame:
     texts = with_language(entries.where("entry_id is not null and content is not null").select("entry_id", F.col("repo_id").cast("string").alias("repo_id"), "path", "language", "content"), languages)
     known = texts.where(F.col("lang").isin(*GRAMMARS)).select("entry_id", "repo_id", "lang", "content")
     # as text, the ids of repositories survive a null among them
-    return known.mapInPandas(_judge, FOUND).withColumn("repo_id", F.col("repo_id").cast("long")).dropDuplicates(["entry_id"])
+    return known.mapInPandas(lambda batches: _judge(batches, every), FOUND).withColumn("repo_id", F.col("repo_id").cast("long")).dropDuplicates(["entry_id"])
+
+
+def invalid_entries(entries: DataFrame, languages: DataFrame) -> DataFrame:
+    """The rows of ``judged_entries`` whose content isn't valid in their language."""
+    return judged_entries(entries, languages, every=False)
 
 
 def invalid_rates(entries: DataFrame, languages: DataFrame) -> DataFrame:
-    """``repo_id, language, n_entries, n_invalid, rate`` over the entries that could be parsed."""
-    known = with_language(entries.where("entry_id is not null and content is not null").select("entry_id", "repo_id", "path", "language"), languages).where(F.col("lang").isin(*GRAMMARS))
-    totals = known.groupBy("repo_id", "lang").agg(F.count_distinct("entry_id").alias("n_entries"))
-    bad = invalid_entries(entries, languages).groupBy("repo_id", "lang").agg(F.count("*").alias("n_invalid"))
-    bad = bad.select(F.col("repo_id").alias("bad_repo"), F.col("lang").alias("bad_lang"), "n_invalid")
-    joined = totals.join(bad, F.col("repo_id").eqNullSafe(F.col("bad_repo")) & (F.col("lang") == F.col("bad_lang")), "left")
-    n = F.coalesce("n_invalid", F.lit(0))
-    return joined.select("repo_id", F.col("lang").alias("language"), "n_entries", n.alias("n_invalid"), F.round(n / F.col("n_entries"), 6).alias("rate"))
+    """``repo_id, language, n_entries, n_invalid, rate`` over the entries that could be parsed; the texts are read once."""
+    totals = judged_entries(entries, languages).groupBy("repo_id", F.col("lang").alias("language")).agg(F.count("*").alias("n_entries"), F.count("kind").alias("n_invalid"))
+    return totals.withColumn("rate", F.round(F.col("n_invalid") / F.col("n_entries"), 6))
