@@ -1,8 +1,9 @@
 """Functions and methods with their documentation (problem 7).
 
 A lexer per language turns a file into structural tokens: comments, annotations, function names, opening and closing
-brackets of blocks, docstrings. They become rows; windows over them do the rest: runs of comment lines are islands, lags
-attach the comment that ends directly above a function, and the cumulative depth delimits its body.
+brackets of their bodies (in Python the indents), docstrings. They become rows; windows over them do the rest: runs of
+comment lines are islands, lags attach the comment that ends directly above a function and lies as deep, and the cumulative
+depth delimits its body. Brackets of other blocks come in pairs, so that depths and ends are the same without them.
 """
 
 from __future__ import annotations
@@ -57,6 +58,14 @@ def _blank(piece: str) -> str:
     return " " * len(piece) if "\n" not in piece else re.sub(r"[^\n]", " ", piece)
 
 
+def _python_blank(m: re.Match) -> str:
+    """Comments as blanks, strings as quotes, and strings of several lines as brackets, which hold their lines together."""
+    piece = m.group()
+    if piece[0] == "#":
+        return " " * len(piece)
+    return '"' * len(piece) if "\n" not in piece else f"({_blank(piece[1:-1])})"
+
+
 class _Lines:
     def __init__(self, text: str):
         self.ends = [m.start() for m in re.finditer("\n", text)]
@@ -65,14 +74,11 @@ class _Lines:
         return bisect_right(self.ends, at - 1) + 1
 
 
-def tokens(language: str, text: str, blocks: bool = True) -> list[tuple[int, str, int, int, str | None]]:
-    """``(position, kind, first line, last line, text)`` of the structural tokens, in order; nothing without a function.
-
-    The brackets of blocks are left out unless ``blocks``.
-    """
+def tokens(language: str, text: str) -> list[tuple[int, str, int, int, str | None]]:
+    """``(position, kind, first line, last line, text)`` of the structural tokens, in order; nothing without a function."""
     lines = _Lines(text)
     if language == "python":
-        return _python_tokens(text, _PYTHON_SKIP.sub(lambda m: _blank(m.group()), text), lines, blocks) if "def " in text or "def\t" in text else []
+        return _python_tokens(text, _PYTHON_SKIP.sub(_python_blank, text), lines) if "def " in text or "def\t" in text else []
     out: list[tuple[int, str, int, int, str | None]] = []
 
     def skip(m: re.Match) -> str:
@@ -83,33 +89,38 @@ def tokens(language: str, text: str, blocks: bool = True) -> list[tuple[int, str
                 out.append((start, COMMENT if piece.startswith("/*") else LINE_COMMENT, lines.of(start), lines.of(m.end() - 1), piece))
         elif "k" in m.re.groupindex and m["k"] is not None:
             return m["k"] + _blank(piece[len(m["k"]) :])
-            return _blank(piece)
         return _blank(piece) if m["c"] is not None else '"' * len(piece) if "\n" not in piece else re.sub(r"[^\n]", '"', piece)
 
     blank = _SKIPS[language].sub(skip, text)
-    heads, headers = [], []
+    heads, bodies = [], set()
     for m in _HEADS[language].finditer(blank):
         name = m.lastgroup
         at = m.start(name)
         first = m.start() + len(m.group()) - len(m.group().lstrip())
         heads.append((first, FUNCTION, lines.of(first), lines.of(at), m[name].lstrip("#")))
-        if blocks:  # brackets within the header are no blocks
-            body = _AFTER_NAME.match(blank, m.end() - 1) if blank[m.end() - 1] == "(" else None
-            headers.append((m.start(), (body or m).end() - (1 if blank[(body or m).end() - 1] == "{" else 0)))
+        end = m.end()
+        if blank[end - 1] == "(" and (body := _AFTER_NAME.match(blank, end - 1)):
+            end = body.end()
+        bodies.add(end - 1 if language != "bash" and blank[end - 1] == "{" else end)
     if not heads:
         return []
     out += heads
     if language in ("java", "typescript", "javascript"):
         out += [(m.start(), ANNOTATION, lines.of(m.start() + len(m.group()) - len(m.group().lstrip())), lines.of(m.end() - 1 if m.end() > m.start() else m.start()), None) for m in _NOTE.finditer(blank)]
-    if blocks:
-        starts = [start for start, _ in headers]
-        inside = lambda at: (k := bisect_right(starts, at)) > 0 and at < headers[k - 1][1]
-        out += [(m.start(), m.group(), line := lines.of(m.start()), line, None) for m in _BRACE.finditer(blank) if not inside(m.start())]
+    stack: list[bool] = []
+    for m in _BRACE.finditer(blank):
+        at = m.start()
+        if blank[at] == "{":
+            stack.append(at in bodies)
+            if stack[-1]:
+                out.append((at, OPEN, line := lines.of(at), line, None))
+        elif stack and stack.pop():
+            out.append((at, CLOSE, line := lines.of(at), line, None))
     out.sort(key=lambda t: t[0])
     return out
 
 
-def _python_tokens(text: str, blank: str, lines: _Lines, blocks: bool) -> list[tuple[int, str, int, int, str | None]]:
+def _python_tokens(text: str, blank: str, lines: _Lines) -> list[tuple[int, str, int, int, str | None]]:
     out: list[tuple[int, str, int, int, str | None]] = []
     for m in _PYTHON_HEAD.finditer(blank):
         at = m.start("f")
@@ -131,29 +142,29 @@ def _python_tokens(text: str, blank: str, lines: _Lines, blocks: bool) -> list[t
             out.append((doc.start(1), DOCSTRING, lines.of(doc.start(1)), lines.of(doc.end(1) - 1), doc.group(1)))
     if not any(t[1] == DOCSTRING for t in out):
         return []
-    if not blocks:
-        return out
-    indents, depth, at, previous, joined = [0], 0, 0, 0, False
-    number = 0
-    for line, original in zip(blank.split("\n"), text.split("\n"), strict=True):
+    indents, depth, at, number, previous, joined = [(0, False)], 0, 0, 0, 0, False
+    defines = False  # whether the logical line before is the header of a function
+    for line in blank.split("\n"):
         number += 1
-        bare = line.strip()
-        begins = not depth and not joined and (bare or (original.strip() and not original.lstrip().startswith("#") and line != original))
-        if begins:
-            width = len(original.expandtabs(8)) - len(original.expandtabs(8).lstrip())
-            if width > indents[-1]:
-                indents.append(width)
-                out.append((at - 1, OPEN, number, number, None))
-            while width < indents[-1]:
-                indents.pop()
-                out.append((at - 1, CLOSE, previous, previous, None))
+        bare = line.lstrip()
         if bare:
-            depth += sum(map(bare.count, "([{")) - sum(map(bare.count, ")]}"))
-            joined = bare.endswith("\\")
-        if bare or original.strip():
+            if not depth and not joined:
+                width = len(line) - len(bare)
+                if "\t" in line[:width]:
+                    width = len(line[:width].expandtabs(8))
+                if width > indents[-1][0]:
+                    indents.append((width, defines))
+                    if defines:
+                        out.append((at - 1, OPEN, number, number, None))
+                while width < indents[-1][0]:
+                    if indents.pop()[1]:
+                        out.append((at - 1, CLOSE, previous, previous, None))
+                defines = bare.startswith(("def", "async")) and _PYTHON_HEAD.match(line) is not None
+            depth += bare.count("(") + bare.count("[") + bare.count("{") - bare.count(")") - bare.count("]") - bare.count("}")
+            joined = bare.rstrip().endswith("\\")
             previous = number
         at += len(line) + 1
-    out += [(at, CLOSE, previous, previous, None)] * (len(indents) - 1)
+    out += [(at, CLOSE, previous, previous, None) for _, body in indents if body]
     out.sort(key=lambda t: t[0])
     return out
 
@@ -181,14 +192,14 @@ def _spoken(found: list[tuple[int, str, int, int, str | None]], least: int) -> b
     return least <= 0
 
 
-def _lex(batches: Iterator[pa.RecordBatch], blocks: bool, least: int) -> Iterator[pa.RecordBatch]:
+def _lex(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     warnings.simplefilter("ignore")
     types = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
     names = [part.split()[0] for part in TOKEN.split(", ")]
     for batch in batches:
         columns: list[list] = [[] for _ in types]
         for copy, entry, language, text in zip(*(batch.column(n).to_pylist() for n in ("copy", "entry_id", "lang", "content")), strict=True):
-            found = tokens(language, text, blocks)
+            found = tokens(language, text)
             if not _near(found) or not _spoken(found, least) or judge(language, text) is not None:
                 continue
             n = len(found)
@@ -198,11 +209,14 @@ def _lex(batches: Iterator[pa.RecordBatch], blocks: bool, least: int) -> Iterato
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
-def function_tokens(entries: DataFrame, languages: DataFrame, blocks: bool = True, least_words: int = 0) -> DataFrame:
-    """One row per structural token of the valid entries that have a commented function and a comment of ``least_words`` words. ``copy`` tells repeated rows apart."""
+def function_tokens(entries: DataFrame, languages: DataFrame, least_words: int = 0) -> DataFrame:
+    """One row per structural token of the valid entries that have a commented function and a comment of ``least_words`` words.
+
+    ``copy``, a digest of the text, tells different rows of one entry apart; equal rows give equal tokens twice.
+    """
     texts = with_language(entries.where("entry_id is not null and content is not null").select("entry_id", "path", "language", "content"), languages)
-    known = texts.where(F.col("lang").isin(*LANGUAGES)).select(F.monotonically_increasing_id().alias("copy"), "entry_id", "lang", "content")
-    return known.mapInArrow(lambda batches: _lex(batches, blocks, least_words), TOKEN)
+    known = texts.where(F.col("lang").isin(*LANGUAGES)).select(F.xxhash64("lang", "content").alias("copy"), "entry_id", "lang", "content")
+    return known.mapInArrow(lambda batches: _lex(batches, least_words), TOKEN)
 
 
 def real_words(doc: Column, name: Column) -> Column:
@@ -220,41 +234,44 @@ def real_words(doc: Column, name: Column) -> Column:
     return F.get(left, F.lit(0))
 
 
-def documented(rows: DataFrame, least_words: int = 4, ends: bool = False) -> DataFrame:
-    """``entry_id, lang, line_start, name, doc`` (and ``doc_start, line_end``) of the functions among token rows.
+def documented(rows: DataFrame, least_words: int = 4) -> DataFrame:
+    """``entry_id, copy, lang, line_start, name, doc, doc_start, line_end`` of the functions among token rows.
 
-    All windows are partitioned by ``copy``, so that the rows are shuffled once.
+    All windows are partitioned by entry and ``copy``, so that the rows are shuffled once. Where the ends aren't asked for,
+    Spark leaves out their window.
     """
-    order = Window.partitionBy("copy").orderBy("ord")
-    if ends:
-        depth = F.sum("delta").over(order)
-        level = F.when(F.col("kind") == OPEN, F.col("depth")).when(F.col("kind") == CLOSE, F.col("depth") + 1)
-        rows = rows.withColumn("depth", depth).withColumn("level", level)
-        rows = rows.withColumn("closes", F.lead("last_line").over(Window.partitionBy("copy", "level").orderBy("ord")))
-    else:
-        rows = rows.withColumn("closes", F.lit(None).cast("int"))
+    file = ("entry_id", "copy")
+    order = Window.partitionBy(*file).orderBy("ord")
+    rows = rows.withColumn("before", F.lag("ord").over(order)).where("before is null or before <> ord")  # equal rows delivered twice
+    # the depth a token lies at: brackets count to what is outside
+    depth = F.sum("delta").over(order) - F.when(F.col("kind") == OPEN, 1).otherwise(0)
     joins = F.col("kind").isin(LINE_COMMENT, ANNOTATION) & (F.col("kind") == F.lag("kind").over(order)) & (F.col("first_line") == F.lag("last_line").over(order) + 1)
-    islands = rows.withColumn("begins", F.when(joins, 0).otherwise(1)).withColumn("island", F.sum("begins").over(order))
-    runs = islands.groupBy("copy", "island").agg(
-        F.min("entry_id").alias("entry_id"),
+    rows = rows.withColumn("depth", depth).withColumn("begins", F.when(joins, 0).otherwise(1))
+    level = F.when(F.col("kind").isin(OPEN, CLOSE), F.col("depth"))
+    closes = F.when(F.col("kind") == OPEN, F.lead("last_line").over(Window.partitionBy(*file, level).orderBy("ord")))
+    islands = rows.withColumn("closes", closes).withColumn("island", F.sum("begins").over(order))
+    runs = islands.groupBy(*file, "island").agg(
         F.min("lang").alias("lang"),
         F.min("kind").alias("kind"),
+        F.min("depth").alias("depth"),
         F.min("first_line").alias("first_line"),
         F.max("last_line").alias("last_line"),
         F.min("closes").alias("closes"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("ord", "text")))), lambda x: x["text"]), "\n").alias("text"),
     )
     runs = runs.withColumn("kind", F.when(F.col("kind") == LINE_COMMENT, COMMENT).otherwise(F.col("kind")))
-    run = Window.partitionBy("copy").orderBy("island")
-    near = {f"{column}_{n}": (F.lag if n < 0 else F.lead)(column, abs(n)).over(run) for n in (-2, -1, 1, 2) for column in ("kind", "first_line", "last_line", "text", "closes") if n > 0 or column != "closes"}
+    run = Window.partitionBy(*file).orderBy("island")
+    before = ("kind", "depth", "first_line", "last_line", "text")
+    after = ("kind", "last_line", "text", "closes")
+    near = {f"{column}_{n}": (F.lag if n < 0 else F.lead)(column, abs(n)).over(run) for n in (-2, -1, 1, 2) for column in (before if n < 0 else after)}
     seen = runs.withColumns(near).where(F.col("kind") == FUNCTION)
-    above = (F.col("kind_-1") == COMMENT) & (F.col("last_line_-1") == F.col("first_line") - 1)
-    beyond = (F.col("kind_-1") == ANNOTATION) & (F.col("last_line_-1") == F.col("first_line") - 1) & (F.col("kind_-2") == COMMENT) & (F.col("last_line_-2") == F.col("first_line_-1") - 1)
+    above = (F.col("kind_-1") == COMMENT) & (F.col("last_line_-1") == F.col("first_line") - 1) & (F.col("depth_-1") == F.col("depth"))
+    beyond = (F.col("kind_-1") == ANNOTATION) & (F.col("last_line_-1") == F.col("first_line") - 1) & (F.col("kind_-2") == COMMENT) & (F.col("last_line_-2") == F.col("first_line_-1") - 1) & (F.col("depth_-2") == F.col("depth"))
     python = F.col("lang") == "python"
     inner = F.when(F.col("kind_1") == DOCSTRING, F.col("text_1")).when((F.col("kind_1") == OPEN) & (F.col("kind_2") == DOCSTRING), F.col("text_2"))
     doc = F.when(python, inner).when(above, F.col("text_-1")).when(beyond, F.col("text_-2"))
     start = F.when(python, F.col("first_line")).when(above, F.col("first_line_-1")).when(beyond, F.col("first_line_-2"))
-    found = seen.select("entry_id", "lang", F.col("last_line").alias("line_start"), F.col("text").alias("name"), doc.alias("doc"), start.alias("doc_start"), F.when(F.col("kind_1") == OPEN, F.col("closes_1")).otherwise(F.coalesce("last_line_1", "last_line")).alias("line_end"))
+    found = seen.select(*file, "lang", F.col("last_line").alias("line_start"), F.col("text").alias("name"), doc.alias("doc"), start.alias("doc_start"), F.when(F.col("kind_1") == OPEN, F.col("closes_1")).otherwise(F.coalesce("last_line_1", "last_line")).alias("line_end"))
     return found.where(F.col("doc").isNotNull()).where(real_words(F.col("doc"), F.col("name")) >= least_words)
 
 
@@ -263,12 +280,19 @@ def documented_functions(entries: DataFrame, languages: DataFrame, least_words:
 
     Entries that are null, empty, of other languages or not valid in theirs have none; repeated rows count once.
     """
-    return documented(function_tokens(entries, languages, False, least_words), least_words).select("entry_id", "line_start", "name").distinct()
+    return documented(function_tokens(entries, languages, least_words), least_words).select("entry_id", "line_start", "name").distinct()
 
 
 def function_pairs(entries: DataFrame, languages: DataFrame, least_words: int = 4) -> DataFrame:
-    """``entry_id, lang, name, line_start, line_end, doc, code``: the code from the line of the name to the end of the body."""
-    found = documented(function_tokens(entries, languages, True, least_words), least_words, ends=True).dropDuplicates(["entry_id", "line_start", "name"])
-    texts = entries.where("content is not null").groupBy("entry_id").agg(F.max("content").alias("content"))
-    lines = F.slice(F.split("content", "\n"), F.col("line_start"), F.greatest(F.col("line_end") - F.col("line_start") + 1, F.lit(1)))
-    return found.join(texts, "entry_id").select("entry_id", "lang", "name", "line_start", F.greatest("line_end", "line_start").alias("line_end"), "doc", F.array_join(lines, "\n").alias("code"))
+    """``entry_id, lang, name, line_start, line_end, doc, code``: the code from the line of the name to the end of the body.
+
+    Only texts with such functions are joined for their code, by entry and digest.
+    """
+    found = documented(function_tokens(entries, languages, least_words), least_words).dropDuplicates(["entry_id", "line_start", "name"])
+    per = found.groupBy("entry_id", "copy").agg(F.min("lang").alias("lang"), F.collect_list(F.struct("name", "line_start", F.greatest("line_end", "line_start").alias("line_end"), "doc")).alias("own"))
+    texts = with_language(entries.where("entry_id is not null and content is not null").select("entry_id", "path", "language", "content"), languages)
+    held = texts.where(F.col("lang").isin(*LANGUAGES)).select("entry_id", F.xxhash64("lang", "content").alias("copy"), "content")
+    joined = per.join(held, ["entry_id", "copy"]).dropDuplicates(["entry_id", "copy"])
+    one = joined.select("entry_id", "lang", F.split("content", "\n").alias("lines"), F.inline("own"))
+    code = F.array_join(F.slice("lines", F.col("line_start"), F.col("line_end") - F.col("line_start") + 1), "\n")
+    return one.select("entry_id", "lang", "name", "line_start", "line_end", "doc", code.alias("code"))
