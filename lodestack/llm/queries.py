@@ -48,6 +48,12 @@ def p3_tokenizer_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.budget_by_slice(budget, table(spark, sf_dir, "exports")).withColumnRenamed("estimated_tokens", "tokens")
 
 
+def p3_unigram_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best-path pieces under a public vocabulary of scored pieces by source, domain and language."""
+    budget = tokens.token_budget(table(spark, sf_dir, "file_entries"), table(spark, sf_dir, "languages"), tokens.piece_tokens)
+    return tokens.budget_by_slice(budget, table(spark, sf_dir, "exports")).withColumnRenamed("estimated_tokens", "pieces")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax.invalid_entries(table(spark, sf_dir, "file_entries"), table(spark, sf_dir, "languages")).select("entry_id").distinct()
 
@@ -113,6 +119,7 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_budget_by_source": p3_budget_by_source,
     "p3_tokenizer_budget": p3_tokenizer_budget,
+    "p3_unigram_budget": p3_unigram_budget,
     "p5_found": p5_found,
     "p5_rates": p5_rates,
     "p6_found": p6_found,

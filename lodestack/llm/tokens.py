@@ -18,6 +18,7 @@ from lodestack.llm.unigram import ESTIMATE_SYMBOL, RunCounter, UnigramCounter, e
 
 TOKENIZER_DIR = os.environ.get("LODESTACK_TOKENIZERS", "/opt/tokenizers")
 DEFAULT_RANKS = f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken"
+DEFAULT_PIECES = f"{TOKENIZER_DIR}/piece_bpe_32k.model"
 #: How byte-level BPE of this family cuts a text before merging (a fixed value of the vocabulary).
 PRETOKENS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -72,6 +73,36 @@ def unigram_tokens(text: Column, pieces: Sequence[tuple[str, float]], space: str
     return counts(text)
 
 
+@lru_cache(maxsize=2)
+def piece_scores(model_path: str) -> tuple[tuple[str, float], ...]:
+    """``(piece, score)`` of a vocabulary file of pieces; control and unknown symbols are left out."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=model_path)
+    return tuple((model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
+
+
+@lru_cache(maxsize=2)
+def _piece_counter(model_path: str) -> UnigramCounter:
+    return UnigramCounter(piece_scores(model_path), segments=lambda text: ("▁" + word for word in text.split()))
+
+
+def piece_tokens(text: Column, model_path: str = DEFAULT_PIECES) -> Column:
+    """Pieces on the best path of ``text`` under the pieces and scores in the file ``model_path``; null for null.
+
+    Each worker builds the trie of the vocabulary once. Scores of a file made for merging are ranks, for which the best path
+    is the one of the least ranks in sum and not the merged tokens.
+    """
+
+    @pandas_udf(LongType())
+    def counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        counter = _piece_counter(model_path)
+        for batch in batches:
+            yield pd.Series([counter.count(text) for text in batch], dtype="Int64")
+
+    return counts(text)
+
+
 def bpe_tokens(text: Column, ranks_path: str = DEFAULT_RANKS) -> Column:
     """Exact tokens of ``text`` under the byte-level BPE vocabulary in ``ranks_path``; null for null, 0 for ''."""
 

@@ -64,6 +64,30 @@ def test_estimate_is_a_quarter_rounded_up(spark):
     assert [counter.count(t) for t in texts[:5]] == [-(-len(t) // 4) for t in texts[:5]]
 
 
+@pytest.mark.parametrize("pieces", [unigram.ESTIMATE_PIECES, [("xx", -1.3), ("xxxxx", -2.9)], [("x", -1.0), ("xxx", -2.0), ("xxxx", -3.0)], [("y", -1.0)], [("x" * n, -(n**0.37)) for n in (1, 3, 7, 11)], [("x" * 9, -1.0)]])
+def test_runs_of_any_length(pieces):
+    counter = unigram.UnigramCounter(pieces)
+    runs = unigram.RunCounter(counter, "x")
+    counts = counter.best_counts("x" * 9000)
+    assert runs.count(np.array([0, 1, 2, 5, 8999, 8999, 137, 4099])).tolist() == [counts[n] for n in (0, 1, 2, 5, 8999, 8999, 137, 4099)]
+    assert len(runs.first) <= runs.REMEMBERED + 1 and runs.count(np.zeros(0, np.int64)).size == 0
+
+
+def test_a_run_of_a_billion():
+    runs = unigram.RunCounter(unigram.estimate_counter(), unigram.ESTIMATE_SYMBOL)
+    assert runs.period and runs.count(np.array([10**9 + 1, 10**9])).tolist() == [250_000_001, 250_000_000]
+
+
+def test_public_pieces(spark):
+    texts = ["hello world", "", None, "the theory of everything"]
+    got = [r.n for r in spark.createDataFrame([(t,) for t in texts], "t string").select(tokens.piece_tokens(F.col("t")).alias("n")).collect()]
+    assert got[1:3] == [0, None]
+    scores = dict(tokens.piece_scores(tokens.DEFAULT_PIECES))
+    for text, n in zip(texts, got, strict=True):
+        if text:
+            assert n == sum(-best_by_brute_force("▁" + w, list(scores.items()), min(scores.values()) - 10)[1] for w in text.split())
+
+
 def test_budgets(spark):
     entries = spark.createDataFrame([(1, 1, "py", "a.py", "x" * 5), (1, 1, "py", "a.py", "x" * 5), (2, 1, None, "b.PY", ""), (3, 2, "?", "c", "abc"), (4, 2, "py", "d.py", None)], "entry_id long, export_id long, language string, path string, content string")
     languages = spark.createDataFrame([("py", "python")], "alias string, language string")
