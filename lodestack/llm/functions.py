@@ -13,6 +13,7 @@ import warnings
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -169,7 +170,7 @@ def _python_tokens(text: str, blank: str, lines: _Lines) -> list[tuple[int, str,
     return out
 
 
-TOKEN = "copy long, entry_id long, lang string, ord int, kind string, delta int, first_line int, last_line int, text string"
+TOKEN = "copy long, entry_id long, ord int, kind string, first_line int, last_line int, text string"
 
 
 def _near(found: list[tuple[int, str, int, int, str | None]]) -> bool:
@@ -194,19 +195,25 @@ def _spoken(found: list[tuple[int, str, int, int, str | None]], least: int) -> b
 
 def _lex(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     warnings.simplefilter("ignore")
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
     names = [part.split()[0] for part in TOKEN.split(", ")]
     for batch in batches:
-        columns: list[list] = [[] for _ in types]
+        copies: list[int] = []
+        ids: list[int] = []
+        sizes: list[int] = []
+        rows: list[tuple[int, str, int, int, str | None]] = []
         for copy, entry, language, text in zip(*(batch.column(n).to_pylist() for n in ("copy", "entry_id", "lang", "content")), strict=True):
             found = tokens(language, text)
             if not _near(found) or not _spoken(found, least) or judge(language, text) is not None:
                 continue
-            n = len(found)
-            _, kinds, first, last, texts = zip(*found, strict=True)
-            for column, values in zip(columns, ([copy] * n, [entry] * n, [language] * n, range(n), kinds, [1 if k == OPEN else -1 if k == CLOSE else 0 for k in kinds], first, last, texts), strict=True):
-                column.extend(values)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+            copies.append(copy)
+            ids.append(entry)
+            sizes.append(len(found))
+            rows += found
+        n = np.array(sizes, np.int64)
+        order = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
+        _, kinds, first, last, texts = zip(*rows, strict=True) if rows else ((),) * 5
+        columns = [(np.repeat(np.array(copies, np.int64), n), pa.int64()), (np.repeat(np.array(ids, np.int64), n), pa.int64()), (order.astype(np.int32), pa.int32()), (kinds, pa.string()), (first, pa.int32()), (last, pa.int32()), (texts, pa.string())]
+        yield pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in columns], names=names)
 
 
 def function_tokens(entries: DataFrame, languages: DataFrame, least_words: int = 0) -> DataFrame:
@@ -235,7 +242,9 @@ def real_words(doc: Column, name: Column) -> Column:
 
 
 def documented(rows: DataFrame, least_words: int = 4) -> DataFrame:
-    """``entry_id, copy, lang, line_start, name, doc, doc_start, line_end`` of the functions among token rows.
+    """``entry_id, copy, line_start, name, doc, doc_start, line_end`` of the functions among token rows.
+
+    Docstrings come from Python alone, comments and annotations from the others.
 
     All windows are partitioned by entry and ``copy``, so that the rows are shuffled once. Where the ends aren't asked for,
     Spark leaves out their window.
@@ -244,14 +253,14 @@ def documented(rows: DataFrame, least_words: int = 4) -> DataFrame:
     order = Window.partitionBy(*file).orderBy("ord")
     rows = rows.withColumn("before", F.lag("ord").over(order)).where("before is null or before <> ord")  # equal rows delivered twice
     # the depth a token lies at: brackets count to what is outside
-    depth = F.sum("delta").over(order) - F.when(F.col("kind") == OPEN, 1).otherwise(0)
+    delta = F.when(F.col("kind") == OPEN, 1).when(F.col("kind") == CLOSE, -1).otherwise(0)
+    depth = F.sum(delta).over(order) - F.when(F.col("kind") == OPEN, 1).otherwise(0)
     joins = F.col("kind").isin(LINE_COMMENT, ANNOTATION) & (F.col("kind") == F.lag("kind").over(order)) & (F.col("first_line") == F.lag("last_line").over(order) + 1)
     rows = rows.withColumn("depth", depth).withColumn("begins", F.when(joins, 0).otherwise(1))
     level = F.when(F.col("kind").isin(OPEN, CLOSE), F.col("depth"))
     closes = F.when(F.col("kind") == OPEN, F.lead("last_line").over(Window.partitionBy(*file, level).orderBy("ord")))
     islands = rows.withColumn("closes", closes).withColumn("island", F.sum("begins").over(order))
     runs = islands.groupBy(*file, "island").agg(
-        F.min("lang").alias("lang"),
         F.min("kind").alias("kind"),
         F.min("depth").alias("depth"),
         F.min("first_line").alias("first_line"),
@@ -267,11 +276,10 @@ def documented(rows: DataFrame, least_words: int = 4) -> DataFrame:
     seen = runs.withColumns(near).where(F.col("kind") == FUNCTION)
     above = (F.col("kind_-1") == COMMENT) & (F.col("last_line_-1") == F.col("first_line") - 1) & (F.col("depth_-1") == F.col("depth"))
     beyond = (F.col("kind_-1") == ANNOTATION) & (F.col("last_line_-1") == F.col("first_line") - 1) & (F.col("kind_-2") == COMMENT) & (F.col("last_line_-2") == F.col("first_line_-1") - 1) & (F.col("depth_-2") == F.col("depth"))
-    python = F.col("lang") == "python"
     inner = F.when(F.col("kind_1") == DOCSTRING, F.col("text_1")).when((F.col("kind_1") == OPEN) & (F.col("kind_2") == DOCSTRING), F.col("text_2"))
-    doc = F.when(python, inner).when(above, F.col("text_-1")).when(beyond, F.col("text_-2"))
-    start = F.when(python, F.col("first_line")).when(above, F.col("first_line_-1")).when(beyond, F.col("first_line_-2"))
-    found = seen.select(*file, "lang", F.col("last_line").alias("line_start"), F.col("text").alias("name"), doc.alias("doc"), start.alias("doc_start"), F.when(F.col("kind_1") == OPEN, F.col("closes_1")).otherwise(F.coalesce("last_line_1", "last_line")).alias("line_end"))
+    doc = F.coalesce(inner, F.when(above, F.col("text_-1")).when(beyond, F.col("text_-2")))
+    start = F.when(inner.isNotNull(), F.col("first_line")).when(above, F.col("first_line_-1")).when(beyond, F.col("first_line_-2"))
+    found = seen.select(*file, F.col("last_line").alias("line_start"), F.col("text").alias("name"), doc.alias("doc"), start.alias("doc_start"), F.when(F.col("kind_1") == OPEN, F.col("closes_1")).otherwise(F.coalesce("last_line_1", "last_line")).alias("line_end"))
     return found.where(F.col("doc").isNotNull()).where(real_words(F.col("doc"), F.col("name")) >= least_words)
 
 
@@ -289,9 +297,9 @@ def function_pairs(entries: DataFrame, languages: DataFrame, least_words: int =
     Only texts with such functions are joined for their code, by entry and digest.
     """
     found = documented(function_tokens(entries, languages, least_words), least_words).dropDuplicates(["entry_id", "line_start", "name"])
-    per = found.groupBy("entry_id", "copy").agg(F.min("lang").alias("lang"), F.collect_list(F.struct("name", "line_start", F.greatest("line_end", "line_start").alias("line_end"), "doc")).alias("own"))
+    per = found.groupBy("entry_id", "copy").agg(F.collect_list(F.struct("name", "line_start", F.greatest("line_end", "line_start").alias("line_end"), "doc")).alias("own"))
     texts = with_language(entries.where("entry_id is not null and content is not null").select("entry_id", "path", "language", "content"), languages)
-    held = texts.where(F.col("lang").isin(*LANGUAGES)).select("entry_id", F.xxhash64("lang", "content").alias("copy"), "content")
+    held = texts.where(F.col("lang").isin(*LANGUAGES)).select("entry_id", "lang", F.xxhash64("lang", "content").alias("copy"), "content")
     joined = per.join(held, ["entry_id", "copy"]).dropDuplicates(["entry_id", "copy"])
     one = joined.select("entry_id", "lang", F.split("content", "\n").alias("lines"), F.inline("own"))
     code = F.array_join(F.slice("lines", F.col("line_start"), F.col("line_end") - F.col("line_start") + 1), "\n")
