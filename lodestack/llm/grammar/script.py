@@ -23,9 +23,8 @@ _REGEX = r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[a-z]*"
 _OPERATOR = r"=>|\.\.\.|\?\.(?!\d)|===|!==|==|!=|<=|\*\*=?|&&=?|\|\|=?|\?\?=?|<<=?|[+\-*%&|^]=|[=!~+\-*%&|^<>?:;,(\[{@]"
 _INNER = r"(?:[^{}`]|\{(?:[^{}`]|\{[^{}`]*\})*\}|`[^`]*`)*"
 _TOKEN = re.compile(
-    rf"""(?P<w>(?:[^\W\d]|\$)(?:\w|\$)*)(?P<wr>(?<=return)\s*{_REGEX}|(?<=typeof)\s*{_REGEX}|(?<=case)\s*{_REGEX})?
-    |(?P<s>[ \t\f\v ﻿]+)
-    |(?P<n>\r?\n|[\r  ])
+    rf"""[ \t\f\v ﻿]*(?:(?P<w>(?:[^\W\d]|\$)(?:\w|\$)*)(?P<wr>(?<=return)\s*{_REGEX}|(?<=typeof)\s*{_REGEX}|(?<=case)\s*{_REGEX})?
+    |(?P<n>(?:\r?\n|[\r\u2028\u2029])\s*)
     |(?P<c>//[^\n\r]*|/\*[\s\S]*?\*/|^\#![^\n]*)
     |(?P<v>"(?:[^"\\\n]|\\(?:\r\n|[\s\S]))*"|'(?:[^'\\\n]|\\(?:\r\n|[\s\S]))*'|(?:0[xXbBoO][\da-fA-F_]+|\d[\d_]*(?:\.[\d_]*)?(?:[eE][+-]?\d+)?|\.\d[\d_]*(?:[eE][+-]?\d+)?)n?(?!\w))
     |(?P<t>`(?:[^`\\$]|\\[\s\S]|\$(?!\{{)|\$\{{{_INNER}\}})*`)
@@ -33,7 +32,8 @@ _TOKEN = re.compile(
     |(?P<x>\+\+|--)
     |(?P<o>(?:{_OPERATOR}))(?:\s*(?P<r>{_REGEX}))?
     |(?P<e>[)\]}}])
-    |(?P<d>>=|/=?|\.)""",
+    |(?P<d>>=|/=?|\.)
+    |(?P<end>\Z))""",
     re.VERBOSE,
 )
 IDENTIFIER = "iAOSGHMLQZqXJj"
@@ -50,8 +50,6 @@ def lex(text: str, typed: bool) -> Node:
             break
         at = m.end()
         kind = m.lastgroup
-        if kind == "s":
-            continue
         if kind == "w":
             tokens.append(words.get(m["w"], "i"))
         elif kind == "wr":
@@ -87,7 +85,7 @@ def lex(text: str, typed: bool) -> Node:
             tokens.append("#")
         elif kind == "i":
             tokens.append("i")
-        elif "\n" in m["c"]:
+        elif kind == "c" and "\n" in m["c"]:
             tokens.append("N")
     if at != len(text):
         raise Invalid(f"no token at {at}")

@@ -220,10 +220,10 @@ def weighed(text: str) -> dict[str, int]:
     """The first ranking, of every text: the weight of each language's words and parts."""
     counts = Counter(text.split())
     out: dict[str, int] = dict.fromkeys(FOREIGN, 0)
-    for word in counts.keys() & _BY_WORD.keys():
-        n = counts[word]
-        for language, weight in _BY_WORD[word]:
-            out[language] += weight * n
+    for word, weights in _BY_WORD.items():
+        if n := counts.get(word):
+            for language, weight in weights:
+                out[language] += weight * n
     for language, weights in PARTS.items():
         for weight, parts in weights.items():
             for part in parts:
