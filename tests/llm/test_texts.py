@@ -182,6 +182,36 @@ def test_configurations(seed):
     assert least <= sum(t for t, _ in found) <= least + 1
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_the_covering_program_is_nearly_solved(seed):
+    rng = np.random.default_rng(seed)
+    sizes = np.sort(rng.choice(np.arange(10, 300), 25, replace=False))
+    demand = rng.integers(1, 400, 25)
+    found, amount, bound = packing.fractional(sizes, demand, 400)
+    cover = sum(a * x for a, x in zip(found, amount, strict=True))
+    assert (cover >= demand * (1 - 1e-9)).all() and all(a @ sizes <= 400 and (a <= demand).all() for a in found)
+    assert bound <= amount.sum() + 1e-9 and amount.sum() <= (1 + packing.CLOSE) * bound and bound >= (sizes @ demand) / 400 * 0.99
+    whole = packing.rounded(amount)
+    assert abs(whole.sum() - amount.sum()) < 1 and (whole >= 0).all() and (np.abs(whole - amount) < 1 + 1e-6).all()
+
+
+def test_groups_are_neighbours():
+    sizes, demand = np.arange(1, 1001), np.full(1000, 3)
+    group = packing.grouped(sizes, demand)
+    assert (np.diff(group) <= 0).all() or (np.diff(group) >= 0).all()
+    assert len(np.unique(group)) <= packing.GROUPS and group.min() == 0 and (packing.grouped(sizes[:5], demand[:5]) == np.arange(5)).all()
+
+
+@pytest.mark.parametrize("shape", ["even", "long", "short", "one", "halves"])
+def test_lengths_of_any_kind(shape):
+    rng = np.random.default_rng(8)
+    values = {"even": rng.integers(0, 513, 30_000), "long": rng.integers(300, 513, 20_000), "short": rng.integers(1, 20, 40_000), "one": np.full(5000, 171), "halves": rng.choice([256, 255, 257], 9000)}[shape]
+    lengths, counts = np.unique(values, return_counts=True)
+    found = packing.configurations(lengths, counts, 512, 1)
+    plain = packing.best_fit(lengths.astype(np.int64), lengths + 1, counts.astype(np.int64), 513)
+    assert sum(t for t, _ in found) <= 1.004 * sum(t for t, _ in plain) + 1
+
+
 def test_many_items_leave_little_space():
     rng = np.random.default_rng(1)
     lengths, counts = np.unique(np.minimum(rng.lognormal(4.5, 1, 50_000).astype(int), 512), return_counts=True)
