@@ -16,31 +16,39 @@ _WORDS = {
     **dict.fromkeys("const goto".split(), "!!"),
 }
 _TOKEN = re.compile(
-    r"""(?P<w>(?:[^\W\d]|\$)(?:\w|\$)*)
-    |(?P<s>\s+|//[^\n\r]*|/\*[\s\S]*?\*/)
+    r"""(?:\s+|//[^\n\r]*|/\*[\s\S]*?\*/)*(?:(?P<w>(?:[^\W\d]|\$)(?:\w|\$)*)
     |(?P<v>\"{3}[ \t]*\r?\n(?:[^\\]|\\[\s\S])*?\"{3}|"(?:[^"\\\n\r]|\\.)*"|'(?:[^'\\\n\r]|\\(?:u+[0-9a-fA-F]{4}|[0-7]{1,3}|.))'|(?:0[xX][\da-fA-F_]+|0[bB][01_]+|\d[\d_]*(?:\.(?!\.)[\d_]*)?(?:[eE][+-]?\d+)?|\.\d[\d_]*(?:[eE][+-]?\d+)?)[lLfFdD]?(?!\w))
     |(?P<b>[(\[{])|(?P<e>[)\]}])
-    |(?P<o>->|::|\.{3}|\+\+|--|&&|\|\||<<=?|[=!<]=|[+\-*/%&|^]=|[;,.:?@=<>+\-*/%&|^!~])""",
+    |(?P<o>->|::|\.{3}|\+\+|--|&&|\|\||<<=?|[=!<]=|[+\-*/%&|^]=|[;,.:?@=<>+\-*/%&|^!~])
+    |(?P<end>\Z))""",
     re.VERBOSE,
 )
 _PUNCT = {"->": "R", "::": "O", "...": "P3", "++": "#", "--": "#", "+": "+", "-": "+", "!": "!", "~": "!", "==": "o", "!=": "o", "<=": "o", "&": "&", "*": "*", "<<": "o"}
 IDENTIFIER = "iQY"
 
 
+class _Classes(dict):
+    """The class of each operator."""
+
+    def __missing__(self, op: str) -> str:
+        self[op] = op if op in ";,.:?@=<>" else "_" if op == "..." else "=" if op[-1] == "=" and op not in _PUNCT else _PUNCT.get(op, "o")
+        return self[op]
+
+
+_CLASSES = _Classes()
+
+
 def lex(text: str) -> Node:
     root = Node("")
     stack, tokens, at = [root], root.tokens, 0
-    for m in _TOKEN.finditer(text):
-        if m.start() != at:
-            break
-        at = m.end()
+    for m in iter(_TOKEN.scanner(text).match, None):
         kind = m.lastgroup
-        if kind == "s":
-            continue
         if kind == "w":
-            tokens.append(_WORDS.get(m["w"], "i"))
+            tokens.append(_WORDS.get(m[1], "i"))
         elif kind == "v":
             tokens.append("v")
+        elif kind == "o":
+            tokens.append(_CLASSES[m["o"]])
         elif kind == "b":
             tokens.append(GROUP[m["b"]])
             node = Node(CLOSE[m["b"]])
@@ -52,9 +60,9 @@ def lex(text: str) -> Node:
                 raise Invalid(f"unexpected {m['e']}")
             stack.pop()
             tokens = stack[-1].tokens
-        else:
-            op = m["o"]
-            tokens.append(";,.:?@=<>"[";,.:?@=<>".index(op)] if op in ";,.:?@=<>" else "_" if op == "..." else "=" if op[-1] == "=" and op not in _PUNCT else _PUNCT.get(op, "o"))
+        at = m.end()
+        if kind == "end":
+            break
     if at != len(text):
         raise Invalid(f"no token at {at}")
     if len(stack) > 1:

@@ -40,18 +40,27 @@ IDENTIFIER = "iAOSGHMLQZqXJj"
 _NAME = IDENTIFIER + "fcIEFWDtCyrhlnmxdsabwYuovUe"
 
 
+class _Classes(dict):
+    """The class of each operator."""
+
+    def __missing__(self, op: str) -> str:
+        assigns = op == "=" or (len(op) > 1 and op[-1] == "=" and op not in ("==", "===", "!=", "!==", "<="))
+        self[op] = "=" if assigns else _PUNCT.get(op, "o")
+        return self[op]
+
+
+_CLASSES = _Classes()
+
+
 def lex(text: str, typed: bool) -> Node:
     words = {**_COMMON, **_TYPED} if typed else _COMMON
     root = Node("")
     stack, tokens = [root], root.tokens
     at = 0
-    for m in _TOKEN.finditer(text):
-        if m.start() != at:
-            break
-        at = m.end()
+    for m in iter(_TOKEN.scanner(text).match, None):
         kind = m.lastgroup
         if kind == "w":
-            tokens.append(words.get(m["w"], "i"))
+            tokens.append(words.get(m[1], "i"))
         elif kind == "wr":
             tokens += [words[m["w"]], "v"]
         elif kind == "n":
@@ -66,10 +75,8 @@ def lex(text: str, typed: bool) -> Node:
                 stack[-1].children.append(node)
                 stack.append(node)
                 tokens = node.tokens
-            elif op == "=" or (len(op) > 1 and op[-1] == "=" and op not in ("==", "===", "!=", "!==", "<=")):
-                tokens.append("=")
             else:
-                tokens.append(_PUNCT.get(op, "o"))
+                tokens.append(_CLASSES[op])
             if kind == "r":
                 tokens.append("v")
         elif kind == "e":
@@ -85,8 +92,13 @@ def lex(text: str, typed: bool) -> Node:
             tokens.append("#")
         elif kind == "i":
             tokens.append("i")
-        elif kind == "c" and "\n" in m["c"]:
-            tokens.append("N")
+        elif kind == "c":
+            if "\n" in m["c"]:
+                tokens.append("N")
+        else:  # the end
+            at = m.end()
+            break
+        at = m.end()
     if at != len(text):
         raise Invalid(f"no token at {at}")
     if len(stack) > 1:
