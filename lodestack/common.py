@@ -53,6 +53,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Up to so many rows of some numbers are broadcast (about 1 MB).
+FEW_ROWS = 20_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``df``, which holds some numbers a row, computed once, and broadcast if it has at most ``FEW_ROWS`` rows."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= FEW_ROWS else df
+
+
 def default_parallelism(spark: SparkSession) -> int:
     return max(2, spark.sparkContext.defaultParallelism)
 
