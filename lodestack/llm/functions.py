@@ -75,11 +75,14 @@ class _Lines:
         return bisect_right(self.ends, at - 1) + 1
 
 
-def tokens(language: str, text: str) -> list[tuple[int, str, int, int, str | None]]:
-    """``(position, kind, first line, last line, text)`` of the structural tokens, in order; nothing without a function."""
+def tokens(language: str, text: str, ends: bool = True) -> list[tuple[int, str, int, int, str | None]]:
+    """``(position, kind, first line, last line, text)`` of the structural tokens, in order; nothing without a function.
+
+    A docstring lies within its function by itself, so that Python's indents are only given for the ``ends`` of functions.
+    """
     lines = _Lines(text)
     if language == "python":
-        return _python_tokens(text, _PYTHON_SKIP.sub(_python_blank, text), lines) if "def " in text or "def\t" in text else []
+        return _python_tokens(text, _PYTHON_SKIP.sub(_python_blank, text), lines, ends) if "def " in text or "def\t" in text else []
     out: list[tuple[int, str, int, int, str | None]] = []
 
     def skip(m: re.Match) -> str:
@@ -121,7 +124,7 @@ def tokens(language: str, text: str) -> list[tuple[int, str, int, int, str | Non
     return out
 
 
-def _python_tokens(text: str, blank: str, lines: _Lines) -> list[tuple[int, str, int, int, str | None]]:
+def _python_tokens(text: str, blank: str, lines: _Lines, ends: bool) -> list[tuple[int, str, int, int, str | None]]:
     out: list[tuple[int, str, int, int, str | None]] = []
     for m in _PYTHON_HEAD.finditer(blank):
         at = m.start("f")
@@ -143,6 +146,8 @@ def _python_tokens(text: str, blank: str, lines: _Lines) -> list[tuple[int, str,
             out.append((doc.start(1), DOCSTRING, lines.of(doc.start(1)), lines.of(doc.end(1) - 1), doc.group(1)))
     if not any(t[1] == DOCSTRING for t in out):
         return []
+    if not ends:
+        return out
     indents, depth, at, number, previous, joined = [(0, False)], 0, 0, 0, 0, False
     defines = False  # whether the logical line before is the header of a function
     for line in blank.split("\n"):
@@ -193,7 +198,7 @@ def _spoken(found: list[tuple[int, str, int, int, str | None]], least: int) -> b
     return least <= 0
 
 
-def _lex(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+def _lex(batches: Iterator[pa.RecordBatch], least: int, ends: bool) -> Iterator[pa.RecordBatch]:
     warnings.simplefilter("ignore")
     names = [part.split()[0] for part in TOKEN.split(", ")]
     for batch in batches:
@@ -202,7 +207,7 @@ def _lex(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBat
         sizes: list[int] = []
         rows: list[tuple[int, str, int, int, str | None]] = []
         for copy, entry, language, text in zip(*(batch.column(n).to_pylist() for n in ("copy", "entry_id", "lang", "content")), strict=True):
-            found = tokens(language, text)
+            found = tokens(language, text, ends)
             if not _near(found) or not _spoken(found, least) or judge(language, text) is not None:
                 continue
             copies.append(copy)
@@ -216,14 +221,14 @@ def _lex(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in columns], names=names)
 
 
-def function_tokens(entries: DataFrame, languages: DataFrame, least_words: int = 0) -> DataFrame:
+def function_tokens(entries: DataFrame, languages: DataFrame, least_words: int = 0, ends: bool = True) -> DataFrame:
     """One row per structural token of the valid entries that have a commented function and a comment of ``least_words`` words.
 
     ``copy``, a digest of the text, tells different rows of one entry apart; equal rows give equal tokens twice.
     """
     texts = with_language(entries.where("entry_id is not null and content is not null").select("entry_id", "path", "language", "content"), languages)
     known = texts.where(F.col("lang").isin(*LANGUAGES)).select(F.xxhash64("lang", "content").alias("copy"), "entry_id", "lang", "content")
-    return known.mapInArrow(lambda batches: _lex(batches, least_words), TOKEN)
+    return known.mapInArrow(lambda batches: _lex(batches, least_words, ends), TOKEN)
 
 
 def real_words(doc: Column, name: Column) -> Column:
@@ -288,7 +293,7 @@ def documented_functions(entries: DataFrame, languages: DataFrame, least_words:
 
     Entries that are null, empty, of other languages or not valid in theirs have none; repeated rows count once.
     """
-    return documented(function_tokens(entries, languages, least_words), least_words).select("entry_id", "line_start", "name").distinct()
+    return documented(function_tokens(entries, languages, least_words, ends=False), least_words).select("entry_id", "line_start", "name").distinct()
 
 
 def function_pairs(entries: DataFrame, languages: DataFrame, least_words: int = 4) -> DataFrame:
