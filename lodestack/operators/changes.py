@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestack.common import few
+
 
 def porcelain(line: Column) -> Column:
     """A status line as a struct: path, status, whether untracked or deleted; null for blank and too short lines.
@@ -54,6 +56,18 @@ def path_sets(old: DataFrame, new: DataFrame) -> DataFrame:
     return seen.select("path", F.when(F.col("o") == 0, "added").when(F.col("n") == 0, "removed").otherwise("kept").alias("side"))
 
 
+def consecutive_path_sets(rows: DataFrame, group: str, seq: str, key: str) -> DataFrame:
+    """``group, seq, key, side`` of the keys of each snapshot and the one before it in its group; the first has none to compare with.
+
+    Every key is told to its own comparison and to that of the next snapshot; one aggregation gives the side.
+    """
+    order = Window.partitionBy(group).orderBy(seq)
+    steps = few(rows.select(group, seq).distinct().withColumn("earlier", F.lag(seq).over(order)).withColumn("next", F.lead(seq).over(order)))
+    told = rows.join(steps, [group, seq]).select(group, key, F.inline(F.array(F.struct(F.when(F.col("earlier").isNotNull(), F.col(seq)).alias("at"), F.lit(0).alias("o"), F.lit(1).alias("n")), F.struct(F.col("next").alias("at"), F.lit(1).alias("o"), F.lit(0).alias("n")))))
+    seen = told.where("at is not null").groupBy(group, "at", key).agg(F.max("o").alias("o"), F.max("n").alias("n"))
+    return seen.select(group, F.col("at").alias(seq), key, F.when(F.col("o") == 0, "added").when(F.col("n") == 0, "removed").otherwise("kept").alias("side"))
+
+
 def known_files(groups: list[DataFrame], key: list[str]) -> DataFrame:
     """One row for each key of several groups; of several the one of the earlier group."""
     columns = [c for c in groups[0].columns if c not in key]

@@ -11,6 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.common import cut
+from lodestack.operators import graph
+
 
 def _table(files: DataFrame, key: str, function: Callable[[str], list[tuple]], fields: str) -> DataFrame:
     names = [key, *(f.strip().split()[0] for f in fields.split(","))]
@@ -26,12 +29,10 @@ def _table(files: DataFrame, key: str, function: Callable[[str], list[tuple]], f
 # Python
 
 
-def symbols_of(content: str) -> list[tuple]:
-    """``(kind, name, line_start, line_end, parent, error)`` of top-level functions and classes and of the classes' own methods."""
-    try:
-        tree = ast.parse(content)
-    except (SyntaxError, ValueError, RecursionError) as error:
-        return [("error", None, getattr(error, "lineno", None), None, None, str(error)[:200])]
+_UNREADABLE = (SyntaxError, ValueError, RecursionError, MemoryError)
+
+
+def _symbols_in(tree: ast.Module) -> list[tuple]:
     functions = (ast.FunctionDef, ast.AsyncFunctionDef)
     out: list[tuple] = []
     for node in tree.body:
@@ -43,118 +44,170 @@ def symbols_of(content: str) -> list[tuple]:
     return out
 
 
+def symbols_of(content: str) -> list[tuple]:
+    """``(kind, name, line_start, line_end, parent, error)`` of top-level functions and classes and of the classes' own methods."""
+    try:
+        return _symbols_in(ast.parse(content))
+    except _UNREADABLE as error:
+        return [("error", None, getattr(error, "lineno", None), None, None, str(error))]
+
+
 def python_symbols(files: DataFrame, key: str = "entry_id") -> DataFrame:
     return _table(files, key, symbols_of, "kind string, name string, line_start int, line_end int, parent string, error string")
 
 
-class _Imports(ast.NodeVisitor):
-    def __init__(self) -> None:
-        self.rows: list[tuple] = []
-
-    def add(self, node: ast.AST, kind: str, module: str | None, name: str | None, alias: str | None, level: int) -> None:
-        self.rows.append((kind, module, name, alias, level, node.lineno, len(self.rows), None))
+def _nodes(tree: ast.Module) -> Iterator[tuple[ast.AST, tuple[str, ...], tuple[str, ...]]]:
+    """``(node, scope, classes around it)`` of all nodes, depth first in the order of the source, without recursion."""
+    stack: list[tuple[ast.AST, tuple[str, ...], tuple[str, ...]]] = [(tree, (), ())]
+    while stack:
+        node, scope, classes = stack.pop()
+        yield node, scope, classes
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            scope = (*scope, node.name)
+            classes = (*classes, node.name) if isinstance(node, ast.ClassDef) else classes
+        stack += [(child, scope, classes) for child in reversed(list(ast.iter_child_nodes(node)))]
 
-    def visit_Import(self, node: ast.Import) -> None:
-        for a in node.names:
-            self.add(node, "import", a.name, None, a.asname, 0)
 
-    def visit_ImportFrom(self, node: ast.ImportFrom) -> None:
-        for a in node.names:
-            self.add(node, "from", node.module, a.name, a.asname, node.level)
+def _imports_in(tree: ast.Module) -> list[tuple]:
+    rows: list[tuple] = []
+    for node, _, _ in _nodes(tree):
+        if isinstance(node, ast.Import):
+            rows += [("import", a.name, None, a.asname, 0, node.lineno, len(rows) + i, None) for i, a in enumerate(node.names)]
+        elif isinstance(node, ast.ImportFrom):
+            rows += [("from", node.module, a.name, a.asname, node.level, node.lineno, len(rows) + i, None) for i, a in enumerate(node.names)]
+    return rows
 
 
 def imports_of(content: str) -> list[tuple]:
     """``(import_type, imported_module, imported_name, alias, level, line_number, visit_ord, error)`` of every import, depth first."""
     try:
-        tree = ast.parse(content)
-    except (SyntaxError, ValueError, RecursionError) as error:
-        return [("error", None, None, None, 0, getattr(error, "lineno", None), 0, str(error)[:200])]
-    visitor = _Imports()
-    visitor.visit(tree)
-    return visitor.rows
+        return _imports_in(ast.parse(content))
+    except _UNREADABLE as error:
+        return [("error", None, None, None, 0, getattr(error, "lineno", None), 0, str(error))]
 
 
 def python_imports(files: DataFrame, key: str = "entry_id") -> DataFrame:
     return _table(files, key, imports_of, "import_type string, imported_module string, imported_name string, alias string, level int, line_number int, visit_ord int, error string")
 
 
-class _Calls(ast.NodeVisitor):
+def _calls_in(tree: ast.Module) -> list[tuple]:
     """Call sites with the scope they stand in: functions join with dots, a class is the prefix of its methods."""
+    rows: list[tuple] = []
+    for node, scope, classes in _nodes(tree):
+        if isinstance(node, ast.Call):
+            caller, owner, f = ".".join(scope) or "<module>", classes[-1] if classes else None, node.func
+            if isinstance(f, ast.Name):
+                rows.append((caller, owner, "name", None, f.id, node.lineno, len(rows)))
+            elif isinstance(f, ast.Attribute):
+                rows.append((caller, owner, "attribute", f.value.id if isinstance(f.value, ast.Name) else None, f.attr, node.lineno, len(rows)))
+    return rows
 
-    def __init__(self) -> None:
-        self.rows: list[tuple] = []
-        self.scope: list[str] = []
-        self.classes: list[str] = []
 
-    def _scoped(self, node, is_class: bool) -> None:
-        self.scope.append(node.name)
-        if is_class:
-            self.classes.append(node.name)
-        self.generic_visit(node)
-        self.scope.pop()
-        if is_class:
-            self.classes.pop()
+def calls_of(content: str) -> list[tuple]:
+    """``(caller, owner, form, base, callee, line_number, visit_ord)``; a file that can't be parsed has none (``symbols_of`` gives its error)."""
+    try:
+        return _calls_in(ast.parse(content))
+    except _UNREADABLE:
+        return []
 
-    def visit_FunctionDef(self, node: ast.FunctionDef) -> None:
-        self._scoped(node, False)
 
-    visit_AsyncFunctionDef = visit_FunctionDef
+def python_calls(files: DataFrame, key: str = "entry_id") -> DataFrame:
+    return _table(files, key, calls_of, "caller string, owner string, form string, base string, callee string, line_number int, visit_ord int")
 
-    def visit_ClassDef(self, node: ast.ClassDef) -> None:
-        self._scoped(node, True)
 
-    def visit_Call(self, node: ast.Call) -> None:
-        caller = ".".join(self.scope) or "<module>"
-        owner = self.classes[-1] if self.classes else None
-        f = node.func
-        if isinstance(f, ast.Name):
-            self.rows.append((caller, owner, "name", None, f.id, node.lineno, len(self.rows)))
-        elif isinstance(f, ast.Attribute):
-            base = f.value.id if isinstance(f.value, ast.Name) else None
-            self.rows.append((caller, owner, "attribute", base, f.attr, node.lineno, len(self.rows)))
-        self.generic_visit(node)
+FACT = "fact string, kind string, name string, parent string, alias string, level int, line_start int, line_end int, visit_ord int, scope string, error string"
 
 
-def calls_of(content: str) -> list[tuple]:
-    """``(caller, owner, form, base, callee, line_number, visit_ord)``; a file that can't be parsed has no calls."""
+def facts_of(content: str) -> list[tuple]:
+    """Symbols, imports and calls from one parse, tagged 'symbol', 'import' and 'call'; one 'error' for a file that can't be read."""
     try:
         tree = ast.parse(content)
-    except (SyntaxError, ValueError, RecursionError):
-        return []
-    visitor = _Calls()
-    visitor.visit(tree)
-    return visitor.rows
+    except _UNREADABLE as error:
+        return [("error", None, None, None, None, None, getattr(error, "lineno", None), None, 0, None, str(error))]
+    out = [("symbol", kind, name, parent, None, None, start, end, i, None, None) for i, (kind, name, start, end, parent, _) in enumerate(_symbols_in(tree))]
+    out += [("import", kind, name, module, alias, level, line, None, i, None, None) for kind, module, name, alias, level, line, i, _ in _imports_in(tree)]
+    out += [("call", form, callee, base, owner, None, line, None, i, caller, None) for caller, owner, form, base, callee, line, i in _calls_in(tree)]
+    return out
 
 
-def python_calls(files: DataFrame, key: str = "entry_id") -> DataFrame:
-    return _table(files, key, calls_of, "caller string, owner string, form string, base string, callee string, line_number int, visit_ord int")
+class PythonFacts:
+    """What all Python files define, import and call: every file is parsed once, and equal rows of a file count once."""
+
+    def __init__(self, files: DataFrame, key: str = "entry_id"):
+        self.key, self.rows = key, cut(_table(files, key, facts_of, FACT).distinct())
+
+    def _of(self, fact: str, *columns: Column) -> DataFrame:
+        return self.rows.where(F.col("fact") == fact).select(self.key, *columns)
+
+    def symbols(self) -> DataFrame:
+        return self._of("symbol", "kind", "name", "line_start", "line_end", "parent")
+
+    def imports(self) -> DataFrame:
+        return self._of("import", F.col("kind").alias("import_type"), F.col("parent").alias("imported_module"), F.col("name").alias("imported_name"), "alias", "level", F.col("line_start").alias("line_number"), "visit_ord")
+
+    def calls(self) -> DataFrame:
+        return self._of("call", F.col("scope").alias("caller"), F.col("alias").alias("owner"), F.col("kind").alias("form"), F.col("parent").alias("base"), F.col("name").alias("callee"), F.col("line_start").alias("line_number"), "visit_ord")
 
+    def errors(self) -> DataFrame:
+        return self._of("error", F.col("line_start").alias("line_number"), F.col("error").alias("message"))
 
-def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame, key: str = "entry_id") -> DataFrame:
+    def resolved_imports(self, files: DataFrame, scope: str) -> DataFrame:
+        """Imports with ``source_module, source_path, target_module, target_path, resolution`` within ``scope``; ``files`` are (key, scope, path)."""
+        from lodestack.functions.paths import module_name
+
+        own = files.where(F.col("path").endswith(".py")).select(self.key, scope, "path", module_name(F.col("path")).alias("module")).where("module is not null").distinct()
+        sources = own.select(self.key, scope, F.col("module").alias("source_module"), F.col("path").alias("source_path"))
+        references = self.imports().join(sources, self.key).withColumn("reference_id", F.concat_ws("-", F.col(self.key).cast("string"), F.col("visit_ord").cast("string")))
+        return graph.resolve_imports(references, own.select(scope, "module", "path"), scope)
+
+    def resolved_calls(self, files: DataFrame, scope: str) -> DataFrame:
+        """Calls with ``confidence``, ``callee_qualified_name`` and, of imported functions of the same scope, ``target_path``.
+
+        A name imported from a module of the scope that defines exactly one such top-level function is 'imported_local'.
+        """
+        found = self.resolved_imports(files, scope)
+        own = files.select(self.key, scope, "path").distinct()
+        defined = self.symbols().where("kind = 'function'").join(own, self.key).groupBy(scope, F.col("path").alias("target_path"), F.col("name").alias("imported_name")).agg(F.count("*").alias("n_defined"))
+        told = found.join(defined, [scope, "target_path", "imported_name"], "left").select(self.key, "visit_ord", "resolution", "target_module", F.when((F.col("import_type") == "from") & (F.col("n_defined") == 1), F.col("target_path")).alias("target_path"))
+        return resolve_calls(self.calls(), self.symbols(), self.imports(), self.key, told)
+
+
+def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame, key: str = "entry_id", resolved: DataFrame | None = None) -> DataFrame:
     """Call sites with ``confidence``: how sure it is what a call means, from counts of definitions in the file and imported names.
 
-    Names: one definition and no import of the name is 'local', several or one beside an import 'ambiguous', none an imported
-    or unresolved one. ``self``, ``cls`` and the own class: 'local_method' by the count of such methods; a module's attribute
-    is 'external'; anything else with a base 'unresolved', a chained one 'unresolved_method'.
+    Names: one definition and no import of the name is 'local', several or one beside an import 'ambiguous'; none is
+    'imported_local', 'external' or 'unresolved' by what the import is. ``self``, ``cls`` and the own class: 'local_method' by
+    the count of such methods; an attribute of an external import is 'external'; a chained one 'unresolved_method', anything
+    else 'unresolved'. ``resolved`` (key, visit_ord, resolution, target_module, target_path of the one definition) tells
+    imports of the own repository; without it every import counts as external.
     """
     functions = symbols.where("kind = 'function'").groupBy(key, F.col("name").alias("callee")).agg(F.count("*").alias("n_functions"))
     methods = symbols.where("kind = 'method'").groupBy(key, F.col("parent").alias("owner"), F.col("name").alias("callee")).agg(F.count("*").alias("n_methods"))
     local = F.coalesce("alias", F.when(F.col("import_type") == "from", F.col("imported_name")).otherwise(F.regexp_extract("imported_module", r"^([^.]*)", 1)))
-    named = imports.where("import_type <> 'error'").select(key, local.alias("bound"), "import_type", F.concat_ws(".", "imported_module", "imported_name").alias("qualified"), "visit_ord")
-    last = named.groupBy(key, "bound").agg(F.max(F.struct("visit_ord", "import_type", "qualified")).alias("b")).select(key, "bound", F.col("b.import_type").alias("bound_type"), F.col("b.qualified").alias("bound_to"))
+    named = imports.where("import_type <> 'error'").select(key, local.alias("bound"), F.concat_ws(".", "imported_module", "imported_name").alias("qualified"), "imported_name", "visit_ord")
+    if resolved is None:
+        named = named.withColumns({"resolution": F.lit("external"), "target_module": F.lit(None).cast("string"), "target_path": F.lit(None).cast("string")})
+    else:
+        named = named.join(resolved, [key, "visit_ord"], "left").withColumn("resolution", F.coalesce("resolution", F.lit("unresolved")))
+    qualified = F.when(F.col("target_path").isNotNull(), F.concat_ws(".", "target_module", "imported_name")).when(F.col("resolution") == "external", F.col("qualified"))
+    last = named.groupBy(key, "bound").agg(F.max(F.struct("visit_ord", "resolution", "target_path", qualified.alias("qualified"))).alias("b")).select(key, "bound", F.col("b.resolution").alias("bound_as"), F.col("b.target_path").alias("target_path"), F.col("b.qualified").alias("bound_to"))
     bound = F.when(F.col("form") == "name", F.col("callee")).otherwise(F.col("base"))
     joined = calls.withColumn("bound", bound).join(functions, [key, "callee"], "left").join(methods, [key, "owner", "callee"], "left").join(last, [key, "bound"], "left")
     n, m = F.coalesce("n_functions", F.lit(0)), F.coalesce("n_methods", F.lit(0))
     own = F.col("base").isin("self", "cls") | (F.col("base") == F.col("owner"))
-    by_name = F.when((n == 1) & F.col("bound_to").isNull(), "local").when(n >= 1, "ambiguous").when(F.col("bound_to").isNotNull(), "external").otherwise("unresolved")
+    external, of_scope = F.coalesce(F.col("bound_as") == "external", F.lit(False)), F.col("target_path").isNotNull()
+    by_name = F.when((n == 1) & ~external & ~of_scope, "local").when(n >= 1, "ambiguous").when(of_scope, "imported_local").when(external, "external").otherwise("unresolved")
     by_base = (
         F.when(F.col("base").isNull(), "unresolved_method")
         .when(own & F.col("owner").isNotNull(), F.when(m == 1, "local_method").when(m > 1, "ambiguous").otherwise("unresolved"))
-        .when(F.col("bound_to").isNotNull(), "external")
+        .when(external, "external")
         .otherwise("unresolved")
     )
-    target = F.when(F.col("bound_to").isNotNull() & (F.col("form") == "name"), F.col("bound_to")).when(F.col("bound_to").isNotNull(), F.concat_ws(".", "bound_to", "callee"))
-    return joined.withColumn("confidence", F.when(F.col("form") == "name", by_name).otherwise(by_base)).withColumn("callee_qualified_name", target).drop("bound", "n_functions", "n_methods", "bound_type", "bound_to")
+    confidence = F.when(F.col("form") == "name", by_name).otherwise(by_base)
+    told = joined.withColumn("confidence", confidence)
+    target = F.when(F.col("confidence").isin("external", "imported_local"), F.when(F.col("form") == "name", F.col("bound_to")).otherwise(F.concat_ws(".", "bound_to", "callee")))
+    path = F.when(F.col("confidence") == "imported_local", F.col("target_path"))
+    return told.withColumn("callee_qualified_name", target).withColumn("target_path", path).drop("bound", "n_functions", "n_methods", "bound_as", "bound_to")
 
 
 # Bash
@@ -252,7 +305,8 @@ def sql_statements(text: str) -> list[str]:
             i = end
             continue
         if text.startswith("--", i):
-            i = text.find("\n", i) if "\n" in text[i:] else len(text)
+            end = text.find("\n", i)
+            i = len(text) if end < 0 else end
             continue
         if text.startswith("/*", i):
             end = text.find("*/", i + 2)
@@ -355,12 +409,17 @@ def normal_name(name: str) -> str:
     return re.sub(r"[-_.]+", "-", name.split("[")[0].strip()).lower()
 
 
+def normalized_name(name: Column) -> Column:
+    """``normal_name`` as an expression."""
+    return F.lower(F.regexp_replace(F.trim(F.regexp_extract(name, r"^([^\[]*)", 1)), "[-_.]+", "-"))
+
+
 def toml_dependencies_of(content: str) -> list[tuple]:
     """``(name, normalized_name, version_constraint, dependency_type, source_section, group_name, error)`` of a project file."""
     try:
         data = tomllib.loads(content)
     except (tomllib.TOMLDecodeError, RecursionError) as error:
-        return [(None, None, None, "error", None, None, str(error)[:200])]
+        return [(None, None, None, "error", None, None, str(error))]
     out: list[tuple] = []
 
     def listed(items, kind: str, section: str, group: str | None) -> None:
@@ -402,7 +461,7 @@ def requirement_lines(files: DataFrame, key: str = "entry_id", path: str = "path
     file = F.lower(F.regexp_extract(path, r"([^/]*)$", 1))
     kind = F.when(other, "warning").when(file == "requirements.txt", "runtime").when(F.lower(F.col(path)).rlike(r"(?:^|[-_./])(?:dev|test|tests|lint|docs|doc)(?:[-_./]|$)"), "development").otherwise("unknown")
     constraint = F.trim(F.regexp_extract("line", r"^[A-Za-z0-9][A-Za-z0-9._-]*\s*(?:\[[^\]]*\])?\s*([^;]*)", 1))
-    normal = F.lower(F.regexp_replace(name, "[-_.]+", "-"))
+    normal = normalized_name(name)
     return rows.select(key, (F.col("pos") + 1).alias("line_number"), F.when(~other, name).alias("name"), F.when(~other, normal).alias("normalized_name"), F.when(~other, F.nullif(constraint, F.lit(""))).alias("version_constraint"), kind.alias("dependency_type"))
 
 
@@ -415,16 +474,23 @@ def dependency_counts(dependencies: DataFrame) -> DataFrame:
 
 
 def console_scripts(files: DataFrame, key: str = "entry_id") -> DataFrame:
-    """``name, target`` of the lines in ``[project.scripts]``: the section is carried forward over the lines."""
+    """``name, target`` of the lines in ``[project.scripts]`` and ``[tool.poetry.scripts]``: the section is carried forward over the lines."""
     from pyspark.sql import Window
 
     rows = files.where("content is not null").select(key, F.posexplode(F.split("content", r"\r?\n")).alias("pos", "line"))
     section = F.nullif(F.regexp_extract("line", r"^\s*\[([^\]]+)\]\s*$", 1), F.lit(""))
     carried = rows.withColumn("section", F.last(section, ignorenulls=True).over(Window.partitionBy(key).orderBy("pos")))
-    pair = carried.where(F.col("section") == "project.scripts").select(key, F.regexp_extract("line", r"^\s*\"?([\w.-]+)\"?\s*=", 1).alias("name"), F.regexp_extract("line", r"=\s*[\"']([^\"']+)[\"']", 1).alias("target"))
+    pair = carried.where(F.col("section").isin("project.scripts", "tool.poetry.scripts")).select(key, F.regexp_extract("line", r"^\s*\"?([\w.-]+)\"?\s*=", 1).alias("name"), F.regexp_extract("line", r"=\s*[\"']([^\"']+)[\"']", 1).alias("target"))
     return pair.where("name <> '' and target <> ''")
 
 
+def script_paths(scripts: DataFrame, files: DataFrame, scope: str) -> DataFrame:
+    """``scope, path`` of the files that console scripts (``scope, target``) start: candidates are exploded and joined by equality."""
+    module = F.replace(F.trim(F.regexp_extract("target", r"^([^:]*)", 1)), F.lit("."), F.lit("/"))
+    wanted = scripts.select(scope, module.alias("m")).where("m <> ''").select(scope, F.explode(F.array(F.concat("m", F.lit(".py")), F.concat(F.lit("src/"), "m", F.lit(".py")))).alias("path"))
+    return wanted.distinct().join(files.select(scope, "path").distinct(), [scope, "path"])
+
+
 def purpose(files: DataFrame, key: str) -> DataFrame:
     """The first line of a text that is neither blank nor a heading, else its first heading."""
     lines = F.filter(F.transform(F.split("content", r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")

@@ -24,6 +24,20 @@ def adjacency(modules: DataFrame, edges: DataFrame) -> DataFrame:
     return modules.select("module").distinct().join(down, "module", "left").join(up, "module", "left").select("module", F.coalesce("depends_on", none).alias("depends_on"), F.coalesce("used_by", none).alias("used_by"))
 
 
+def callers_and_callees(edges: DataFrame, source: str, target: str, shown: int) -> DataFrame:
+    """``symbol, n_callers, n_callees, callers, callees``: every end of an edge with the number of its neighbours and the first ``shown`` names.
+
+    Names are ranked with a limit per group, so that the neighbours of a hot symbol are never gathered in one row.
+    """
+    pairs = edges.select(source, target).distinct()
+    both = pairs.select(F.inline(F.array(F.struct(F.col(target).alias("symbol"), F.lit(True).alias("calls_it"), F.col(source).alias("other")), F.struct(F.col(source).alias("symbol"), F.lit(False).alias("calls_it"), F.col(target).alias("other")))))
+    counts = both.groupBy("symbol").agg(F.count_if("calls_it").alias("n_callers"), F.count_if(~F.col("calls_it")).alias("n_callees"))
+    first = both.withColumn("place", F.row_number().over(Window.partitionBy("symbol", "calls_it").orderBy("other"))).where(F.col("place") <= shown)
+    names = lambda which: F.nullif(F.array_join(F.array_sort(F.collect_list(F.when(which, F.col("other")))), ","), F.lit(""))
+    listed = first.groupBy("symbol").agg(names(F.col("calls_it")).alias("callers"), names(~F.col("calls_it")).alias("callees"))
+    return counts.join(listed, "symbol")
+
+
 def roots(modules: DataFrame, edges: DataFrame) -> DataFrame:
     """Modules that nothing imports."""
     return modules.select("module").distinct().join(edges, F.col("module") == F.col("target_module"), "left_anti")
@@ -173,3 +187,8 @@ def conflicts(files: DataFrame, scope: str) -> DataFrame:
 
 def strip_src(path: Column) -> Column:
     return F.regexp_replace(path, "^src/", "")
+
+
+def duplicate_siblings(files: DataFrame, scope: str) -> DataFrame:
+    """Paths of a scope that differ in case only: ``scope, low_path, n``."""
+    return files.groupBy(scope, F.lower("path").alias("low_path")).agg(F.count("*").alias("n")).where("n > 1")

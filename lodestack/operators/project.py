@@ -73,6 +73,11 @@ def mentions(files: DataFrame, by: str) -> DataFrame:
     return own.select(by, "path").distinct().join(hits, [by, "path"], "left").select(by, "path", F.coalesce("n", F.lit(0)).alias("n_mentions"))
 
 
+def ambiguous(symbols: DataFrame, key: list[str]) -> DataFrame:
+    """Keys that more than one symbol has, and how many have it."""
+    return symbols.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+
+
 def call_class(confidence: Column) -> Column:
     """Internal, external, ambiguous, unresolved or other."""
     return (

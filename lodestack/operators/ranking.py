@@ -75,10 +75,11 @@ def rank(files: DataFrame, import_edges: DataFrame, call_edges: DataFrame, scope
     """Every file with points and reasons, ranked within ``scope``: points descending, then depth, then path.
 
     Edges are (scope, source, target) between paths of the scope; edges to unknown paths are left out. ``scripts`` are
-    (scope, path) of console-script targets.
+    (scope, path) of console-script targets. Texts are only needed where there is no column ``structure``, their points.
     """
     node = F.concat_ws("\x1f", F.col(scope).cast("string"), "path")
-    base = files.select(scope, "path", "content", node.alias("node"))
+    structural = F.col("structure") if "structure" in files.columns else structure_score(F.col("path"), F.col("content"))
+    base = files.select(scope, "path", structural.alias("structure"), node.alias("node"))
     known = base.select("node")
 
     def neighbours(edges: DataFrame, points, prefix: str) -> DataFrame:
@@ -92,7 +93,17 @@ def rank(files: DataFrame, import_edges: DataFrame, call_edges: DataFrame, scope
         joined = joined.join(scripts.select(scope, "path", F.lit(SCRIPT_TARGET).alias("script")).distinct(), [scope, "path"], "left")
         target = F.coalesce("script", F.lit(0))
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("i_n_in", "i_n_out", "i_score", "c_n_in", "c_n_out", "c_score")}
-    entry, docs, structure = target + entrypoint_score(F.col("path")), documentation_score(F.col("path")), structure_score(F.col("path"), F.col("content"))
+    entry, docs, structure = target + entrypoint_score(F.col("path")), documentation_score(F.col("path")), F.col("structure")
     score = entry + zero["i_score"] + zero["c_score"] + docs + structure
     scored = joined.select(scope, "path", score.cast("long").alias("score"), reasons(entry, zero["i_n_in"], zero["i_n_out"], zero["c_n_in"], zero["c_n_out"], docs, structure).alias("reasons")).where("score > 0 and reasons <> ''")
     return scored.withColumn("place", F.row_number().over(Window.partitionBy(scope).orderBy(F.desc("score"), paths.depth(F.col("path")), "path")))
+
+
+def rank_repository(facts, files: DataFrame, scope: str, scripts: DataFrame | None = None) -> DataFrame:
+    """``rank`` over the edges that ``facts`` (see ``extract.PythonFacts``) gives for ``files``, and console scripts (scope, target)."""
+    from lodestack.operators.extract import script_paths
+
+    paths_of = files.select(facts.key, F.col("path").alias("source"))
+    imports = facts.resolved_imports(files, scope).where("resolution = 'local'").select(scope, F.col("source_path").alias("source"), F.col("target_path").alias("target")).distinct()
+    calls = facts.resolved_calls(files, scope).where("target_path is not null").join(files.select(facts.key, scope), facts.key).join(paths_of, facts.key).select(scope, "source", F.col("target_path").alias("target")).distinct()
+    return rank(files, imports, calls, scope, script_paths(scripts, files, scope) if scripts is not None else None)

@@ -90,8 +90,11 @@ def secrets_text(files: DataFrame, scope: str) -> DataFrame:
 
 
 def important_text(files: DataFrame, scope: str) -> DataFrame:
-    none = files.select(scope, F.col("path").alias("source"), F.col("path").alias("target")).where("false")
-    ranked = ranking.rank(files, none, none, scope).where(F.col("place") <= TOP_FILES)
+    """The first files by points for entry points and scripts, imports, calls, documentation and structure."""
+    keyed = files.withColumn("key", F.concat_ws("\x1f", F.col(scope).cast("string"), "path"))
+    facts = extract.PythonFacts(keyed.where("language = 'python'"), "key")
+    scripts = extract.console_scripts(keyed.where(paths.name(F.col("path")) == "pyproject.toml"), "key").join(keyed.select("key", scope), "key")
+    ranked = ranking.rank_repository(facts, keyed, scope, scripts).where(F.col("place") <= TOP_FILES)
     line = F.concat(F.col("place").cast("string"), F.lit(". "), "path", F.lit(" ("), F.col("score").cast("string"), F.lit("): "), "reasons")
     return _section(ranked, scope, 3, "Important files", line, ["place"])
 

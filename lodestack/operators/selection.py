@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,10 +23,8 @@ def within_size(size: Column, limit: Column | int | None) -> Column:
 
 
 def first_files(files: DataFrame, by: str, most: int, order: str = "path") -> DataFrame:
-    """The first ``most`` files of each group, with the number of all and of those left out."""
-    window = Window.partitionBy(by)
-    ranked = files.withColumn("place", F.row_number().over(window.orderBy(order, "entry_id"))).withColumn("total", F.count("*").over(window))
-    return ranked.where(F.col("place") <= most).withColumn("omitted", F.greatest(F.col("total") - most, F.lit(0)))
+    """The first ``most`` files of each group, with the number of all and of those left out; see ``capped``."""
+    return capped(files, [by], [order, "entry_id"], most, "omitted")
 
 
 def select_and_limit(files: DataFrame, by: str, most: int, rule: Column) -> DataFrame:
@@ -56,7 +56,13 @@ def documentation_only(files: DataFrame) -> DataFrame:
     return files.where(paths.is_documentation(F.col("path")))
 
 
-def capped(rows: DataFrame, by: list[str], order: list[str], most: int) -> DataFrame:
-    """The first ``most`` rows of each group and, on each, how many more there are (a display cap)."""
-    window = Window.partitionBy(*by)
-    return rows.withColumn("place", F.row_number().over(window.orderBy(*order))).withColumn("more", F.greatest(F.count("*").over(window) - most, F.lit(0))).where(F.col("place") <= most)
+def capped(rows: DataFrame, by: list[str], order: list[str], most: int, more: str = "more") -> DataFrame:
+    """The first ``most`` rows of each group with ``place`` and, on each, how many more there are (a display cap).
+
+    Ranks have a limit per group before the shuffle, and numbers of rows are aggregated, so that no hot group is sorted whole.
+    """
+    first = rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= most)
+    key = [F.col(c).alias(f"__{c}") for c in by]
+    counts = rows.groupBy(*key).agg(F.greatest(F.count("*") - most, F.lit(0)).alias(more))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
+    return first.join(counts, same).drop(*[f"__{c}" for c in by])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.common import suffix, table, with_language
@@ -31,13 +31,28 @@ def sql_suffix(column: str) -> str:
     return _SUFFIX.format(p=column)
 
 
-def files(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """One row per entry; repeated deliveries differ in their time only."""
-    return table(spark, sf_dir, "file_entries").select("entry_id", *columns).dropDuplicates(["entry_id"])
+#: Whether there is content, in its place: the shuffle that makes repeated rows one needn't carry texts for that.
+THERE = F.when(F.col("content").isNotNull(), F.lit("")).alias("content")
 
 
-def known(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return with_language(files(spark, sf_dir, *dict.fromkeys(("path", "language", *columns))), table(spark, sf_dir, "languages"))
+def files(spark: SparkSession, sf_dir: str, *columns: str | Column, where: str = "true", language: bool = False) -> DataFrame:
+    """One row per entry; repeated deliveries differ in their time only.
+
+    ``columns`` are computed where the rows are read, with ``lang`` if ``language``; only they are shuffled.
+    """
+    rows = table(spark, sf_dir, "file_entries").where(where)
+    if language:
+        rows = with_language(rows, table(spark, sf_dir, "languages"))
+    return rows.select("entry_id", *columns).dropDuplicates(["entry_id"])
+
+
+def texts(spark: SparkSession, sf_dir: str, *columns: str | Column, language: bool = False) -> DataFrame:
+    """``files`` with content."""
+    return files(spark, sf_dir, *columns, where="content is not null", language=language)
+
+
+def known(spark: SparkSession, sf_dir: str, *columns: str | Column) -> DataFrame:
+    return with_language(files(spark, sf_dir, "path", "language", *columns), table(spark, sf_dir, "languages"))
 
 
 def query(name: str, sql: str):
@@ -68,7 +83,7 @@ def f1(spark, sf_dir):
 
 @query("ref_f3_shebang_language", f"with {SQL_FILES} select entry_id, {_BY_SHEBANG} as shebang_language from files where content is not null and regexp_matches(content, '\\A#!')")
 def f3(spark, sf_dir):
-    return files(spark, sf_dir, "content").where(F.col("content").rlike(r"\A#!")).select("entry_id", languages.by_shebang(F.col("content")).alias("shebang_language"))
+    return files(spark, sf_dir, languages.by_shebang(F.col("content")).alias("shebang_language"), where="content rlike '^#!'")
 
 
 def _scores_sql() -> str:
@@ -94,8 +109,7 @@ def _scores_sql() -> str:
 
 @query("ref_f4_content_language", f"with {SQL_FILES}, {_scores_sql()} select by_content, count(*) as n_files from sample left join scored using (entry_id) group by all")
 def f4(spark, sf_dir):
-    texts = files(spark, sf_dir, "content").where("content is not null")
-    return texts.groupBy(languages.by_content(F.col("content")).alias("by_content")).agg(F.count("*").alias("n_files"))
+    return texts(spark, sf_dir, languages.by_content(F.col("content")).alias("by_content")).groupBy("by_content").agg(F.count("*").alias("n_files"))
 
 
 @query(
@@ -103,8 +117,7 @@ def f4(spark, sf_dir):
     f"with {SQL_FILES}, {_scores_sql()}, found as (select coalesce({_BY_SHEBANG}, {_BY_SUFFIX}, {_BY_NAME}, by_content) as detected from sample left join scored using (entry_id)) select detected, count(*) as n_files from found group by all",
 )
 def f5(spark, sf_dir):
-    texts = files(spark, sf_dir, "path", "content").where("content is not null")
-    return texts.groupBy(languages.detected(F.col("path"), F.col("content")).alias("detected")).agg(F.count("*").alias("n_files"))
+    return texts(spark, sf_dir, languages.detected(F.col("path"), F.col("content")).alias("detected")).groupBy("detected").agg(F.count("*").alias("n_files"))
 
 
 _DISPLAY = f"case when lang is null then 'Unknown' else coalesce({_map(languages.DISPLAY, 'lang')}, upper(lang[1]) || lang[2:]) end"
@@ -119,14 +132,14 @@ def a8(spark, sf_dir):
 def f7(spark, sf_dir):
     raw = F.encode(F.coalesce("content", F.lit("")), "UTF-8")
     readable = F.col("content").isNotNull() & text.is_utf8_text(raw)
-    return files(spark, sf_dir, "content").groupBy(readable.alias("readable"), text.has_nul(raw).alias("has_nul")).agg(F.count("*").alias("n_files"))
+    return files(spark, sf_dir, readable.alias("readable"), text.has_nul(raw).alias("has_nul")).groupBy("readable", "has_nul").agg(F.count("*").alias("n_files"))
 
 
 @query("ref_f8_token_estimates", f"with {SQL_FILES} select export_id, sum((length(content) + 3) // 4)::bigint as rounded_up, sum(length(content) // 4)::bigint as rounded_down, sum(greatest((length(content) + 3) // 4, 1))::bigint as at_least_one from files where content is not null group by all")
 def f8(spark, sf_dir):
     c = F.col("content")
-    texts = files(spark, sf_dir, "export_id", "content").where("content is not null")
-    return texts.groupBy("export_id").agg(F.sum(text.tokens_up(c)).alias("rounded_up"), F.sum(text.tokens_down(c)).alias("rounded_down"), F.sum(text.tokens_at_least_one(c)).alias("at_least_one"))
+    counted = texts(spark, sf_dir, "export_id", text.tokens_up(c).alias("up"), text.tokens_down(c).alias("down"), text.tokens_at_least_one(c).alias("one"))
+    return counted.groupBy("export_id").agg(F.sum("up").alias("rounded_up"), F.sum("down").alias("rounded_down"), F.sum("one").alias("at_least_one"))
 
 
 _L = sql_lines("content")
@@ -140,13 +153,12 @@ _L = sql_lines("content")
 )
 def f9(spark, sf_dir):
     c = F.col("content")
-    texts = known(spark, sf_dir, "content").where("content is not null")
-    return texts.select("entry_id", text.line_count(c).alias("n_lines"), text.empty_line_count(c).alias("n_empty"), text.comment_line_count(c, F.col("lang")).alias("n_comments"))
+    return texts(spark, sf_dir, text.line_count(c).alias("n_lines"), text.empty_line_count(c).alias("n_empty"), text.comment_line_count(c, F.col("lang")).alias("n_comments"), language=True)
 
 
 @query("ref_f10_normalized_text", f"with {SQL_FILES} select entry_id, md5({_UNIVERSAL.format(c='content').replace(chr(39) + chr(92) + 'n' + chr(39), 'chr(10)')}) as digest from files where content is not null")
 def f10(spark, sf_dir):
-    return files(spark, sf_dir, "content").where("content is not null").select("entry_id", F.md5(text.universal(F.col("content"))).alias("digest"))
+    return texts(spark, sf_dir, F.md5(text.universal(F.col("content"))).alias("digest"))
 
 
 @query(
@@ -161,7 +173,7 @@ def f11(spark, sf_dir):
 
 @query("ref_f17_code_fences", f"with {SQL_FILES} select entry_id, repeat('`', greatest(3, 1 + coalesce(list_max(list_transform(regexp_extract_all(content, '`+'), lambda r: length(r))), 0))::int) as fence from files where content is not null")
 def f17(spark, sf_dir):
-    return files(spark, sf_dir, "content").where("content is not null").select("entry_id", text.fence(F.col("content")).alias("fence"))
+    return texts(spark, sf_dir, text.fence(F.col("content")).alias("fence"))
 
 
 @query("ref_f18_formats", f"with {SQL_FILES} select entry_id, format('{{:,}}', size_bytes) as size_text, replace(replace(path || '|' || coalesce(reason, ''), '|', '\\|'), chr(10), ' ') as cell from files where size_bytes is not null")
@@ -176,19 +188,19 @@ def f18(spark, sf_dir):
 )
 def f29(spark, sf_dir):
     row = F.sha2(F.concat_ws("\x1f", "path", *[F.coalesce(c, F.lit("")) for c in ("language", "status", "content")]), 256)  # only digests are gathered
-    ordered = F.array_sort(F.collect_list(F.struct("path", "entry_id", row.alias("row"))))
-    return files(spark, sf_dir, "export_id", "path", "language", "status", "content").groupBy("export_id").agg(F.sha2(F.array_join(F.transform(ordered, lambda r: r["row"]), ""), 256).alias("fingerprint"))
+    ordered = F.array_sort(F.collect_list(F.struct("path", "entry_id", "row")))
+    return files(spark, sf_dir, "export_id", "path", row.alias("row")).groupBy("export_id").agg(F.sha2(F.array_join(F.transform(ordered, lambda r: r["row"]), ""), 256).alias("fingerprint"))
 
 
 @query("ref_f31_xml_text", f"with {SQL_FILES} select entry_id, md5(replace(replace(replace(replace(replace(content, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')) as digest from files where content is not null")
 def f31(spark, sf_dir):
-    return files(spark, sf_dir, "content").where("content is not null").select("entry_id", F.md5(text.xml_escaped(F.col("content"))).alias("digest"))
+    return texts(spark, sf_dir, F.md5(text.xml_escaped(F.col("content"))).alias("digest"))
 
 
 @query("ref_f33_content_stats", f"with {SQL_FILES} select entry_id, strlen(content)::bigint as n_bytes, length(content)::bigint as n_chars, greatest((length(content) + 3) // 4, 1)::bigint as n_tokens from files where content is not null")
 def f33(spark, sf_dir):
     c = F.col("content")
-    return files(spark, sf_dir, "content").where("content is not null").select("entry_id", F.octet_length(c).cast("long").alias("n_bytes"), F.length(c).cast("long").alias("n_chars"), text.tokens_at_least_one(c).cast("long").alias("n_tokens"))
+    return texts(spark, sf_dir, F.octet_length(c).cast("long").alias("n_bytes"), F.length(c).cast("long").alias("n_chars"), text.tokens_at_least_one(c).cast("long").alias("n_tokens"))
 
 
 @query("ref_f34_repository_names", r"select export_id, case when trim(coalesce(root_name, '')) = '' then 'repository' else regexp_extract(regexp_replace(trim(root_name), '/+$', ''), '([^/]*)$', 1) end as display_name, coalesce(nullif(trim(git_branch), ''), 'detached') as branch, left(git_commit, 7) as short_commit from exports")
@@ -281,7 +293,7 @@ def p18(spark, sf_dir):
 )
 def p19(spark, sf_dir):
     error = F.when(F.col("status") == "error", F.col("reason"))
-    return files(spark, sf_dir, "status", "text_status", "reason", "content").groupBy(selection.entry_status(F.col("text_status"), error, F.col("content")).alias("derived"), "status").agg(F.count("*").alias("n_files"))
+    return files(spark, sf_dir, "status", "text_status", "reason", THERE).groupBy(selection.entry_status(F.col("text_status"), error, F.col("content")).alias("derived"), "status").agg(F.count("*").alias("n_files"))
 
 
 # statistics
@@ -291,12 +303,12 @@ _EXPORTABLE = "(text_status = 'text' and content is not null and coalesce(status
 
 @query("ref_a1_totals", f"with {SQL_FILES} select export_id, sum(coalesce(line_count, 0))::bigint as total_lines, sum(coalesce(estimated_tokens, 0))::bigint as total_tokens from files where {_EXPORTABLE} group by all")
 def a1(spark, sf_dir):
-    return stats.totals(files(spark, sf_dir, "export_id", "text_status", "content", "status", "line_count", "estimated_tokens"), "export_id")
+    return stats.totals(files(spark, sf_dir, "export_id", "text_status", THERE, "status", "line_count", "estimated_tokens"), "export_id")
 
 
 @query("ref_a2_file_counts", f"with {SQL_FILES} select export_id, count(*) as tracked, count(*) filter ({_EXPORTABLE}) as exported, count(*) filter (text_status = 'binary') as \"binary\", count(*) filter (status = 'error') as faulty from files group by all")
 def a2(spark, sf_dir):
-    return stats.counts(files(spark, sf_dir, "export_id", "text_status", "content", "status"), "export_id")
+    return stats.counts(files(spark, sf_dir, "export_id", "text_status", THERE, "status"), "export_id")
 
 
 @query("ref_a3_file_types", f"with {SQL_FILES} select coalesce('.' || {sql_suffix('path')}, '[no extension]') as file_type, count(*) as n_files from files group by all")
@@ -364,7 +376,7 @@ def l4(spark, sf_dir):
 )
 def l5(spark, sf_dir):
     c = F.col("content")
-    return files(spark, sf_dir, "content").where("content is not null").select("entry_id", text.omitted_lines(c, 20).alias("omitted"), F.md5(text.head_lines(c, 20)).alias("digest"))
+    return texts(spark, sf_dir, text.omitted_lines(c, 20).alias("omitted"), F.md5(text.head_lines(c, 20)).alias("digest"))
 
 
 @query(
@@ -373,7 +385,7 @@ def l5(spark, sf_dir):
 )
 def l6(spark, sf_dir):
     kept = text.limited(F.col("content"), 500, selection.BYTE_NOTICE)
-    return files(spark, sf_dir, "content").where("content is not null").select("entry_id", F.md5(kept).alias("digest"), F.octet_length(kept).cast("long").alias("n_bytes"))
+    return texts(spark, sf_dir, F.md5(kept).alias("digest"), F.octet_length(kept).cast("long").alias("n_bytes"))
 
 
 @query(
@@ -383,4 +395,4 @@ def l6(spark, sf_dir):
 def l8(spark, sf_dir):
     c = F.col("content")
     kind = F.when(~selection.within_size(F.col("size_bytes"), 5000), "size").when(text.omitted_lines(c, 60) > 0, "lines").otherwise("whole")
-    return files(spark, sf_dir, "size_bytes", "content").where("content is not null").select("entry_id", kind.alias("kind"), F.md5(selection.limited_content(c, F.col("size_bytes"), 5000, 60)).alias("digest"))
+    return texts(spark, sf_dir, kind.alias("kind"), F.md5(selection.limited_content(c, F.col("size_bytes"), 5000, 60)).alias("digest"))

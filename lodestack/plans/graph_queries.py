@@ -8,29 +8,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestack.common import table
-from lodestack.operators import extract, graph, ranking
-from lodestack.plans.file_queries import SQL_FILES, files, known
+from lodestack.common import table, with_language
+from lodestack.operators import extract, graph, project, ranking
+from lodestack.plans.file_queries import SQL_FILES, files, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-SQL_EDGES = "edges as (select 's' || l_suppkey as source_module, 'p' || (l_partkey % 200) as target_module, l_orderkey, l_linenumber from lineitem)"
-SQL_MODULES = "modules as (select 's' || s_suppkey as module from supplier union select 'p' || (p_partkey % 200) from part)"
+SQL_EDGES = "edges as (select 's' || l_suppkey as source_module, 'p' || l_partkey as target_module, l_orderkey, l_linenumber from lineitem)"
+SQL_MODULES = "modules as (select 's' || s_suppkey as module from supplier union select 'p' || p_partkey from part)"
+
+
+#: The file that a row of ``part`` is written to: their number grows with the table.
+FILE = F.expr("p_partkey div 25")
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
-        F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source_module"), F.concat(F.lit("p"), (F.col("l_partkey") % 200).cast("string")).alias("target_module"), "l_orderkey", "l_linenumber"
+        F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source_module"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target_module"), "l_orderkey", "l_linenumber"
     )
 
 
 def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("module"))
-    p = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), (F.col("p_partkey") % 200).cast("string")).alias("module"))
+    p = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("module"))
     return s.union(p).distinct()
 
 
@@ -167,9 +171,16 @@ def j14(spark, sf_dir):
     return graph.deepest_folder(own, folders, "export_id").select("export_id", "entry_id", "folder")
 
 
-@query("ref_j15_path_conflicts", f"with {_TREE} select export_id, path from tree group by all having count(distinct entry_type) > 1")
+@query(
+    "ref_j15_path_conflicts",
+    """with p as (select distinct o_orderstatus, 'c' || o_custkey || case when o_totalprice < 150000 then '' else '/' || o_orderkey end as path from orders),
+    up as (select o_orderstatus, path, 'file' as t from p union select o_orderstatus, regexp_replace(path, '/[^/]*$', ''), 'directory' from p where contains(path, '/'))
+    select o_orderstatus, path from up group by all having count(distinct t) > 1""",
+)
 def j15(spark, sf_dir):
-    return graph.conflicts(files(spark, sf_dir, "export_id", "path"), "export_id")
+    """Customers as files by their cheap orders and as folders by the others."""
+    path = F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.when(F.col("o_totalprice") < 150_000, "").otherwise(F.concat(F.lit("/"), F.col("o_orderkey").cast("string"))))
+    return graph.conflicts(table(spark, sf_dir, "orders").select("o_orderstatus", path.alias("path")).distinct(), "o_orderstatus")
 
 
 # sources rendered from rows and read again
@@ -181,10 +192,10 @@ def _rendered(rows: DataFrame, key: str, order: str, line: str, separator: str =
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_partkey") % 200).alias("k")).distinct()
+    return table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_partkey").alias("k")).distinct()
 
 
-_PARTS = "parts as (select distinct l_suppkey, l_partkey % 200 as k from lineitem)"
+_PARTS = "parts as (select distinct l_suppkey, l_partkey as k from lineitem)"
 
 
 @query("ref_x3_imports_read_again", f"with {_PARTS} select l_suppkey, 'p' || k as imported_module, row_number() over (partition by l_suppkey order by k)::int as line_number from parts")
@@ -202,6 +213,71 @@ def x1(spark, sf_dir):
     return extract.python_symbols(_rendered(_parts(spark, sf_dir), "l_suppkey", "k", line), "l_suppkey").select("l_suppkey", "name", "kind", "parent")
 
 
+_CHAIN = "parts as (select distinct l_suppkey, l_partkey as k from lineitem), chain as (select *, lead(k) over (partition by l_suppkey order by k) as n, lag(k) over (partition by l_suppkey order by k) as b from parts)"
+
+
+def _chain(spark: SparkSession, sf_dir: str, content: str, path: str) -> DataFrame:
+    """One file for each part of a supplier, which knows the next part, ``n``."""
+    rows = _parts(spark, sf_dir).withColumn("n", F.lead("k").over(Window.partitionBy("l_suppkey").orderBy("k")))
+    return rows.select(F.concat_ws("/", "l_suppkey", "k").alias("entry_id"), "l_suppkey", F.expr(path).alias("path"), F.expr(content).alias("content"))
+
+
+def _modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content = "concat(if(n is null, '', concat('from m', n, ' import f', n, ' as later\\n')), 'import os\\n\\ndef f', k, '():\\n    return later(os.stat(g()))\\n')"
+    return _chain(spark, sf_dir, content, "concat('m', k, '.py')")
+
+
+@query(
+    "ref_j7_calls_read_again",
+    f"""with {_CHAIN} select l_suppkey, 'f' || k as caller, 'later' as callee, case when n is null then 'unresolved' else 'imported_local' end as confidence, 'm' || n || '.f' || n as callee_qualified_name, 'm' || n || '.py' as target_path from chain
+    union all select l_suppkey, 'f' || k, 'stat', 'external', 'os.stat', null from chain union all select l_suppkey, 'f' || k, 'g', 'unresolved', null, null from chain""",
+)
+def j7_again(spark, sf_dir):
+    """Every supplier is a repository, every part of it a module that imports the next one's function."""
+    own = _modules(spark, sf_dir)
+    return extract.PythonFacts(own).resolved_calls(own, "l_suppkey").join(own.select("entry_id", "l_suppkey"), "entry_id").select("l_suppkey", "caller", "callee", "confidence", "callee_qualified_name", "target_path")
+
+
+@query("ref_a15_confidence_read_again", f"with {_CHAIN} select case when n is null then 'unresolved' else 'imported_local' end as confidence, count(*) as n_calls from chain group by 1 having confidence = 'imported_local' union all select 'unresolved', count(*) + count(*) filter (n is null) from chain union all select 'external', count(*) from chain")
+def a15_again(spark, sf_dir):
+    return j7_again(spark, sf_dir).groupBy("confidence").agg(F.count("*").alias("n_calls"))
+
+
+@query("ref_p15_classes_read_again", f"with {_CHAIN} select 'internal' as call_class, count(n) as n_calls from chain union all select 'unresolved', count(*) + count(*) filter (n is null) from chain union all select 'external', count(*) from chain")
+def p15_again(spark, sf_dir):
+    return j7_again(spark, sf_dir).groupBy(project.call_class(F.col("confidence")).alias("call_class")).agg(F.count("*").alias("n_calls"))
+
+
+@query(
+    "ref_g6_imports_read_again",
+    f"with {_CHAIN} select l_suppkey, 'm' || k as source_module, 'm' || n as imported_module, 'f' || n as imported_name, 'm' || n as target_module, 'local' as resolution from chain where n is not null union all select l_suppkey, 'm' || k, 'os', null, null, 'external' from chain",
+)
+def g6_again(spark, sf_dir):
+    own = _modules(spark, sf_dir)
+    return extract.PythonFacts(own).resolved_imports(own, "l_suppkey").select("l_suppkey", "source_module", "imported_module", "imported_name", "target_module", "resolution")
+
+
+@query(
+    "ref_j10_ranked_read_again",
+    f"""with {_CHAIN}, p as (select l_suppkey, 'm' || k || '.py' as path, (case when b is null then 0 else 35 + 35 end + case when n is null then 0 else 8 + 6 end)::bigint as score,
+      concat_ws('; ', case when b is not null then 'imported by 1' end, case when n is not null then 'imports 1' end, case when b is not null then 'called from 1' end, case when n is not null then 'calls into 1' end) as reasons from chain)
+    select l_suppkey, path, score, reasons, row_number() over (partition by l_suppkey order by score desc, path)::int as place from p where score > 0""",
+)
+def j10_again(spark, sf_dir):
+    own = _modules(spark, sf_dir)
+    return ranking.rank_repository(extract.PythonFacts(own), own, "l_suppkey")
+
+
+@query(
+    "ref_j16_shell_calls_read_again",
+    f"with {_CHAIN} select l_suppkey, 'f' || k as caller, 'f' || n as callee, l_suppkey || '/' || n as callee_file from chain where n is not null",
+)
+def j16_again(spark, sf_dir):
+    """One script for each part of a supplier, which calls the function of the next one's script."""
+    own = _chain(spark, sf_dir, "concat('f', k, '() {\\n  ', if(n is null, ':', concat('f', n, ' --all | sort')), '\\n}\\n')", "concat('f', k, '.sh')")
+    return extract.bash_call_edges(own, scope=F.col("l_suppkey")).join(own.select("entry_id", "l_suppkey"), "entry_id").select("l_suppkey", "caller", "callee", "callee_file")
+
+
 @query("ref_x4_calls_read_again", f"with {_PARTS} select l_suppkey, 'f' || k as caller, 'g' || (k + 1) as callee from parts union all select l_suppkey, 'f' || k, 'h' from parts")
 def x4(spark, sf_dir):
     line = "concat('def f', k, '():\\n    return g', k + 1, '(h(', k, '))')"
@@ -222,7 +298,7 @@ def x5(spark, sf_dir):
     "with p as (select p_partkey, p_size, unnest(range(0, 3)) as position from part) select 't' || p_partkey as table_name, position::int as position, case position when 0 then 'id' when 1 then 'label' else 'size ' || p_size end as column_name, case position when 0 then 'BIGINT' when 1 then 'VARCHAR(20)' else 'NUMERIC(10, 2)' end as data_type, case position when 0 then false when 2 then true end as nullable, case position when 1 then '''a;b''' end as default_value, position = 0 as is_primary_key from p",
 )
 def x6(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select((F.col("p_partkey") % 50).alias("file"), "p_partkey", "p_size")
+    rows = table(spark, sf_dir, "part").select(FILE.alias("file"), "p_partkey", "p_size")
     line = "concat('-- part ', p_partkey, '; not a statement\\nCREATE TABLE IF NOT EXISTS t', p_partkey, ' (id BIGINT NOT NULL PRIMARY KEY, label VARCHAR(20) DEFAULT ''a;b'', \"size ', p_size, '\" NUMERIC(10, 2) NULL, CHECK (id > 0));')"
     line = line.replace("''a;b''", "\\'a;b\\'")
     return extract.sql_tables(_rendered(rows, "file", "p_partkey", line), "file").drop("file")
@@ -230,7 +306,7 @@ def x6(spark, sf_dir):
 
 @query("ref_x7_dependencies_read_again", "select 'lib-' || p_partkey as normalized_name, '>=' || p_size as version_constraint, case when p_partkey % 3 = 0 then 'optional' else 'runtime' end as dependency_type, case when p_partkey % 3 = 0 then 'extra' end as group_name from part")
 def x7(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select((F.col("p_partkey") % 50).alias("file"), "p_partkey", "p_size")
+    rows = table(spark, sf_dir, "part").select(FILE.alias("file"), "p_partkey", "p_size")
     item = F.concat(F.lit('"Lib_'), F.col("p_partkey").cast("string"), F.lit(">="), F.col("p_size").cast("string"), F.lit('"'))
     grouped = rows.groupBy("file").agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("p_partkey") % 3 > 0, item))), ", ").alias("runtime"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("p_partkey") % 3 == 0, item))), ", ").alias("extra"))
     texts = grouped.select("file", F.concat(F.lit('[project]\nname = "x"\ndependencies = ['), "runtime", F.lit("]\n[project.optional-dependencies]\nextra = ["), "extra", F.lit("]\n")).alias("content"))
@@ -239,10 +315,10 @@ def x7(spark, sf_dir):
 
 @query(
     "ref_x8_requirements",
-    "select p_partkey % 50 as file, 'lib-' || p_partkey as normalized_name, case when p_partkey % 7 = 0 then null else '==' || p_size end as version_constraint, 'runtime' as dependency_type from part union all select distinct p_partkey % 50, null, null, 'warning' from part",
+    "select p_partkey // 25 as file, 'lib-' || p_partkey as normalized_name, case when p_partkey % 7 = 0 then null else '==' || p_size end as version_constraint, 'runtime' as dependency_type from part union all select distinct p_partkey // 25, null, null, 'warning' from part",
 )
 def x8(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select((F.col("p_partkey") % 50).alias("file"), "p_partkey", "p_size")
+    rows = table(spark, sf_dir, "part").select(FILE.alias("file"), "p_partkey", "p_size")
     texts = _rendered(rows, "file", "p_partkey", "concat('Lib.', p_partkey, if(p_partkey % 7 = 0, '', concat('==', p_size)), if(p_partkey % 5 = 0, '  # pinned', ''))")
     whole = texts.select("file", F.concat(F.lit("# generated rows\n--index-url here\n\n"), "content").alias("content"), F.lit("requirements.txt").alias("path"))
     return extract.requirement_lines(whole, "file").select("file", "normalized_name", "version_constraint", "dependency_type")
@@ -256,36 +332,37 @@ def a11(spark, sf_dir):
 # over the files themselves
 
 
-def _python(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return known(spark, sf_dir, "export_id", "content").where("lang = 'python' and content is not null")
+def _of_language(spark: SparkSession, sf_dir: str, language: str, *columns: str) -> DataFrame:
+    """Texts of one language as they are read; what is found in equal rows is made one afterwards."""
+    rows = table(spark, sf_dir, "file_entries").where("content is not null")
+    return with_language(rows, table(spark, sf_dir, "languages")).where(F.col("lang") == language).select("entry_id", *columns, "content")
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> extract.PythonFacts:
+    return extract.PythonFacts(_of_language(spark, sf_dir, "python"))
 
 
 @query("ref_x1_python_symbols")
 def x1_files(spark, sf_dir):
-    return extract.python_symbols(_python(spark, sf_dir))
+    return extract.python_symbols(_of_language(spark, sf_dir, "python")).distinct()
 
 
 @query("ref_x3_python_imports")
 def x3_files(spark, sf_dir):
-    return extract.python_imports(_python(spark, sf_dir))
+    return extract.python_imports(_of_language(spark, sf_dir, "python")).distinct()
 
 
 @query("ref_g6_import_graph")
 def g6(spark, sf_dir):
     """Imports of every Python file, resolved within its export."""
-    from lodestack.functions.paths import module_name
-
-    own = files(spark, sf_dir, "export_id", "path").where("path like '%.py'").withColumn("module", module_name(F.col("path"))).where("module is not null")
-    found = extract.python_imports(_python(spark, sf_dir)).where("import_type <> 'error'").join(own.select("entry_id", "export_id", F.col("module").alias("source_module")), "entry_id")
-    references = found.withColumn("reference_id", F.concat_ws("-", F.col("entry_id").cast("string"), F.col("visit_ord").cast("string")))
-    return graph.resolve_imports(references, own.select("export_id", "module", "path")).select("export_id", "source_module", "import_type", "imported_module", "imported_name", "line_number", "target_module", "resolution")
+    found = _facts(spark, sf_dir).resolved_imports(files(spark, sf_dir, "export_id", "path"), "export_id")
+    return found.select("export_id", "source_module", "import_type", "imported_module", "imported_name", "line_number", "target_module", "resolution")
 
 
 @query("ref_j7_resolved_calls")
 def j7(spark, sf_dir):
-    texts = _python(spark, sf_dir)
-    found = extract.resolve_calls(extract.python_calls(texts), extract.python_symbols(texts), extract.python_imports(texts))
-    return found.select("entry_id", "caller", "callee", "line_number", "visit_ord", "confidence", "callee_qualified_name")
+    found = _facts(spark, sf_dir).resolved_calls(files(spark, sf_dir, "export_id", "path"), "export_id")
+    return found.select("entry_id", "caller", "callee", "line_number", "visit_ord", "confidence", "callee_qualified_name", "target_path")
 
 
 @query("ref_a15_call_confidence")
@@ -295,28 +372,20 @@ def a15(spark, sf_dir):
 
 @query("ref_j16_shell_call_graph")
 def j16(spark, sf_dir):
-    texts = known(spark, sf_dir, "export_id", "content").where("lang = 'bash' and content is not null").select("entry_id", "export_id", "content")
-    return extract.bash_call_edges(texts, scope=F.col("export_id"))
+    return extract.bash_call_edges(_of_language(spark, sf_dir, "bash", "export_id"), scope=F.col("export_id"))
 
 
 @query("ref_x7_toml_dependencies")
 def x7_files(spark, sf_dir):
-    return extract.toml_dependencies(known(spark, sf_dir, "content").where("lang = 'toml' and content is not null"))
+    return extract.toml_dependencies(_of_language(spark, sf_dir, "toml")).distinct()
 
 
 @query("ref_j10_ranked_files")
 def j10(spark, sf_dir):
-    """Files of every export by importance; the edges are shared symbol names between its files."""
-    symbols = table(spark, sf_dir, "symbols").select("export_id", "name", F.col("file_path").alias("path")).distinct()
-    least = symbols.groupBy("export_id", "name").agg(F.min("path").alias("target"))
-    shared = symbols.join(least, ["export_id", "name"]).where("path <> target").select("export_id", F.col("path").alias("source"), "target")
-    imports = g6(spark, sf_dir).where("resolution = 'local'")
-    own = files(spark, sf_dir, "export_id", "path", "content")
-    from lodestack.functions.paths import module_name
-
-    paths_of = own.where("path like '%.py'").select("export_id", module_name(F.col("path")).alias("module"), "path").where("module is not null").groupBy("export_id", "module").agg(F.min("path").alias("path"))
-    linked = imports.join(paths_of.select("export_id", F.col("module").alias("source_module"), F.col("path").alias("source")), ["export_id", "source_module"]).join(paths_of.select("export_id", F.col("module").alias("target_module"), F.col("path").alias("target")), ["export_id", "target_module"])
-    return ranking.rank(own, linked.select("export_id", "source", "target"), shared, "export_id")
+    """Files of every export by importance: imports, calls of imported functions, console scripts, documentation and structure."""
+    own = files(spark, sf_dir, "export_id", "path", ranking.structure_score(F.col("path"), F.col("content")).alias("structure"))
+    scripts = extract.console_scripts(table(spark, sf_dir, "file_entries").where("path = 'pyproject.toml' or path like '%/pyproject.toml'")).distinct().join(own.select("entry_id", "export_id"), "entry_id")
+    return ranking.rank_repository(_facts(spark, sf_dir), own, "export_id", scripts)
 
 
 @query(
@@ -329,4 +398,4 @@ def x10(spark, sf_dir):
 
 @query("ref_x13_definition_lines", f"with {SQL_FILES} select entry_id, len(list_filter(string_split(content, chr(10)), lambda x: regexp_matches(x, '^\\s*(?:def|class|async def)\\s')))::int as n_definitions from files where content is not null")
 def x13(spark, sf_dir):
-    return files(spark, sf_dir, "content").where("content is not null").select("entry_id", extract.definition_lines(F.col("content")).alias("n_definitions"))
+    return texts(spark, sf_dir, extract.definition_lines(F.col("content")).alias("n_definitions"))

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.common import table
+from lodestack.functions.text import tokens_up
 from lodestack.operators import changes, masking, model, report, selection
-from lodestack.plans.file_queries import SQL_FILES, files
+from lodestack.plans.file_queries import SQL_FILES, THERE, files, texts
 from lodestack.streaming import events as event_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,11 +72,14 @@ def s10(spark, sf_dir):
 
 @query(
     "ref_u2_path_sets",
-    "with o as (select distinct path from entry_snapshots where snapshot_no = 1), n as (select distinct path from entry_snapshots where snapshot_no = 2) select coalesce(o.path, n.path) as path, case when o.path is null then 'added' when n.path is null then 'removed' else 'kept' end as side from o full join n on o.path = n.path",
+    """with p as (select distinct repo_id, snapshot_no, path from entry_snapshots where path is not null), n as (select repo_id, snapshot_no, lag(snapshot_no) over (partition by repo_id order by snapshot_no) as earlier from (select distinct repo_id, snapshot_no from p)),
+    o as (select n.repo_id, n.snapshot_no, p.path from n join p on p.repo_id = n.repo_id and p.snapshot_no = n.earlier), w as (select n.repo_id, n.snapshot_no, p.path from n join p on p.repo_id = n.repo_id and p.snapshot_no = n.snapshot_no where n.earlier is not null)
+    select coalesce(o.repo_id, w.repo_id) as repo_id, coalesce(o.snapshot_no, w.snapshot_no) as snapshot_no, coalesce(o.path, w.path) as path, case when o.path is null then 'added' when w.path is null then 'removed' else 'kept' end as side from o full join w on o.repo_id = w.repo_id and o.snapshot_no = w.snapshot_no and o.path = w.path""",
 )
 def u2(spark, sf_dir):
-    rows = table(spark, sf_dir, "entry_snapshots").select("snapshot_no", "path")
-    return changes.path_sets(rows.where("snapshot_no = 1"), rows.where("snapshot_no = 2"))
+    """Paths of every snapshot of every repository against those of the one before."""
+    rows = table(spark, sf_dir, "entry_snapshots").where("path is not null").select("repo_id", "snapshot_no", "path").distinct()
+    return changes.consecutive_path_sets(rows, "repo_id", "snapshot_no", "path")
 
 
 @query(
@@ -111,7 +115,7 @@ def u5(spark, sf_dir):
     union all select min(entry_id), 'duplicate_path' from files group by export_id, path having count(*) > 1""",
 )
 def v1(spark, sf_dir):
-    return model.issues(files(spark, sf_dir, "export_id", "path", "language", "status", "text_status", "content", "size_bytes", "line_count", "estimated_tokens"))
+    return model.issues(files(spark, sf_dir, "export_id", "path", "language", "status", "text_status", THERE, "size_bytes", "line_count", "estimated_tokens"))
 
 
 @query(
@@ -120,7 +124,7 @@ def v1(spark, sf_dir):
     select e.export_id, coalesce(r.tracked, 0)::bigint as tracked, coalesce(total_tracked_files, -1) = coalesce(r.tracked, 0) as tracked_agrees, coalesce(estimated_tokens = coalesce(r.tokens, 0), false) as tokens_agree from exports e left join r using (export_id)""",
 )
 def v3(spark, sf_dir):
-    return model.audit(files(spark, sf_dir, "export_id", "text_status", "status", "content"), table(spark, sf_dir, "exports"))
+    return model.audit(files(spark, sf_dir, "export_id", "text_status", "status", tokens_up(F.col("content")).alias("tokens")), table(spark, sf_dir, "exports"))
 
 
 @query("ref_v4_missing_sections", "with required(name) as (values ('python'), ('java'), ('cobol'), ('fortran')), present as (select distinct lower(trim(language)) as name from file_entries) select name from required where name not in (select name from present where name is not null)")
@@ -156,7 +160,7 @@ def s18(spark, sf_dir):
     f"with {SQL_FILES} select export_id, md5(string_agg('## ' || path || chr(10) || chr(10) || content, chr(10) || chr(10) order by path, entry_id)) as digest from files where content is not null group by export_id",
 )
 def r1(spark, sf_dir):
-    rows = files(spark, sf_dir, "export_id", "path", "content").where("content is not null").withColumn("section", F.concat(F.lit("## "), "path", F.lit("\n\n"), "content"))
+    rows = texts(spark, sf_dir, "export_id", "path", F.concat(F.lit("## "), "path", F.lit("\n\n"), "content").alias("section"))
     return report.assembled(rows, "export_id", ["path", "entry_id"], "section").select("export_id", F.md5("text").alias("digest"))
 
 
@@ -178,7 +182,8 @@ def r4(spark, sf_dir):
     select entry_id, (k + 1)::int as part, n as n_parts, length(content[k * 1000 + 1 : (k + 1) * 1000])::int as n_chars, md5(content[k * 1000 + 1 : (k + 1) * 1000]) as digest from p""",
 )
 def r5(spark, sf_dir):
-    return report.plain_parts(files(spark, sf_dir, "content"), "entry_id", "content", F.lit(1000))
+    pieces = report.plain_parts(table(spark, sf_dir, "file_entries"), "entry_id", "content", F.lit(1000))
+    return pieces.dropDuplicates(["entry_id", "part"])  # of digests
 
 
 @query("ref_r5_packed_sections")
@@ -194,7 +199,7 @@ def r5_packed(spark, sf_dir):
 )
 def k3(spark, sf_dir):
     n = F.greatest(F.ceil(F.length("content") / 1000), F.lit(1)).cast("int")
-    parts = files(spark, sf_dir, "path", "content").where("content is not null").select("entry_id", "path", n.alias("n")).withColumn("part", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    parts = texts(spark, sf_dir, "path", n.alias("n")).withColumn("part", F.explode(F.sequence(F.lit(1), F.col("n"))))
     return parts.select("entry_id", "part", report.part_name(F.col("path"), F.col("part"), F.col("n")).alias("name"))
 
 
@@ -227,12 +232,12 @@ _FINDINGS = f"""l as (select entry_id, unnest(string_split_regex(content, '\\r?\
 
 @query("ref_m2_masked_lines", f"with {SQL_FILES}, {_FINDINGS} select * from found")
 def m2(spark, sf_dir):
-    return masking.line_findings(files(spark, sf_dir, "content"))
+    return masking.line_findings(table(spark, sf_dir, "file_entries")).distinct()
 
 
 @query("ref_a12_secret_counts", f"with {SQL_FILES}, {_FINDINGS} select secret_type, count(*) as n_findings from found group by all")
 def a12(spark, sf_dir):
-    return masking.counts_by_type(masking.line_findings(files(spark, sf_dir, "content")))
+    return masking.counts_by_type(m2(spark, sf_dir))
 
 
 # events (an extension: the reference has no streams)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestack.common import table
 from lodestack.functions import paths, text
 from lodestack.operators import changes, extract, graph, project, ranking, report, selection, stats
-from lodestack.plans.file_queries import SQL_FILES, SQL_LANG, files, known, sql_lines, sql_suffix
+from lodestack.plans.file_queries import SQL_FILES, SQL_LANG, files, known, sql_lines, sql_suffix, texts
 from lodestack.plans.graph_queries import SQL_EDGES, edges
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,9 +44,9 @@ def a4(spark, sf_dir):
     return files(spark, sf_dir, "export_id", "path", "status", "text_status").groupBy("export_id", kept.alias("file_type")).agg(F.count("*").alias("n_files"), F.count_if((F.col("status") == "skipped") & (F.col("text_status") == "binary")).alias("n_skipped"))
 
 
-@query("ref_a16_ambiguous_symbols", f"with {_SYMBOLS} select export_id, file_path, parent, name, count(*) as n from s group by all having count(*) > 1")
+@query("ref_a16_ambiguous_symbols", f"with {_SYMBOLS} select export_id, name, count(*) as n from s group by all having count(*) > 1")
 def a16(spark, sf_dir):
-    return _symbols(spark, sf_dir).groupBy("export_id", "file_path", "parent", "name").agg(F.count("*").alias("n")).where("n > 1")
+    return project.ambiguous(_symbols(spark, sf_dir), ["export_id", "name"])
 
 
 @query(
@@ -61,8 +61,8 @@ def a17(spark, sf_dir):
 
 @query("ref_a18_imported_names", f"with {SQL_EDGES}, d as (select distinct source_module, target_module from edges), r as (select *, row_number() over (partition by source_module order by target_module) as place, count(*) over (partition by source_module) as n from d) select source_module, string_agg(target_module, ',' order by target_module) as first_names, greatest(max(n) - 20, 0)::bigint as more from r where place <= 20 group by source_module")
 def a18(spark, sf_dir):
-    names = edges(spark, sf_dir).groupBy("source_module").agg(F.array_sort(F.collect_set("target_module")).alias("t"))
-    return names.select("source_module", F.array_join(F.slice("t", 1, 20), ",").alias("first_names"), F.greatest(F.size("t") - 20, F.lit(0)).cast("long").alias("more"))
+    names = selection.capped(edges(spark, sf_dir).select("source_module", "target_module").distinct(), ["source_module"], ["target_module"], 20)
+    return names.groupBy("source_module").agg(F.array_join(F.array_sort(F.collect_list("target_module")), ",").alias("first_names"), F.max("more").alias("more"))
 
 
 @query(
@@ -105,8 +105,8 @@ def p21(spark, sf_dir):
 
 @query("ref_p22_symbol_inputs", f"with {SQL_FILES} select entry_id from files where content is not null and path like '%.py' and (size_bytes is null or size_bytes <= 4000) and len({sql_lines('content')}) <= 100")
 def p22(spark, sf_dir):
-    own = files(spark, sf_dir, "path", "size_bytes", "content").where("content is not null and path like '%.py'")
-    return own.where(selection.within_size(F.col("size_bytes"), 4000) & (text.line_count(F.col("content")) <= 100)).select("entry_id")
+    own = files(spark, sf_dir, "size_bytes", text.line_count(F.col("content")).alias("lines"), where="content is not null and path like '%.py'")
+    return own.where(selection.within_size(F.col("size_bytes"), 4000) & (F.col("lines") <= 100)).select("entry_id")
 
 
 @query("ref_g7_call_edges", f"with {_SYMBOLS}, e as (select distinct export_id, file_path as caller_file, coalesce(parent, '<module>') as caller, name as callee, coalesce(line_start, -1) as line from s) select export_id, caller_file, caller, callee, line, row_number() over (partition by export_id order by caller_file, caller, line, callee)::int as place from e")
@@ -117,15 +117,22 @@ def g7(spark, sf_dir):
     return e.withColumn("place", F.row_number().over(Window.partitionBy("export_id").orderBy("caller_file", "caller", "line", "callee")))
 
 
-@query("ref_g8_callers_and_callees", f"with {SQL_EDGES} select target_module as callee, count(distinct source_module) as n_callers, string_agg(distinct source_module, ',' order by source_module) as callers from edges where target_module in ('p0', 'p7', 'p199') group by all")
+@query(
+    "ref_g8_callers_and_callees",
+    f"""with {SQL_EDGES}, e as (select distinct source_module as caller, target_module as callee from edges)
+    select coalesce(o.caller, i.callee) as symbol, coalesce(n_callers, 0)::bigint as n_callers, coalesce(n_callees, 0)::bigint as n_callees, callers, callees
+    from (select callee, count(*) as n_callers, array_to_string(list_sort(list(caller))[:25], ',') as callers from e group by callee) i full join (select caller, count(*) as n_callees, array_to_string(list_sort(list(callee))[:25], ',') as callees from e group by caller) o on o.caller = i.callee""",
+)
 def g8(spark, sf_dir):
-    chosen = edges(spark, sf_dir).where(F.col("target_module").isin("p0", "p7", "p199"))
-    return chosen.groupBy(F.col("target_module").alias("callee")).agg(F.count_distinct("source_module").alias("n_callers"), F.array_join(F.array_sort(F.collect_set("source_module")), ",").alias("callers"))
+    """Callers and callees of every symbol: how many, and the first 25 of each by name."""
+    return graph.callers_and_callees(edges(spark, sf_dir), "source_module", "target_module", 25)
 
 
-@query("ref_g15_duplicate_siblings", f"with {SQL_FILES} select export_id, lower(path) as low_path, count(*) as n from files group by all having count(*) > 1")
+@query("ref_g15_duplicate_siblings", "with p as (select distinct c_nationkey, case when c_acctbal < 1000 then lower(c_mktsegment) else c_mktsegment end as path from customer) select c_nationkey, lower(path) as low_path, count(*) as n from p group by all having count(*) > 1")
 def g15(spark, sf_dir):
-    return files(spark, sf_dir, "export_id", "path").groupBy("export_id", F.lower("path").alias("low_path")).agg(F.count("*").alias("n")).where("n > 1")
+    """Segments of each nation as folders, spelled in two ways."""
+    own = table(spark, sf_dir, "customer").select("c_nationkey", F.when(F.col("c_acctbal") < 1000, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment")).alias("path")).distinct()
+    return graph.duplicate_siblings(own, "c_nationkey")
 
 
 @query("ref_w2_last_deliveries", "select entry_id, max(loaded_at) as loaded_at, count(*) as n_deliveries from file_entries group by all")
@@ -134,11 +141,11 @@ def w2(spark, sf_dir):
     return rows.groupBy("entry_id").agg(F.max("loaded_at").alias("loaded_at"), F.count("*").alias("n_deliveries"))
 
 
-@query("ref_w7_column_positions", "select p_partkey % 50 as file, 't' || p_partkey as table_name, 3::bigint as n_columns from part")
+@query("ref_w7_column_positions", "select p_partkey // 25 as file, 't' || p_partkey as table_name, 3::bigint as n_columns from part")
 def w7(spark, sf_dir):
-    from lodestack.plans.graph_queries import _rendered
+    from lodestack.plans.graph_queries import FILE, _rendered
 
-    rows = table(spark, sf_dir, "part").select((F.col("p_partkey") % 50).alias("file"), "p_partkey")
+    rows = table(spark, sf_dir, "part").select(FILE.alias("file"), "p_partkey")
     line = "concat('create table t', p_partkey, ' (a int, primary key (a), b int, constraint c check (a > 0), d int);')"
     found = extract.sql_tables(_rendered(rows, "file", "p_partkey", line), "file")
     return found.where("position between 0 and 2").groupBy("file", "table_name").agg(F.count_distinct("position").alias("n_columns"))
@@ -146,7 +153,7 @@ def w7(spark, sf_dir):
 
 @query("ref_l7_would_exceed", f"with {SQL_FILES}, n as (select export_id, sum(strlen(content))::bigint as n_bytes from files where content is not null group by all) select n.export_id, n_bytes, coalesce(n_bytes > max_export_bytes, false) as exceeds from n join exports using (export_id)")
 def l7(spark, sf_dir):
-    n = files(spark, sf_dir, "export_id", "content").where("content is not null").groupBy("export_id").agg(F.sum(F.octet_length("content")).alias("n_bytes"))
+    n = texts(spark, sf_dir, "export_id", F.octet_length("content").alias("size")).groupBy("export_id").agg(F.sum("size").alias("n_bytes"))
     return n.join(table(spark, sf_dir, "exports").select("export_id", "max_export_bytes"), "export_id").select("export_id", "n_bytes", F.coalesce(F.col("n_bytes") > F.col("max_export_bytes"), F.lit(False)).alias("exceeds"))
 
 
@@ -179,9 +186,10 @@ def u7(spark, sf_dir):
     return report.assembled(rows, "repo_id", ["export_id"], "line", "\n").select("repo_id", F.md5("text").alias("digest"))
 
 
-@query("ref_f12_normal_names", "select p_partkey, lower(regexp_replace(p_name, '[ _.-]+', '-', 'g')) as normalized from part")
+@query("ref_f12_normal_names", "select p_partkey, lower(regexp_replace(p_name || '__.' || p_partkey, '[-_.]+', '-', 'g')) as normalized from part")
 def f12(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.lower(F.regexp_replace("p_name", "[ _.-]+", "-")).alias("normalized"))
+    name = F.concat(F.col("p_name"), F.lit("__."), F.col("p_partkey").cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", extract.normalized_name(name).alias("normalized"))
 
 
 _STEM = "regexp_replace(lower(" + _NAME.format(p="path") + "), '([^.])\\.[^.]*$', '\\1')"
@@ -218,7 +226,8 @@ def f28(spark, sf_dir):
     select n.export_id, n.path, count(distinct f.path) as n_mentions from n left join files f on f.export_id = n.export_id and f.path <> n.path and f.content is not null and (contains(f.content, 'import ' || module) or contains(f.content, 'from ' || module || ' import') or contains(f.content, 'from .' || last || ' import')) group by all""",
 )
 def j18(spark, sf_dir):
-    return project.mentions(files(spark, sf_dir, "export_id", "path", "content"), "export_id")
+    said = F.concat_ws("\n", F.array_distinct(F.regexp_extract_all("content", F.lit(r"import [A-Za-z0-9_.]+"), F.lit(0))), F.array_distinct(F.regexp_extract_all("content", F.lit(r"from [A-Za-z0-9_.]+ import"), F.lit(0))))
+    return project.mentions(files(spark, sf_dir, "export_id", "path", F.when(F.col("content").isNotNull(), said).alias("content")), "export_id")
 
 
 @query(
@@ -232,7 +241,9 @@ def j18(spark, sf_dir):
       case when p or tests then 'pytest' when u then 'unittest' else 'Unknown' end as test_framework from f left join n using (export_id)""",
 )
 def x11(spark, sf_dir):
-    return project.facts(known(spark, sf_dir, "export_id", "content"), "export_id")
+    low = F.lower("content")
+    words = F.when(F.col("content").isNotNull(), F.concat_ws(" ", *[F.when(low.contains(word), F.lit(word)) for word in ("pytest", "unittest")]))
+    return project.facts(known(spark, sf_dir, "export_id", words.alias("content")), "export_id")
 
 
 @query(
@@ -268,12 +279,12 @@ def j4(spark, sf_dir):
     return graph.first_seen(own, ["module"], ["path"])
 
 
-_ALIASES = """p as (select distinct l_suppkey, l_partkey % 200 as k from lineitem), a as (select l_suppkey, k, case when k % 2 = 0 then 'import' else 'from' end as import_type, case when k % 3 = 0 then 'a.m' || k else 'm' || k end as m, 'n' || (k % 5) as name from p),
+_ALIASES = """p as (select distinct l_suppkey, l_partkey as k from lineitem), a as (select l_suppkey, k, case when k % 2 = 0 then 'import' else 'from' end as import_type, case when k % 3 = 0 then 'a.m' || k else 'm' || k end as m, 'n' || (k % 5) as name from p),
     e as (select l_suppkey, k, case when k % 2 = 0 then 'x.a.m' || (k - k % 10) else 'm' || k end as t, case when k % 4 = 1 then 'other' else 'n' || (k % 5) end as name from p)"""
 
 
 def _aliases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    p = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_partkey") % 200).alias("k")).distinct()
+    p = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_partkey").alias("k")).distinct()
     a = p.selectExpr("l_suppkey", "k as alias_id", "if(k % 2 = 0, 'import', 'from') as import_type", "if(k % 3 = 0, concat('a.m', k), concat('m', k)) as imported_module", "concat('n', k % 5) as imported_name")
     e = p.selectExpr("l_suppkey", "if(k % 2 = 0, concat('x.a.m', k - k % 10), concat('m', k)) as target_module", "if(k % 4 = 1, 'other', concat('n', k % 5)) as edge_name", "k as edge_order")
     return a, e

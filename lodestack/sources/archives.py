@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import io
-import os
 import sqlite3
-import tempfile
 import zipfile
 from collections.abc import Iterator
 from pathlib import PurePosixPath
@@ -39,7 +37,7 @@ def zip_members(archives: DataFrame, key: str = "path") -> DataFrame:
                             elif not info.is_dir():
                                 rows.append((k, info.filename, None, None, "leaves the archive"))
                 except (zipfile.BadZipFile, OSError, RuntimeError) as error:
-                    rows.append((k, None, None, None, str(error)[:200]))
+                    rows.append((k, None, None, None, str(error)))
             out = pd.DataFrame(rows, columns=[key, "member", "size_bytes", "sample", "error"])
             out["size_bytes"] = out["size_bytes"].astype("Int64")
             yield out
@@ -51,22 +49,20 @@ COLUMNS = "table_name string, table_type string, position int, column_name strin
 
 
 def _columns_of(content: bytes) -> list[tuple]:
-    handle, name = tempfile.mkstemp(suffix=".db")  # of the task, removed with it
     out: list[tuple] = []
+    base = sqlite3.connect(":memory:")
     try:
-        with os.fdopen(handle, "wb") as file:
-            file.write(content)
-        with sqlite3.connect(f"file:{name}?mode=ro", uri=True) as base:
-            tables = base.execute("select name, type, sql from sqlite_master where type in ('table', 'view') and name not like 'sqlite\\_%' escape '\\' order by name").fetchall()
-            for table, kind, sql in tables:
-                label = "virtual" if (sql or "").lower().startswith("create virtual") else kind
-                quoted = '"' + table.replace('"', '""') + '"'
-                for cid, column, data_type, notnull, default, pk in base.execute(f"pragma table_info({quoted})"):
-                    out.append((table, label, cid, column, data_type or None, not notnull, default, pk, None))
+        base.deserialize(bytes(content))  # nothing is written to a disk
+        tables = base.execute("select name, type, sql from sqlite_master where type in ('table', 'view') and name not like 'sqlite\\_%' escape '\\' order by name").fetchall()
+        for table, kind, sql in tables:
+            label = "virtual" if (sql or "").lower().startswith("create virtual") else kind
+            quoted = '"' + table.replace('"', '""') + '"'
+            for cid, column, data_type, notnull, default, pk in base.execute(f"pragma table_info({quoted})"):
+                out.append((table, label, cid, column, data_type or None, not notnull, default, pk, None))
     except sqlite3.DatabaseError as error:
-        out = [(None, None, None, None, None, None, None, None, str(error)[:200])]
+        out = [(None, None, None, None, None, None, None, None, str(error))]
     finally:
-        os.unlink(name)
+        base.close()
     return out
 
 

@@ -52,6 +52,45 @@ def test_python_extraction(spark):
     assert got == {("K.m", "n"): "local_method", ("K.m", "x"): "external", ("K.m", "foo"): "unresolved", ("K.m", "bar"): "unresolved_method", ("f.g", "f"): "local", ("f", "g"): "unresolved"}
 
 
+def test_repository_calls_and_ranking(spark):
+    sources = {
+        "pyproject.toml": '[project]\nname = "x"\n[project.scripts]\nrun = "demo.cli:main"\n',
+        "src/demo/__init__.py": "",
+        "src/demo/cli.py": "from demo.core import load as read, twice\nfrom . import util\nimport json\n\ndef main():\n    read(json.loads(x))\n    twice()\n    util.go()\n",
+        "src/demo/core.py": "def load(x):\n    return x\n\ndef twice(): pass\ndef twice(): pass\n",
+        "src/demo/util.py": "def go():\n    go()\n",
+        "bad.py": "def (:\n",
+    }
+    files = spark.createDataFrame([(i, 1, p, t) for i, (p, t) in enumerate(sources.items())], "entry_id long, r int, path string, content string")
+    facts = extract.PythonFacts(files.where("path like '%.py'").unionAll(files.where("path like '%cli.py'")))
+    got = {(r.caller, r.callee): (r.confidence, r.callee_qualified_name, r.target_path) for r in facts.resolved_calls(files, "r").collect()}
+    assert got == {
+        ("main", "read"): ("imported_local", "demo.core.load", "src/demo/core.py"), ("main", "loads"): ("external", "json.loads", None), ("main", "twice"): ("unresolved", None, None),
+        ("main", "go"): ("unresolved", None, None), ("go", "go"): ("local", None, None),
+    }
+    assert [(r.line_number, bool(r.message)) for r in facts.errors().collect()] == [(1, True)]
+    scripts = extract.console_scripts(files.where("path = 'pyproject.toml'")).join(files.select("entry_id", "r"), "entry_id")
+    ranked = {r.path: (r.score, r.reasons) for r in ranking.rank_repository(facts, files, "r", scripts).collect()}
+    assert ranked["src/demo/cli.py"] == (100 + 75 + 16 + 6, "entry point; imports 2; calls into 1")
+    assert ranked["src/demo/core.py"] == (70, "imported by 1; called from 1") and ranked["src/demo/util.py"] == (35, "imported by 1") and ranked["pyproject.toml"][0] == 70
+
+
+def test_callers_and_callees(spark):
+    edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "c"), ("a", "b")], "s string, t string")
+    assert rows(graph.callers_and_callees(edges, "s", "t", 1)) == {("a", 0, 2, None, "b"), ("b", 1, 1, "a", "c"), ("c", 2, 0, "a", None)}
+    assert rows(graph.duplicate_siblings(spark.createDataFrame([(1, "A/b"), (1, "a/b"), (1, "c")], "r int, path string"), "r")) == {(1, "a/b", 2)}
+
+
+def test_consecutive_path_sets(spark):
+    seen = spark.createDataFrame([(1, 1, "a"), (1, 1, "b"), (1, 3, "b"), (1, 3, "c"), (2, 2, "x")], "g int, s int, path string")
+    assert rows(changes.consecutive_path_sets(seen, "g", "s", "path")) == {(1, 3, "a", "removed"), (1, 3, "b", "kept"), (1, 3, "c", "added")}
+
+
+def test_deep_python_has_facts():
+    deep = "def f():\n    return " + "+".join(["g(1)"] * 1500) + "\n"
+    assert [r[0] for r in extract.facts_of(deep)].count("call") == 1500
+
+
 def test_shell_extraction(spark):
     source = "main() {\n  one && two | three; echo four\n  # five\n  \"six\"\n}\nfunction one {\n  one\n}\ntwo() { :; }\ncat <<EOT\nthree() {\nEOT\nopen() {\n  x\n"
     assert extract.bash_functions_of(source) == [("main", 1, 5), ("one", 6, 8), ("two", 9, 9), ("open", 13, 13)]

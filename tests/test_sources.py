@@ -135,7 +135,7 @@ def test_reports(spark, repository):
         assert part in full, part
     assert "hunter2" not in full
     ai = rendering.render(files, "repository", "ai").first().text
-    assert "1. README.md (90): documentation" in ai and "- type: Python package" in ai
+    assert "1. src/app.py (105): entry point; imported by 1" in ai and "2. README.md (90): documentation" in ai and "- type: Python package" in ai
     assert "A sentence." in rendering.render(files, "repository", "docs").first().text
     out = root.parent / "changed.txt"
     assert main(["changed", str(root), str(out)]) == 0
