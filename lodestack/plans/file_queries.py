@@ -68,8 +68,13 @@ def _map(values: dict[str, str], key: str) -> str:
     return "case " + key + " " + " ".join(f"when '{k}' then '{v}'" for k, v in values.items()) + " end"
 
 
-_BY_SUFFIX = _map(languages.BY_SUFFIX, sql_suffix("path"))
-_BY_NAME = f"case when {sql_suffix('path')} is null then {_map(languages.BY_NAME, 'lower(' + _NAME.format(p='path') + ')')} end"
+# The expected values, written out.
+_SUFFIXES = {"python": "py", "bash": "sh bash", "markdown": "md markdown", "text": "txt", "json": "json", "yaml": "yaml yml", "toml": "toml", "ini": "ini cfg", "typescript": "ts", "tsx": "tsx", "javascript": "js mjs cjs", "jsx": "jsx", "html": "html htm", "css": "css", "java": "java", "c": "c", "cpp": "cpp cc cxx hpp hh hxx", "csharp": "cs"}
+_NAMES = {"markdown": "readme changelog", "text": "license licence copying todo", "makefile": "makefile", "dockerfile": "dockerfile"}
+_LABELS = {"javascript": "JavaScript", "typescript": "TypeScript", "json": "JSON", "yaml": "YAML", "toml": "TOML", "ini": "INI", "html": "HTML", "css": "CSS", "tsx": "TSX", "jsx": "JSX", "cpp": "C++", "csharp": "C#"}
+_turned = lambda values: {word: name for name, words in values.items() for word in words.split()}
+_BY_SUFFIX = _map(_turned(_SUFFIXES), sql_suffix("path"))
+_BY_NAME = f"case when {sql_suffix('path')} is null then {_map(_turned(_NAMES), 'lower(' + _NAME.format(p='path') + ')')} end"
 _WORDS = r"list_transform(string_split_regex(trim(regexp_extract(content, '\A#!([^\r\n]*)', 1)), '\s+'), lambda w: regexp_extract(w, '([^/]*)$', 1))"
 _PROGRAM = f"case when ({_WORDS})[1] = 'env' then list_filter(({_WORDS})[2:], lambda w: not starts_with(w, '-'))[1] else ({_WORDS})[1] end"
 _BY_SHEBANG = f"case when {_PROGRAM} in ('python', 'python3') or starts_with({_PROGRAM}, 'python3.') then 'python' when {_PROGRAM} in ('bash', 'sh') then 'bash' when {_PROGRAM} = 'node' then 'javascript' end"
@@ -86,25 +91,76 @@ def f3(spark, sf_dir):
     return files(spark, sf_dir, languages.by_shebang(F.col("content")).alias("shebang_language"), where="content rlike '^#!'")
 
 
+# What the rules look for, written out for SQL: (language, points, condition on the sample ``t``).
+_RULES = [
+    ("python", 30, r"regexp_matches(t, '(?m)^[ \t]*(async[ \t]+def|def|class)[ \t]+[A-Za-z_]')"),
+    ("python", 12, r"regexp_matches(t, '(?m)^[ \t]*(from[ \t]+[A-Za-z0-9_.]+[ \t]+import[ \t]+[A-Za-z0-9_]|import[ \t]+[A-Za-z0-9_.])')"),
+    ("python", 25, """contains(t, '__name__ == "__main__"') or contains(t, '__name__ == ' || chr(39) || '__main__' || chr(39))"""),
+    ("bash", 25, r"contains(t, 'set -euo pipefail') or regexp_matches(t, '(?m)^[ \t]*set[ \t]+-eu\b')"),
+    ("bash", 25, r"regexp_matches(t, '(?m)^[ \t]*(function[ \t]+)?[A-Za-z_][A-Za-z0-9_-]*[ \t]*\([ \t]*\)[ \t]*\{')"),
+    ("markdown", 12, r"regexp_matches(t, '(?m)^#{1,6}[ \t]+\S')"),
+    ("markdown", 12, "contains(t, '```')"),
+    ("json", 35, r"""regexp_matches(t, '^\s*[{\[]') and regexp_matches(t, '"[^"]+"\s*:')"""),
+    ("yaml", 22, r"len(regexp_extract_all(t, '(?m)^[A-Za-z_][A-Za-z0-9_.-]*:[ \t]+\S')) >= 2"),
+    ("yaml", 8, r"len(regexp_extract_all(t, '(?m)^[A-Za-z_][A-Za-z0-9_.-]*:[ \t]+\S')) >= 1 and regexp_matches(t, '(?m)^[ \t]*-[ \t]+\S')"),
+    ("toml", 35, r"regexp_matches(t, '(?m)^[ \t]*\[(project|tool\.[^\]\n]+)\][ \t]*$')"),
+    ("toml", 10, r"""regexp_matches(t, '(?m)^[A-Za-z_][A-Za-z0-9_.-]*[ \t]*=[ \t]*"[^"\n]*"[ \t]*$')"""),
+    ("ini", 18, r"regexp_matches(t, '(?m)^[ \t]*\[[A-Za-z_][A-Za-z0-9_.-]*\][ \t]*$')"),
+    ("ini", 8, r"regexp_matches(t, '(?m)^[A-Za-z_][A-Za-z0-9_.-]*[ \t]*=[ \t]*[^#;\n]+$')"),
+    ("typescript", 30, r"regexp_matches(t, '(?m)^[ \t]*(export[ \t]+)?interface[ \t]+[A-Za-z_][^\n{]*\{')"),
+    ("typescript", 25, r"regexp_matches(t, '(?m)^[ \t]*(export[ \t]+)?type[ \t]+[A-Za-z_][^\n=]*=')"),
+    ("typescript", 20, r"regexp_matches(t, '(?m)^[ \t]*(export[ \t]+)?enum[ \t]+[A-Za-z_]')"),
+    ("typescript", 30, r"regexp_matches(t, '(?m)^[ \t]*(export[ \t]+)?(let|const|var)[ \t]+[A-Za-z_][A-Za-z0-9_]*[ \t]*:[ \t]*[^=\n]+=')"),
+    ("typescript", 15, r"regexp_matches(t, '[A-Za-z0-9_]\??[ \t]*:[ \t]*(any|unknown|boolean|number|string)\b')"),
+    ("javascript", 25, "contains(t, 'module.exports') or contains(t, 'require(')"),
+    ("javascript", 25, "contains(t, 'export default')"),
+    ("javascript", 15, r"""regexp_matches(t, '(?m)^[ \t]*import[ \t][^\n]*[ \t]from[ \t]*["'']')"""),
+    ("javascript", 15, r"regexp_matches(t, '\bfunction[ \t]+[A-Za-z_][A-Za-z0-9_]*[ \t]*\(')"),
+    ("javascript", 20, r"regexp_matches(t, '\bconst[ \t]+[A-Za-z_][A-Za-z0-9_]*[ \t]*=[ \t]*(async[ \t]*)?(\([^)\n]*\)|[A-Za-z_][A-Za-z0-9_]*)[ \t]*=>')"),
+    ("html", 50, "contains(lower(t), '<!doctype html')"),
+    ("html", 40, r"regexp_matches(lower(t), '^\s*<html') or (contains(lower(t), '<html') and contains(lower(t), '</html>'))"),
+    ("html", 25, "contains(lower(t), '<head') and contains(lower(t), '<body')"),
+    ("css", 30, r"regexp_matches(t, '(?m)^[ \t]*@(keyframes|import|media)\b')"),
+    ("css", 35, r"regexp_matches(t, '[^\n{}]\{\s*(background|border|color|display|font-size|margin|padding)[A-Za-z0-9_-]*\s*:')"),
+    ("java", 20, r"regexp_matches(t, '(?m)^[ \t]*package[ \t]+[A-Za-z0-9_.]+[ \t]*;')"),
+    ("java", 20, r"regexp_matches(t, '(?m)^[ \t]*import[ \t]+java[^\n;]*;')"),
+    ("java", 30, r"regexp_matches(t, '\bpublic[ \t]+(final[ \t]+)?class[ \t]+[A-Za-z_]')"),
+    ("java", 25, "contains(t, 'public static void main')"),
+    ("c", 30, r"regexp_matches(t, '#include[ \t]*<stdio\.h>')"),
+    ("c", 10, r"""regexp_matches(t, '(?m)^[ \t]*#include[ \t]*[<"]')"""),
+    ("c", 30, r"regexp_matches(t, '\bint[ \t]+main[ \t]*\(')"),
+    ("c", 30, r"regexp_matches(t, '\btypedef[ \t]+struct\b')"),
+    ("c", 12, r"regexp_matches(t, '\bstruct[ \t]+[A-Za-z_]')"),
+    ("cpp", 30, r"regexp_matches(t, '#include[ \t]*<(iostream|map|memory|string|vector)>')"),
+    ("cpp", 30, r"regexp_matches(t, '\bnamespace[ \t]+[A-Za-z_]')"),
+    ("cpp", 30, r"regexp_matches(t, '\btemplate[ \t]*<')"),
+    ("cpp", 30, "contains(t, 'std::')"),
+    ("cpp", 25, r"regexp_matches(t, '\busing[ \t]+namespace[ \t]+[A-Za-z_]')"),
+    ("cpp", 15, r"regexp_matches(t, '(?m)^[ \t]*class[ \t]+[A-Za-z_]')"),
+    ("csharp", 30, r"regexp_matches(t, '(?m)^[ \t]*using[ \t]+System[A-Za-z0-9_.]*[ \t]*;')"),
+    ("csharp", 20, r"regexp_matches(t, '(?m)^[ \t]*namespace[ \t]+[A-Za-z0-9_.]+\s*\{')"),
+    ("csharp", 15, r"regexp_matches(t, '\bpublic[ \t]+class[ \t]+[A-Za-z_]')"),
+    ("csharp", 25, r"regexp_matches(t, '\basync[ \t]+Task\b')"),
+    ("csharp", 20, r"regexp_matches(t, '(?m)^[ \t]*\[(Fact|Serializable|Test)\]')"),
+]
+_MARKED = r"regexp_matches(t, '(?m)^#{1,6}[ \t]+\S') and (contains(t, '```') or regexp_matches(t, '(?m)^[ \t]*[-*][ \t]+\S') or contains(t, chr(10) || chr(10)))"
+
+
 def _scores_sql() -> str:
     """The rules as SQL, with the guards in their order."""
-    quoted = lambda pattern: pattern.replace("'", "''")
-    raw = {n: " + ".join(f"(case when regexp_matches(t, '{quoted(p)}') then {k} else 0 end)" for m, k, p in languages.CONTENT_RULES if m == n) for n in languages.LANGUAGES}
-    k, item, key = languages.YAML_ITEM
-    raw["yaml"] += f" + (case when regexp_matches(t, '{quoted(item)}') and regexp_matches(t, '{quoted(key)}') then {k} else 0 end)"
-    marked = " and ".join(f"regexp_matches(t, '{quoted(p)}')" for p in languages.MARKDOWN_GUARD)
-    c = {n: f"r_{n}" for n in languages.LANGUAGES}
+    names = sorted({name for name, _, _ in _RULES})
+    raw = {n: " + ".join(f"(case when {p} then {k} else 0 end)" for m, k, p in _RULES if m == n) for n in names}
     less = lambda name, when, by: f"greatest({name} - case when {when} then {by} else 0 end, 0)"
-    g1 = {n: less(f"r_{n}", "marked", 80) if n in ("python", "javascript", "typescript", "html", "css") else f"r_{n} + case when marked then 60 else 0 end" if n == "markdown" else c[n] for n in c}
-    g2 = {n: less(f"a_{n}", "a_json >= 35", 25) if n in ("javascript", "typescript", "css") else f"a_{n}" for n in c}
-    g3 = {n: less(f"b_{n}", "b_yaml >= 20", {"typescript": 25, "css": 15}[n]) if n in ("typescript", "css") else less("b_ini", "b_toml >= 35", 15) if n == "ini" else f"b_{n}" for n in c}
+    g1 = {n: less(f"r_{n}", "marked", 80) if n in ("python", "javascript", "typescript", "html", "css") else f"r_{n} + case when marked then 60 else 0 end" if n == "markdown" else f"r_{n}" for n in names}
+    g2 = {n: less(f"a_{n}", "a_json >= 35", 25) if n in ("javascript", "typescript", "css") else f"a_{n}" for n in names}
+    g3 = {n: less(f"b_{n}", "b_yaml >= 20", {"typescript": 25, "css": 15}[n]) if n in ("typescript", "css") else less("b_ini", "b_toml >= 35", 15) if n == "ini" else f"b_{n}" for n in names}
     columns = lambda exprs, prefix: ", ".join(f"{e} as {prefix}_{n}" for n, e in exprs.items())
-    return f"""sample as (select entry_id, path, content, substr(regexp_replace(content, '\\r\\n?', chr(10), 'g'), 1, {languages.SAMPLE_CHARS}) as t from files where content is not null),
-    s0 as (select entry_id, ({marked}) as marked, {columns(raw, "r")} from sample), s1 as (select entry_id, {columns(g1, "a")} from s0),
+    return f"""sample as (select entry_id, path, content, substr(regexp_replace(content, '\\r\\n?', chr(10), 'g'), 1, 8192) as t from files where content is not null),
+    s0 as (select entry_id, ({_MARKED}) as marked, {columns(raw, "r")} from sample), s1 as (select entry_id, {columns(g1, "a")} from s0),
     s2 as (select entry_id, {columns(g2, "b")} from s1), s3 as (select entry_id, {columns(g3, "s")} from s2),
-    long as ({" union all ".join(f"select entry_id, '{n}' as name, s_{n} as score from s3 where s_{n} > 0" for n in c)}),
+    long as ({" union all ".join(f"select entry_id, '{n}' as name, s_{n} as score from s3 where s_{n} > 0" for n in names)}),
     places as (select *, row_number() over (partition by entry_id order by score desc, name) as place, lead(score, 1, 0) over (partition by entry_id order by score desc, name) as second from long),
-    scored as (select entry_id, name as by_content from places where place = 1 and score >= {languages.LEAST_SCORE} and score - second >= {languages.LEAST_LEAD})"""
+    scored as (select entry_id, name as by_content from places where place = 1 and score >= 20 and score - second >= 10)"""
 
 
 @query("ref_f4_content_language", f"with {SQL_FILES}, {_scores_sql()} select by_content, count(*) as n_files from sample left join scored using (entry_id) group by all")
@@ -120,7 +176,7 @@ def f5(spark, sf_dir):
     return texts(spark, sf_dir, languages.detected(F.col("path"), F.col("content")).alias("detected")).groupBy("detected").agg(F.count("*").alias("n_files"))
 
 
-_DISPLAY = f"case when lang is null then 'Unknown' else coalesce({_map(languages.DISPLAY, 'lang')}, upper(lang[1]) || lang[2:]) end"
+_DISPLAY = f"case when lang is null then 'Unknown' else coalesce({_map(_LABELS, 'lang')}, upper(lang[1]) || lang[2:]) end"
 
 
 @query("ref_a8_language_summary", f"with {SQL_FILES}, {SQL_LANG} select {_DISPLAY} as display_name, count(*) as n_files, sum(coalesce(line_count, 0))::bigint as total_lines, min(path) as first_path, max(path) as last_path from known group by all")
@@ -269,7 +325,7 @@ def a9(spark, sf_dir):
     return stats.documentation_counts(table(spark, sf_dir, "documents").where("path is not null").select("source", "path"), "source")
 
 
-@query("ref_p16_source_code", f"with {SQL_FILES}, {SQL_LANG} select coalesce(lang in ({', '.join(repr(x) for x in languages.SOURCE_CODE)}), false) as is_source, count(*) as n_files from known group by all")
+@query("ref_p16_source_code", f"with {SQL_FILES}, {SQL_LANG} select coalesce(lang in ('bash', 'c', 'cpp', 'csharp', 'css', 'html', 'java', 'javascript', 'jsx', 'python', 'tsx', 'typescript'), false) as is_source, count(*) as n_files from known group by all")
 def p16(spark, sf_dir):
     return known(spark, sf_dir).groupBy(languages.is_source_code(F.col("lang")).alias("is_source")).agg(F.count("*").alias("n_files"))
 

@@ -197,7 +197,7 @@ _STEM = "regexp_replace(lower(" + _NAME.format(p="path") + "), '([^.])\\.[^.]*$'
 
 @query(
     "ref_f20_entrypoint_scores",
-    f"with {SQL_FILES} select entry_id, case when {sql_suffix('path')} = 'py' then case {_STEM} " + " ".join(f"when '{k}' then {v}" for k, v in ranking.ENTRYPOINTS.items()) + " else 0 end else 0 end::int as score from files",
+    f"with {SQL_FILES} select entry_id, case when {sql_suffix('path')} = 'py' then case {_STEM} when '__main__' then 85 when 'main' then 80 when 'cli' then 75 when 'app' then 70 when 'server' then 70 when 'manage' then 70 when 'wsgi' then 65 when 'asgi' then 65 else 0 end else 0 end::int as score from files",
 )
 def f20(spark, sf_dir):
     return files(spark, sf_dir, "path").select("entry_id", F.coalesce(ranking.entrypoint_score(F.col("path")), F.lit(0)).alias("score"))
