@@ -16,7 +16,6 @@ from lodestack.operators import extract, graph, masking, project, ranking, repor
 
 MODES = ("full", "ai", "docs", "changed")
 TOP_FILES, SYMBOLS_PER_FILE, GRAPH_LINES = 20, 50, 200
-_SECRET = r"(?im)^(\s*(?:export\s+)?[\"']?[\w-]*(?:api_?key|token|secret|passw(?:or)?d|pwd)[\w-]*[\"']?\s*[:=]\s*[\"']?)([^\s\"',;(){}\[\]$<>]{8,})"
 
 
 def _section(rows: DataFrame, scope: str, position: int, title: str, line: Column, order: list[str]) -> DataFrame:
@@ -136,5 +135,5 @@ def render(files: DataFrame, scope: str, mode: str = "full", limit_bytes: int |
         parts = [overview(files, scope), changes_text(changes, scope), sources_text(there, scope, 3)]
     sections = reduce(DataFrame.unionByName, parts).withColumn("section", F.concat(F.lit("## "), "title", F.lit("\n\n"), "body"))
     whole = report.assembled(sections, scope, ["position"], "section")
-    masked = whole.select(scope, F.regexp_replace("text", _SECRET, "$1" + masking.REDACTED).alias("text"))
+    masked = whole.select(scope, masking.masked_text(F.col("text")).alias("text"))
     return masked.select(scope, text.limited(F.col("text"), limit_bytes, selection.BYTE_NOTICE).alias("text")) if limit_bytes else masked

@@ -49,7 +49,7 @@ def full_report(files: DataFrame, by: str, limit_bytes: int | None = None) -> Da
     rows = files.where("content is not null").withColumn("section", body)
     counts = files.groupBy(by).agg(F.lit("").alias("path"), F.concat(F.lit("# Repository\n\n- files: "), F.count("*").cast("string")).alias("section"))
     texts = report.assembled(rows.select(by, "path", "section").unionByName(counts), by, ["path"], "section")
-    masked = F.regexp_replace("text", r"(?im)^(\s*(?:export\s+)?[\"']?[\w-]*(?:api_?key|token|secret|passw(?:or)?d|pwd)[\w-]*[\"']?\s*[:=]\s*[\"']?)([^\s\"',;(){}\[\]$<>]{8,})", "$1" + masking.REDACTED.replace("*", r"*"))
+    masked = masking.masked_text(F.col("text"))
     out = texts.select(by, masked.alias("text"))
     return out.select(by, text.limited(F.col("text"), limit_bytes, "\n[cut at the size limit]\n").alias("text")) if limit_bytes else out
 

@@ -222,12 +222,18 @@ def r12(spark, sf_dir):
 
 # masks
 
-_ASSIGNMENT = masking.ASSIGNMENT.replace("'", "''")
-_KIND = "case " + " ".join(f"when regexp_matches(variable_name, '{p}') then '{n}'" for n, p in masking.TYPES) + " end"
+# The SQL has its own expression: a name with one of the words in it, a sign, a value.
+_WORDS = "(api_?key|token|secret|password|passwd|pwd)"
+_PAIR = "(?i)(([a-z_][a-z0-9_]*?)?" + _WORDS + "[a-z0-9_]*)(?:&quot;|[\"''])?\\]?\\s*[:=]\\s*(?:&quot;|[\"''])?([^\"''\\s,;&<>]+)"
+_HIDE = "case when length({v}) >= 16 then left({v}, 4) || '***REDACTED***' || right({v}, 4) when length({v}) >= 12 then left({v}, 3) || '***REDACTED***' || right({v}, 3) else '***REDACTED***' end"
+_REAL = "length(v) >= 8 and not list_contains(['changeme', 'change-me', 'example', 'example-token', 'your-api-key', 'your_api_key', 'insert-key-here', 'todo', 'none', 'null', 'dummy', 'test', 'password', 'secret', 'true', 'false'], lower(v)) and not regexp_matches(v, '^[0-9.]+$') and not contains(v, '***REDACTED***') and not regexp_matches(v, '[()\\[\\]{}]')"
 _FINDINGS = f"""l as (select entry_id, unnest(string_split_regex(content, '\\r?\\n')) as line, generate_subscripts(string_split_regex(content, '\\r?\\n'), 1)::int as line_number from files where content is not null),
-    f as (select entry_id, line_number, line, regexp_extract(line, '{_ASSIGNMENT}', 1) as variable_name, regexp_extract(line, '{_ASSIGNMENT}', 2) as value from l where regexp_matches(line, '(?i)key|token|secret|passw|pwd') and not regexp_matches(line, '^\\s*#')),
-    found as (select entry_id, line_number, {_KIND} as secret_type, variable_name, trim(replace(line, value, case when length(value) <= 8 then '{masking.REDACTED}' else left(value, 4) || '{masking.REDACTED}' || right(value, 4) end)) as masked_text from f
-      where {_KIND} is not null and length(value) >= {masking.LEAST_LENGTH} and lower(value) not in ({', '.join(repr(p) for p in masking.PLACEHOLDERS)}) and not regexp_matches(value, '^[0-9.]+$') and not contains(value, '{masking.REDACTED}') and not regexp_matches(value, '[()\\[\\]{{}}]'))"""
+    p as (select *, regexp_extract_all(line, '{_PAIR}', 1) as names, regexp_extract_all(line, '{_PAIR}', 4) as vals from l where regexp_matches(line, '(?i){_WORDS}') and not regexp_matches(line, '^\\s*#')),
+    q as (select *, list_filter(range(1, len(vals) + 1), lambda i: list_aggregate(list_transform([vals[i]], lambda v: {_REAL}), 'bool_or')) as real from p),
+    r as (select entry_id, line_number, line, names[real[1]] as variable_name, vals[real[1]] as matched_text, list_transform(real, lambda i: vals[i]) as v from q where len(real) > 0),
+    found as (select entry_id, line_number, variable_name, matched_text, trim(list_reduce(list_prepend(line, v), lambda acc, x: replace(acc, x, {_HIDE.format(v='x')}))) as masked_text,
+      case when regexp_matches(variable_name, '(?i)api_?key') then 'API_KEY' when contains(lower(variable_name), 'token') then 'TOKEN' when contains(lower(variable_name), 'secret') then 'SECRET' else 'PASSWORD' end as secret_type,
+      case when line[instr(line, matched_text) - 1] in ('"', chr(39)) then 'high' else 'medium' end as confidence from r)"""
 
 
 @query("ref_m2_masked_lines", f"with {SQL_FILES}, {_FINDINGS} select * from found")

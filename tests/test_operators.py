@@ -155,9 +155,16 @@ def test_sections_and_parts(spark):
 
 
 def test_masking(spark):
-    source = 'API_KEY = "abcdefghijkl"\nexport DB_PASSWORD=hunter2hunter\nos.environ["AUTH_TOKEN"] = "zzzzyyyyxxxx"\npassword = "changeme"\n# token = "abcdefghijkl"\nsecret = 12345678\ntoken = "***REDACTED***"\nx = 1'
-    got = [(r.line_number, r.secret_type, r.masked_text) for r in masking.line_findings(spark.createDataFrame([(1, source)], "entry_id int, content string")).orderBy("line_number").collect()]
-    assert got == [(1, "API_KEY", 'API_KEY = "abcd***REDACTED***ijkl"'), (2, "PASSWORD", "export DB_PASSWORD=hunt***REDACTED***nter"), (3, "TOKEN", 'os.environ["AUTH_TOKEN"] = "zzzz***REDACTED***xxxx"')]
+    source = 'API_KEY = "abcdefghijkl"\nexport DB_PASSWORD=hunter2hunter\nos.environ["AUTH_TOKEN"] = "zzzzyyyyxxxxwwww"\npassword = "changeme"\n# token = "abcdefghijkl"\nsecret = 12345678\ntoken = "***REDACTED***"\nx = 1\nrun(1, token="abcdefghi", pwd=\'qqqqwwwweeeerrrr\')'
+    got = [(r.line_number, r.secret_type, r.masked_text, r.confidence) for r in masking.line_findings(spark.createDataFrame([(1, source)], "entry_id int, content string")).orderBy("line_number").collect()]
+    assert got == [
+        (1, "API_KEY", 'API_KEY = "abc***REDACTED***jkl"', "high"), (2, "PASSWORD", "export DB_PASSWORD=hun***REDACTED***ter", "medium"),
+        (3, "TOKEN", 'os.environ["AUTH_TOKEN"] = "zzzz***REDACTED***wwww"', "high"), (9, "TOKEN", 'run(1, token="***REDACTED***", pwd=\'qqqq***REDACTED***rrrr\')', "high"),
+    ]
+    key = "a\n-----BEGIN RSA PRIVATE KEY-----\nMIIE\nabcd\n-----END RSA PRIVATE KEY-----\nz\n"
+    texts = [r.t for r in spark.createDataFrame([(source,), (key,), ("plain\n",)], "t string").select(masking.masked_text(F.col("t")).alias("t")).collect()]
+    assert "hunter2" not in texts[0] and texts[0].count("\n") == source.count("\n") and "# token" in texts[0]
+    assert "MIIE" not in texts[1] and texts[1].startswith("a\n-----BEGIN") and texts[1].endswith("-----\nz\n") and texts[2] == "plain\n"
 
 
 def test_selection_and_stats(spark):
