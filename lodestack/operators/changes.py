@@ -49,6 +49,15 @@ def status_counts(changes: DataFrame) -> DataFrame:
     return changes.agg(F.count("*").alias("total"), *counts)
 
 
+def selections(scans: DataFrame, has_file: Column) -> DataFrame:
+    """Changed files with the sections of a report that show them: ``diffable, text, deleted, skipped``.
+
+    Scans need ``is_deleted`` and ``is_binary``; ``has_file`` tells whether the file could be read.
+    """
+    gone, binary = F.col("is_deleted"), F.coalesce("is_binary", F.lit(False))
+    return scans.withColumns({"diffable": ~gone & ~binary, "text": ~gone & ~binary & has_file, "deleted": gone, "skipped": binary | (~gone & ~has_file)})
+
+
 def path_sets(old: DataFrame, new: DataFrame) -> DataFrame:
     """``path, side``: 'added', 'removed' or 'kept', from one aggregation over both sides."""
     sides = old.select("path", F.lit(1).alias("o"), F.lit(0).alias("n")).unionByName(new.select("path", F.lit(0).alias("o"), F.lit(1).alias("n")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +59,39 @@ def structure_score(path: Column, content: Column) -> Column:
     return F.when(name.rlike(r"^requirements.*\.txt$"), 50).when(name == "__init__.py", F.when(public, 20).otherwise(5)).otherwise(out)
 
 
+# Points and reasons of the simple score, by what a name is or holds.
+SIMPLE = (
+    ("pyproject.toml", 1000 + 100, "Python project configuration"), ("setup.py", 1000 + 95, "Python packaging entry point"), ("requirements.txt", 1000 + 90, "Python dependency list"), ("requirements-dev.txt", 1000 + 90, "Python dependency list"),
+    ("readme.md", 950 + 85, "Primary project documentation"), ("readme.txt", 950 + 85, "Primary project documentation"), ("cli.py", 800 + 80, "CLI entry point"), ("__main__.py", 780 + 70, "Python module execution entry point"),
+)
+SIMPLE_PARTS = (("architecture", 940, 80, "Architecture documentation"), ("spec", 930, 75, "Project specification"), ("tasks", 850, 60, "Planning or roadmap documentation"), ("roadmap", 850, 60, "Planning or roadmap documentation"), ("milestone", 90, 60, "Planning or roadmap documentation"))
+
+
+def simple_score(path: Column, definitions: Column, mentions: Column, lines: Column) -> Column:
+    """``score, reasons`` from names, definitions, imports by other files and length alone, without graphs; null without a reason.
+
+    The first rule for the order counts, and each kind of reason once. Rules for the modules of one certain project are left out.
+    """
+    low, name = F.lower(path), F.lower(paths.name(path))
+    test = low.startswith("tests/") & name.startswith("test_")
+    order, found = F.when(test, 100).otherwise(0), []
+    for part, first, points, reason in reversed(SIMPLE_PARTS):
+        order = F.when(name.contains(part), first).otherwise(order)
+    for whole, points, _ in SIMPLE:
+        order = F.when(name == whole, points).otherwise(order)
+    for whole, _, reason in SIMPLE:
+        found.append((name == whole, 0, reason))
+    for part, _, points, reason in SIMPLE_PARTS[:2]:
+        found.append((name.contains(part), points, reason))
+    planning = reduce(Column.__or__, [name.contains(part) for part, *_ in SIMPLE_PARTS[2:]])
+    found.append((planning, 60, SIMPLE_PARTS[2][3]))
+    found += [(test, 35, "Automated test coverage"), (definitions > 0, F.least(definitions, F.lit(20)), F.concat(F.lit("Contains "), definitions.cast("string"), F.lit(" Python symbol-like definitions")))]
+    found += [(mentions > 0, F.least(mentions * 4, F.lit(40)), F.concat(F.lit("Imported by "), mentions.cast("string"), F.lit(" scanned file(s)"))), ((lines >= 300) & low.endswith(".py"), 10, "Large Python implementation file")]
+    score = reduce(Column.__add__, [F.when(F.coalesce(when, F.lit(False)), points).otherwise(0) for when, points, _ in found], order)
+    why = F.array_join(F.array_compact(F.array(*[F.when(when, reason) for when, _, reason in found])), "; ")
+    return F.when(why != "", F.struct(score.cast("long").alias("score"), why.alias("reasons")))
+
+
 def reasons(entry: Column, n_in: Column, n_out: Column, calls_in: Column, calls_out: Column, docs: Column, structure: Column) -> Column:
     """Why a file ranks, in the order entry point, imports, calls, documentation, structure."""
     parts = [

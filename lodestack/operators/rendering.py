@@ -26,7 +26,7 @@ def _section(rows: DataFrame, scope: str, position: int, title: str, line: Colum
 def overview(files: DataFrame, scope: str) -> DataFrame:
     counted = stats.counts(files, scope)
     line = F.concat_ws("\n", *[F.concat(F.lit(f"- {name}: "), F.col(name).cast("string")) for name in ("tracked", "exported", "binary", "faulty")])
-    return counted.select(scope, F.lit(1).alias("position"), F.lit("Repository").alias("title"), line.alias("body"))
+    return counted.select(scope, F.lit(0).alias("position"), F.lit("Repository").alias("title"), line.alias("body"))
 
 
 def language_table(files: DataFrame, scope: str) -> DataFrame:
@@ -114,11 +114,28 @@ def changes_text(changes: DataFrame, scope: str) -> DataFrame:
     return _section(changes, scope, 2, "Changes", F.concat(F.lit("- "), "status", F.lit(" "), "path"), ["path"])
 
 
-def render(files: DataFrame, scope: str, mode: str = "full", limit_bytes: int | None = None, changes: DataFrame | None = None) -> DataFrame:
+def settings_text(files: DataFrame, scope: str, settings: dict[str, object]) -> DataFrame:
+    """The settings that a report was made with, one line each; an empty list and no limit are 'none'."""
+    shown = lambda v: "none" if v is None or v == () or v == [] else ", ".join(map(str, v)) if isinstance(v, (list, tuple)) else "yes" if v is True else "no" if v is False else str(v)
+    body = "\n".join(f"- {name}: {shown(value)}" for name, value in settings.items())
+    return files.select(scope).distinct().select(scope, F.lit(1).alias("position"), F.lit("Configuration").alias("title"), F.lit(body).alias("body"))
+
+
+def shell_calls_text(files: DataFrame, scope: str) -> DataFrame:
+    """Calls between the functions of shell scripts, within one script and across the scripts of a repository."""
+    keyed = files.where("language = 'bash' and content is not null").withColumn("key", F.concat_ws("\x1f", F.col(scope).cast("string"), "path"))
+    found = extract.bash_call_edges(keyed, "key", F.col(scope)).join(keyed.select("key", scope, "path"), "key")
+    kept = selection.capped(found, [scope], ["path", "call_line", "callee"], GRAPH_LINES)
+    line = F.concat(F.lit("- "), "path", F.lit(":"), F.col("call_line").cast("string"), F.lit(" "), "caller", F.lit(" -> "), "callee")
+    return _section(kept, scope, 4, "Shell calls", line, ["path", "call_line", "callee"])
+
+
+def render(files: DataFrame, scope: str, mode: str = "full", limit_bytes: int | None = None, changes: DataFrame | None = None, settings: dict[str, object] | None = None) -> DataFrame:
     """``scope, text`` of the report of every repository in ``files``.
 
     Files need ``path, language, content, line_count, text_status, status`` besides the scope. The changed report needs
-    ``changes`` (scope, path, status); it shows the texts of changed files that are still there.
+    ``changes`` (scope, path, status); it shows the texts of changed files that are still there, and the calls of its scripts.
+    ``settings`` are shown after the overview.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode}; one of {', '.join(MODES)}")
@@ -132,8 +149,10 @@ def render(files: DataFrame, scope: str, mode: str = "full", limit_bytes: int |
         if changes is None:
             raise ValueError("the changed report needs changes")
         there = files.join(changes.where("status <> 'deleted'").select(scope, "path").distinct(), [scope, "path"], "left_semi")
-        parts = [overview(files, scope), changes_text(changes, scope), sources_text(there, scope, 3)]
+        parts = [overview(files, scope), changes_text(changes, scope), sources_text(there, scope, 3), shell_calls_text(there, scope)]
+    if settings is not None:
+        parts.append(settings_text(files, scope, settings))
     sections = reduce(DataFrame.unionByName, parts).withColumn("section", F.concat(F.lit("## "), "title", F.lit("\n\n"), "body"))
-    whole = report.assembled(sections, scope, ["position"], "section")
+    whole = report.assembled(sections, scope, ["position", "title"], "section")
     masked = whole.select(scope, masking.masked_text(F.col("text")).alias("text"))
     return masked.select(scope, text.limited(F.col("text"), limit_bytes, selection.BYTE_NOTICE).alias("text")) if limit_bytes else masked

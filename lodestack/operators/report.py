@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from lodestack.functions import paths, text
 
@@ -32,22 +37,61 @@ def plain_parts(rows: DataFrame, key: str, content: str, most: Column) -> DataFr
     return rows.where(F.col(content).isNotNull()).select(key, F.posexplode(chunks).alias("pos", "chunk"), F.size(chunks).alias("n_parts")).select(key, (F.col("pos") + 1).alias("part"), "n_parts", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("digest"))
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def _greedy(sizes: pd.Series, most: pd.Series) -> pd.Series:
+    out = []
+    for own, limit in zip(sizes, most, strict=True):
+        used, part, parts = 0, 0, []
+        for n in own:
+            if not used or used + n > limit:
+                used, part = 0, part + 1
+            used += n
+            parts.append(part)
+        out.append(parts)
+    return pd.Series(out)
+
+
 def packed_sections(sections: DataFrame, key: str, size: str, order: str, most: int) -> DataFrame:
-    """Sections put into parts greedily: a part takes the next section while it fits, else a new one begins.
+    """``key, order, piece, size, part``: sections put into parts greedily: a part takes the next section while it fits, else a new one begins.
 
-    The fold of a document holds sizes only, one number a section.
+    A section above ``most`` is cut into pieces of ``most`` and a rest, so that no part is too large. The fold of a document
+    holds sizes only, one number a piece, and takes time in proportion to them. Sections without a size are of size 0.
     """
-    listed = sections.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).alias("n")))).alias("s"))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).alias("part"), F.array().cast("array<struct<o:bigint,part:int>>").alias("out"))
+    n = F.coalesce(F.col(size), F.lit(0)).cast("long")
+    pieces = F.greatest(F.ceil(n / most), F.lit(1)).cast("int")
+    cut = sections.select(key, F.col(order).alias("o"), n.alias("n"), F.explode(F.sequence(F.lit(1), pieces)).alias("piece"))
+    sized = cut.select(key, F.struct("o", "piece", F.greatest(F.least(F.lit(most).cast("long"), F.col("n") - (F.col("piece") - 1) * most), F.lit(0).cast("long")).alias("n")).alias("s"))
+    listed = sized.groupBy(key).agg(F.array_sort(F.collect_list("s")).alias("s"))
+    packed = listed.select(key, "s", _greedy(F.transform("s", lambda x: x["n"]), F.lit(most).cast("long")).alias("parts"))
+    return packed.select(key, F.inline(F.arrays_zip("s", "parts"))).select(key, F.col("s.o").alias(order), F.col("s.piece").alias("piece"), F.col("s.n").alias(size), F.col("parts").alias("part"))
+
+
+def merged_reports(reports: list[DataFrame], once: tuple[str, ...]) -> DataFrame:
+    """Rows ``kind, value`` of several reports in one; of the kinds ``once`` equal values count once."""
+    united = reduce(DataFrame.unionByName, [r.select("kind", "value") for r in reports])
+    return united.where(~F.col("kind").isin(*once)).unionByName(united.where(F.col("kind").isin(*once)).distinct())
+
+
+def _plain(value, top: bool = True):
+    if isinstance(value, dict):
+        return {str(k): _plain(v, False) for k, v in sorted(value.items(), key=lambda x: str(x[0]))}
+    if isinstance(value, list):
+        own = [_plain(v, False) for v in value]
+        return sorted(own, key=lambda v: json.dumps(v, sort_keys=True, ensure_ascii=False) if isinstance(v, (dict, list)) else str(v))
+    return value
+
+
+@F.pandas_udf(StringType())
+def normal_payload(payload: pd.Series) -> pd.Series:
+    """A report's payload as JSON with sorted keys and sorted lists at every depth; null for null and for what is no JSON."""
 
-    def step(acc: Column, x: Column) -> Column:
-        fresh = (acc["used"] == 0) | (acc["used"] + x["n"] > most)
-        part = F.when(fresh, acc["part"] + 1).otherwise(acc["part"])
-        used = F.when(fresh, x["n"]).otherwise(acc["used"] + x["n"])
-        return F.struct(used.cast("bigint").alias("used"), part.alias("part"), F.concat(acc["out"], F.array(F.struct(x["o"].cast("bigint").alias("o"), part.alias("part")))).alias("out"))
+    def one(text):
+        try:
+            return None if text is None else json.dumps(_plain(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
+        except ValueError:
+            return None
 
-    folded = listed.select(key, F.inline(F.aggregate("s", start, step)["out"]))
-    return folded.select(key, F.col("o").alias(order), "part")
+    return payload.map(one)
 
 
 def part_name(path: Column, part: Column, n_parts: Column) -> Column:

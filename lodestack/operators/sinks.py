@@ -86,3 +86,17 @@ def write_ignores(path: str, required: list[str]) -> bool:
         return False
     write_text(path, existing + ("" if not existing or existing.endswith("\n") else "\n") + "\n".join(more) + "\n")
     return True
+
+
+def write_model(text: str, target) -> None:
+    """A rendered report to a path or to an open stream."""
+    if hasattr(target, "write"):
+        target.write(text)
+    else:
+        write_text(str(target), text)
+
+
+def summary_lines(title: str, counts: DataFrame) -> list[str]:
+    """A one-row table of counts as lines for the console."""
+    row = counts.first()
+    return [f"{title}:", *(f"  {name.replace('_', ' ')}: {value:,}" if isinstance(value, int) else f"  {name.replace('_', ' ')}: {value}" for name, value in (row.asDict() if row else {}).items())]

@@ -268,6 +268,20 @@ def j10_again(spark, sf_dir):
     return ranking.rank_repository(extract.PythonFacts(own), own, "l_suppkey")
 
 
+@query(
+    "ref_j9_script_paths",
+    f"with {_CHAIN} select l_suppkey, 'src/m' || k || '.py' as path from chain where b is not null",
+)
+def j9(spark, sf_dir):
+    """Every supplier's project file starts the module of each part but the first, and one that isn't there."""
+    own = _chain(spark, sf_dir, "''", "concat('src/m', k, '.py')")
+    line = F.concat(F.lit("run"), F.col("k").cast("string"), F.lit(' = "m'), F.coalesce(F.col("n").cast("string"), F.lit("issing")), F.lit(':main"'))
+    rows = _parts(spark, sf_dir).withColumn("n", F.lead("k").over(Window.partitionBy("l_suppkey").orderBy("k"))).select("l_suppkey", "k", line.alias("line"))
+    listed = rows.groupBy("l_suppkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("lines"))
+    scripts = extract.console_scripts(listed.select("l_suppkey", F.concat(F.lit("[project.scripts]\n"), "lines", F.lit('\n[tool.other]\nx = "m1:main"\n')).alias("content")), "l_suppkey")
+    return extract.script_paths(scripts, own, "l_suppkey")
+
+
 @query(
     "ref_j16_shell_calls_read_again",
     f"with {_CHAIN} select l_suppkey, 'f' || k as caller, 'f' || n as callee, l_suppkey || '/' || n as callee_file from chain where n is not null",

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.common import table
 from lodestack.functions.text import tokens_up
-from lodestack.operators import changes, masking, model, report, selection
+from lodestack.operators import changes, lifecycle, masking, model, report, selection
 from lodestack.plans.file_queries import SQL_FILES, THERE, files, texts
 from lodestack.streaming import events as event_windows
 
@@ -152,6 +153,100 @@ def s18(spark, sf_dir):
     return model.adapted(rows, {"path": ("relative_path", "file_path", "name"), "language": ("lang",), "size_bytes": ("size", "n_chars")})
 
 
+_COUNTED = f"""{SQL_FILES}, sums as (select export_id, count(*) as total_files, count(*) filter (status = 'included') as exported_files, count(*) filter (status = 'skipped' or text_status = 'binary') as skipped_files from files group by all),
+    tree as (select export_id, count(*) as n_tree from (select export_id, path, 'file' as t from files union select export_id, array_to_string(string_split(path, '/')[:i], '/'), 'directory' from (select export_id, path, unnest(range(1, len(string_split(path, '/')))) as i from files)) group by all),
+    broken as (select export_id, (case when status is null or status not in ('included', 'truncated', 'skipped', 'error') then 1 else 0 end + case when text_status is null or text_status not in ('text', 'binary') then 1 else 0 end + case when path is null or trim(path) = '' then 1 else 0 end
+      + case when language is null or trim(language) = '' then 1 else 0 end + case when size_bytes < 0 then 1 else 0 end + case when line_count < 0 then 1 else 0 end + case when estimated_tokens < 0 then 1 else 0 end + case when status = 'included' and text_status = 'text' and content is null then 1 else 0 end) as n from files
+      union all select export_id, 1 from files group by export_id, path having count(*) > 1),
+    issues as (select export_id, sum(n)::bigint as n_issues from broken group by all)"""
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files(spark, sf_dir, "export_id", "path", "language", "status", "text_status", THERE, "size_bytes", "line_count", "estimated_tokens", tokens_up(F.col("content")).alias("text_tokens"))
+
+
+@query("ref_v2_finalized", f"with {_COUNTED} select s.*, n_tree, coalesce(n_issues, 0)::bigint as n_issues from sums s join tree using (export_id) left join issues using (export_id)")
+def v2(spark, sf_dir):
+    """Every export finalized: its summary, the size of its tree, and how many rules its entries break."""
+    entries = _entries(spark, sf_dir)
+    whole = lifecycle.finalized(entries)
+    n_tree = whole.tree.groupBy("export_id").agg(F.count("*").alias("n_tree"))
+    n_issues = whole.issues.join(entries.select("entry_id", "export_id"), "entry_id").groupBy("export_id").agg(F.count("*").alias("n_issues"))
+    return whole.summary.drop("n_types").join(n_tree, "export_id").join(n_issues, "export_id", "left").withColumn("n_issues", F.coalesce("n_issues", F.lit(0)))
+
+
+@query(
+    "ref_v5_readiness",
+    f"""with {_COUNTED}, r as (select export_id, count(*) as tracked, sum((length(content) + 3) // 4) as tokens from files group by all),
+    c as (select e.export_id, coalesce(n_issues, 0)::bigint as n_contract, (case when coalesce(total_tracked_files, -1) = coalesce(tracked, 0) then 0 else 1 end + case when coalesce(estimated_tokens = coalesce(tokens, 0), false) then 0 else 1 end)::bigint as n_audit from exports e left join r using (export_id) left join issues using (export_id))
+    select *, n_contract = 0 and n_audit = 0 as ready from c""",
+)
+def v5(spark, sf_dir):
+    return lifecycle.readiness(_entries(spark, sf_dir), table(spark, sf_dir, "exports"), F.col("text_tokens"))
+
+
+@query("ref_v7_self_test", "select * from (values ('no issues', true), ('summary', true), ('tree', true), ('ready', true), ('not ready with other totals', true), ('fingerprint', true), ('round trip', true)) t(\"check\", passed)")
+def v7(spark, sf_dir):
+    return lifecycle.self_test(spark)
+
+
+@query(
+    "ref_p14_change_selections",
+    f"""with {_PORCELAIN}, scans as (select 'src/' || o_orderkey || '.py' as path, o_custkey as size_bytes, o_orderpriority = '1-URGENT' as is_binary from orders), s as (select l.*, size_bytes, coalesce(is_binary, false) as is_binary from last l left join scans using (path))
+    select status, count(*) filter (not is_deleted and not is_binary) as diffable, count(*) filter (not is_deleted and not is_binary and size_bytes is not null) as text, count(*) filter (is_deleted) as deleted, count(*) filter (is_binary or (not is_deleted and size_bytes is null)) as skipped from s group by all""",
+)
+def p14(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    scans = orders.select(F.concat(F.lit("src/"), F.col("o_orderkey").cast("string"), F.lit(".py")).alias("path"), F.col("o_custkey").alias("size_bytes"), (F.col("o_orderpriority") == "1-URGENT").alias("is_binary"))
+    joined = _porcelain(spark, sf_dir).join(scans, "path", "left")
+    shown = changes.selections(joined, F.col("size_bytes").isNotNull())
+    return shown.groupBy("status").agg(*[F.count_if(c).alias(c) for c in ("diffable", "text", "deleted", "skipped")])
+
+
+_GROUP = "case when status = 'truncated' then 'truncated' when status in ('skipped', 'error') or text_status = 'binary' then 'omitted' else 'included' end"
+
+
+@query(
+    "ref_p23_section_files",
+    f"""with {SQL_FILES}, g as (select export_id, path, {_GROUP} as grp from files) select 'Source-Export' as section, export_id, count(*) as n_files from g where grp = 'included' group by all union all select 'truncated_files', export_id, count(*) from g where grp = 'truncated' group by all
+    union all select 'omitted  files', export_id, count(*) from g where grp = 'omitted' group by all union all select 'file summary', export_id, count(distinct path) from g group by all""",
+)
+def p23(spark, sf_dir):
+    """How many files each section of each export shows; the last name is of no section."""
+    entries = files(spark, sf_dir, "export_id", "path", "status", "text_status")
+    shown = [lifecycle.files_for_section(entries, name).select(F.lit(name).alias("section"), "export_id") for name in ("Source-Export", "truncated_files", "omitted  files", "file summary", "other")]
+    return reduce(DataFrame.unionByName, shown).groupBy("section", "export_id").agg(F.count("*").alias("n_files"))
+
+
+@query(
+    "ref_p24_modes",
+    """with m as (select case o_orderstatus when 'F' then ' Full' when 'O' then 'changed' else o_orderpriority end as mode from orders), n as (select mode, lower(trim(mode)) as x, count(*) as n from m group by all)
+    select mode, x as name, case x when 'full' then 'Full Repository Export' when 'changed' then 'Changed Files Export' end as title, case when x in ('full', 'changed') then true end as holds_texts, case x when 'changed' then true when 'full' then false end as for_review, n from n""".replace("select mode, x as name", "select mode, case when x in ('full', 'changed') then x end as name"),
+)
+def p24(spark, sf_dir):
+    mode = F.when(F.col("o_orderstatus") == "F", " Full").when(F.col("o_orderstatus") == "O", "changed").otherwise(F.col("o_orderpriority"))
+    counted = table(spark, sf_dir, "orders").groupBy(mode.alias("mode")).agg(F.count("*").alias("n")).withColumn("f", lifecycle.mode_flags(F.col("mode")))
+    return counted.select("mode", F.col("f.mode").alias("name"), "f.title", "f.holds_texts", "f.for_review", "n")
+
+
+@query(
+    "ref_a22_merged_schema_reports",
+    "select kind, value, n from (select 'table' as kind, p_type as value, count(*) as n from part group by all union all select 'table', 's' || s_nationkey, count(*) from supplier group by all union all select 'warning', w, 1 from (select p_brand as w from part union select 'nation ' || s_nationkey from supplier))",
+)
+def a22(spark, sf_dir):
+    """Tables of several reports one after the other, warnings once."""
+    part, supplier = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
+    nation = F.col("s_nationkey").cast("string")
+    reports = [part.select(F.lit("table").alias("kind"), F.col("p_type").alias("value")), part.select(F.lit("warning").alias("kind"), F.col("p_brand").alias("value")), supplier.select(F.lit("table").alias("kind"), F.concat(F.lit("s"), nation).alias("value")), supplier.select(F.lit("warning").alias("kind"), F.concat(F.lit("nation "), nation).alias("value"))]
+    return report.merged_reports(reports, ("warning",)).groupBy("kind", "value").agg(F.count("*").alias("n"))
+
+
+@query("ref_f35_normal_payloads", """select p_partkey, '{"a":{"x":' || p_size || ',"y":null},"b":["' || least(p_brand, p_type) || '","' || greatest(p_brand, p_type) || '"]}' as payload from part""")
+def f35(spark, sf_dir):
+    payload = F.concat(F.lit('{"b": ["'), "p_type", F.lit('", "'), "p_brand", F.lit('"], "a": {"y": null, "x": '), F.col("p_size").cast("string"), F.lit("}}"))
+    return table(spark, sf_dir, "part").select("p_partkey", report.normal_payload(payload).alias("payload"))
+
+
 # reports
 
 
@@ -186,9 +281,16 @@ def r5(spark, sf_dir):
     return pieces.dropDuplicates(["entry_id", "part"])  # of digests
 
 
-@query("ref_r5_packed_sections")
+@query(
+    "ref_r5_packed_sections",
+    f"""with recursive {_SECTIONS}, z as (select doc_id, section::bigint as section, count(*) as n from n group by all), c as (select doc_id, section, unnest(range(1, greatest(ceil(n / 60.0), 1)::bigint + 1)) as piece, n from z),
+    e as (select doc_id, section, piece, least(60, n - (piece - 1) * 60) as n_lines, row_number() over (partition by doc_id order by section, piece) as place from c),
+    fold as (select doc_id, place, section, piece, n_lines, n_lines as used, 1 as part from e where place = 1
+      union all select e.doc_id, e.place, e.section, e.piece, e.n_lines, case when f.used = 0 or f.used + e.n_lines > 60 then e.n_lines else f.used + e.n_lines end, case when f.used = 0 or f.used + e.n_lines > 60 then f.part + 1 else f.part end from fold f join e on e.doc_id = f.doc_id and e.place = f.place + 1)
+    select doc_id, section, piece::int as piece, n_lines::bigint as n_lines, part::int as part from fold""",
+)
 def r5_packed(spark, sf_dir):
-    """Sections of the documents in parts of at most 60 lines, a greedy fold over every document's sections."""
+    """Sections of the documents in parts of at most 60 lines, a greedy fold over every document's sections; longer ones are cut."""
     sections = report.heading_sections(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return report.packed_sections(sections, "doc_id", "n_lines", "section", 60)
 

@@ -192,6 +192,21 @@ def f12(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", extract.normalized_name(name).alias("normalized"))
 
 
+@query(
+    "ref_f24_simple_scores",
+    f"""with {SQL_FILES}, b as (select entry_id, lower(path) as low, {_NAME.format(p='lower(path)')} as name, len(list_filter(string_split(content, chr(10)), lambda x: regexp_matches(x, '^\\s*(?:def|class|async def)\\s'))) as d, coalesce(line_count, 0) as l from files where content is not null),
+    c as (select entry_id, (case when name in ('pyproject.toml', 'setup.py', 'requirements.txt', 'requirements-dev.txt') then 1000 when name in ('readme.md', 'readme.txt') then 950 when contains(name, 'architecture') then 940 when contains(name, 'spec') then 930 when contains(name, 'tasks') or contains(name, 'roadmap') then 850
+      when name = 'cli.py' then 800 when name = '__main__.py' then 780 when starts_with(low, 'tests/') and starts_with(name, 'test_') then 100 when contains(name, 'milestone') then 90 else 0 end
+      + case name when 'pyproject.toml' then 100 when 'setup.py' then 95 when 'requirements.txt' then 90 when 'requirements-dev.txt' then 90 when 'readme.md' then 85 when 'readme.txt' then 85 when 'cli.py' then 80 when '__main__.py' then 70 else 0 end
+      + case when contains(name, 'architecture') then 80 else 0 end + case when contains(name, 'spec') then 75 else 0 end + case when contains(name, 'tasks') or contains(name, 'roadmap') or contains(name, 'milestone') then 60 else 0 end
+      + case when starts_with(low, 'tests/') and starts_with(name, 'test_') then 35 else 0 end + least(d, 20) + case when l >= 300 and low like '%.py' then 10 else 0 end)::bigint as score from b) select entry_id, score from c where score > 0""",
+)
+def f24(spark, sf_dir):
+    """The simple score of every file, without imports by others."""
+    struct = ranking.simple_score(F.col("path"), extract.definition_lines(F.col("content")), F.lit(0), F.coalesce("line_count", F.lit(0)))
+    return texts(spark, sf_dir, struct.alias("s")).where("s is not null").select("entry_id", "s.score")
+
+
 _STEM = "regexp_replace(lower(" + _NAME.format(p="path") + "), '([^.])\\.[^.]*$', '\\1')"
 
 

@@ -149,11 +149,50 @@ def test_sections_and_parts(spark):
     got = [(r.d, r.section, r.n_lines, r.heading) for r in report.heading_sections(docs, "d").orderBy("d", "section").collect()]
     assert got == [(1, 0, 1, None), (1, 1, 2, "A"), (1, 2, 3, "B"), (2, 0, 1, None)]
     sizes = spark.createDataFrame([(1, i, n) for i, n in enumerate([3, 3, 9, 1, 1])], "d int, section long, n long")
-    assert [r.part for r in report.packed_sections(sizes, "d", "n", "section", 6).orderBy("section").collect()] == [1, 1, 2, 3, 3]
+    assert [(r.section, r.piece, r.n, r.part) for r in report.packed_sections(sizes, "d", "n", "section", 6).orderBy("section", "piece").collect()] == [(0, 1, 3, 1), (1, 1, 3, 1), (2, 1, 6, 2), (2, 2, 3, 3), (3, 1, 1, 3), (4, 1, 1, 3)]
     name = spark.range(1).select(report.part_name(F.lit("out/full.txt"), F.lit(3), F.lit(120)).alias("a"), report.part_name(F.lit("full.txt"), F.lit(1), F.lit(1)).alias("b")).first()
     assert tuple(name) == ("out/full.part003.txt", "full.txt")
 
 
+def test_life_cycle(spark):
+    from lodestack.operators import lifecycle
+
+    assert all(r.passed for r in lifecycle.self_test(spark).collect())
+    entries = lifecycle.entry_rows(spark, [{"path": "a", "language": "x", "content": "1"}, {"path": "b", "status": "truncated", "content": ""}, {"path": "c"}])
+    names = lambda section: {r.path for r in lifecycle.files_for_section(entries, section).collect()}
+    assert names("Source Export") == {"a"} and names("truncated_files") == {"b"} and names("omitted-files") == {"c"} and names("file_summary") == {"a", "b", "c"} and not names("else")
+    words = spark.createDataFrame([(" File--Summary ", "Full"), ("", "x")], "a string, m string").select(lifecycle.normalized_section(F.col("a")).alias("a"), lifecycle.section_title(F.col("a")).alias("t"), lifecycle.mode_flags(F.col("m")).alias("m")).collect()
+    assert (words[0].a, words[0].t, words[0].m.for_review, words[1].a, words[1].m) == ("file_summary", "File Summary", False, None, None)
+    empty = entries.where("false")
+    assert lifecycle.finalized(empty).summary.isEmpty() and lifecycle.readiness(empty, lifecycle.export_row(spark, empty)).first().ready
+
+
+def test_payloads_and_merges(spark):
+    texts = ['{"b": [3, 1, {"y": 1, "x": [2, 1]}], "a": null}', "no", None]
+    got = [r.t for r in spark.createDataFrame([(t,) for t in texts], "t string").select(report.normal_payload(F.col("t")).alias("t")).collect()]
+    assert got == ['{"a":null,"b":[1,3,{"x":[1,2],"y":1}]}', None, None]
+    one = spark.createDataFrame([("t", "a"), ("w", "x")], "kind string, value string")
+    assert sorted(tuple(r) for r in report.merged_reports([one, one], ("w",)).collect()) == [("t", "a"), ("t", "a"), ("w", "x")]
+
+
+def test_simple_score(spark):
+    cases = [("pyproject.toml", 0, 0, 10, 1100), ("docs/architecture_spec.md", 0, 0, 10, 940 + 80 + 75), ("tests/test_a.py", 25, 3, 400, 100 + 35 + 20 + 12 + 10), ("a.txt", 0, 0, 900, None)]
+    df = spark.createDataFrame(cases, "path string, d int, m int, n int, expected int").select("expected", ranking.simple_score(F.col("path"), F.col("d"), F.col("m"), F.col("n")).alias("s"))
+    assert all((r.s.score if r.s else None) == r.expected for r in df.collect())
+
+
+def test_model_writers(spark, tmp_path):
+    import io
+
+    from lodestack.operators import sinks
+
+    stream = io.StringIO()
+    sinks.write_model("text", stream)
+    sinks.write_model("text", tmp_path / "out.md")
+    assert stream.getvalue() == (tmp_path / "out.md").read_text() == "text"
+    assert sinks.summary_lines("Files", spark.sql("select 12345 as n_files, 'main' as branch")) == ["Files:", "  n files: 12,345", "  branch: main"]
+
+
 def test_masking(spark):
     source = 'API_KEY = "abcdefghijkl"\nexport DB_PASSWORD=hunter2hunter\nos.environ["AUTH_TOKEN"] = "zzzzyyyyxxxxwwww"\npassword = "changeme"\n# token = "abcdefghijkl"\nsecret = 12345678\ntoken = "***REDACTED***"\nx = 1\nrun(1, token="abcdefghi", pwd=\'qqqqwwwweeeerrrr\')'
     got = [(r.line_number, r.secret_type, r.masked_text, r.confidence) for r in masking.line_findings(spark.createDataFrame([(1, source)], "entry_id int, content string")).orderBy("line_number").collect()]

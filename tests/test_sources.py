@@ -137,6 +137,11 @@ def test_reports(spark, repository):
     ai = rendering.render(files, "repository", "ai").first().text
     assert "1. src/app.py (105): entry point; imported by 1" in ai and "2. README.md (90): documentation" in ai and "- type: Python package" in ai
     assert "A sentence." in rendering.render(files, "repository", "docs").first().text
+    shown = rendering.render(files, "repository", "docs", settings={"Include paths": (), "Limit max_file_bytes": None, "Config active": True}).first().text
+    assert "## Configuration\n\n- Include paths: none\n- Limit max_file_bytes: none\n- Config active: yes" in shown
+    scripts = spark.createDataFrame([(1, "a.sh", "bash", "one() {\n  two\n}\n", 3, "text", "included"), (1, "b.sh", "bash", "two() {\n  :\n}\n", 3, "text", "included")], "r int, path string, language string, content string, line_count int, text_status string, status string")
+    changed = scripts.select("r", "path", F.lit("modified").alias("status"))
+    assert "## Shell calls\n\n- a.sh:2 one -> two" in rendering.render(scripts, "r", "changed", changes=changed).first().text
     out = root.parent / "changed.txt"
     assert main(["changed", str(root), str(out)]) == 0
     assert "- added schema.sql" in out.read_text() and "hunter2" not in out.read_text()
