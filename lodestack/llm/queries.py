@@ -29,8 +29,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries that were not written by hand, by kind."""
-    return handwritten.not_handwritten(table(spark, sf_dir, "file_entries")).groupBy("kind").agg(F.count("*").alias("n_entries"), F.count_distinct("cluster").alias("n_clusters"))
+    """Entries that were not written by hand, by kind and by what decided: a cluster or the file alone."""
+    return handwritten.not_handwritten(table(spark, sf_dir, "file_entries")).groupBy("kind", "decided_by").agg(F.count("*").alias("n_entries"), F.count_distinct("cluster").alias("n_clusters"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
