@@ -24,6 +24,15 @@ def p1_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("secret_type").agg(F.count("*").alias("n_findings"), F.count_distinct("entry_id").alias("n_entries"))
 
 
+def p1_masked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every entry after masking, which leaves their number as it is."""
+    entries = table(spark, sf_dir, "file_entries").where("content <> ''")
+    lines = lambda text: F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1
+    masked = secrets.mask_secrets(entries).select("entry_id", lines(F.col("masked_content")).alias("masked_lines"))
+    plain = entries.select("entry_id", lines(F.col("content")).alias("n")).distinct()
+    return plain.join(masked, "entry_id", "left").select("entry_id", F.coalesce("masked_lines", "n").alias("n_lines"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return handwritten.not_handwritten(table(spark, sf_dir, "file_entries")).select("entry_id")
 
@@ -63,6 +72,11 @@ def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax.invalid_rates(table(spark, sf_dir, "file_entries"), table(spark, sf_dir, "languages"))
 
 
+def p5_json_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unreadable entries among those in JSON."""
+    return syntax.invalid_entries(table(spark, sf_dir, "file_entries"), table(spark, sf_dir, "languages")).where("lang = 'json'").select("entry_id")
+
+
 def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every oversized entry."""
     return split.split_oversized(table(spark, sf_dir, "file_entries"), table(spark, sf_dir, "exports"))
@@ -72,6 +86,17 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_pieces(spark, sf_dir).select("entry_id").distinct()
 
 
+def p6_given_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A digest of each oversized entry put together again from its pieces, and how many pieces exceed a limit or miss their overlap."""
+    limits = table(spark, sf_dir, "exports").select("export_id", "split_max_chars", "max_export_bytes", "split_overlap_chars").distinct()
+    pieces = p6_pieces(spark, sf_dir).join(limits, "export_id")
+    over = (F.col("n_chars") > F.col("split_max_chars")) | (F.col("n_bytes") > F.col("max_export_bytes"))
+    short = (F.col("piece_no") > 1) & (F.col("overlap_chars") > F.col("split_overlap_chars"))
+    new = F.struct("piece_no", F.substr("piece", F.col("overlap_chars") + 1).alias("text"))
+    whole = pieces.groupBy("entry_id").agg(F.array_sort(F.collect_list(new)).alias("own"), F.count_if(F.coalesce(over, F.lit(False)) | F.coalesce(short, F.lit(False))).alias("n_faults"))
+    return whole.select("entry_id", F.md5(F.array_join(F.transform("own", lambda x: x["text"]), "")).alias("digest"), "n_faults")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return functions.documented_functions(table(spark, sf_dir, "file_entries"), table(spark, sf_dir, "languages"))
 
@@ -91,6 +116,16 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(p8_containers(spark, sf_dir), table(spark, sf_dir, "containers"))
 
 
+def p8_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in containers of each kind, and how many containers are too full or documents are placed more than once."""
+    packed, containers = p8_containers(spark, sf_dir), table(spark, sf_dir, "containers").distinct()
+    per = packed.groupBy("container_kind", "container_no").agg(F.count("*").alias("items"), F.sum("n_tokens").alias("tokens")).join(containers, "container_kind")
+    full = per.groupBy("container_kind").agg(F.count_if(F.col("tokens") + (F.col("items") - 1) * F.col("separator_tokens") > F.col("capacity_tokens")).alias("n_too_full"))
+    pieces = packed.groupBy("container_kind", "doc_id", "piece_no").agg(F.count("*").alias("n"))
+    placed = pieces.groupBy("container_kind").agg(F.count_distinct("doc_id").alias("n_documents"), F.count_if(F.col("n") > 1).alias("n_twice"))
+    return placed.join(full, "container_kind")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -114,6 +149,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_masked": p1_masked,
     "p1_types": p1_types,
+    "p1_masked_lines": p1_masked_lines,
     "p2_found": p2_found,
     "p2_kinds": p2_kinds,
     "p3_found": p3_found,
@@ -122,12 +158,15 @@ QUERIES = {
     "p3_unigram_budget": p3_unigram_budget,
     "p5_found": p5_found,
     "p5_rates": p5_rates,
+    "p5_json_faults": p5_json_faults,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
+    "p6_given_back": p6_given_back,
     "p7_found": p7_found,
     "p7_pairs": p7_pairs,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
+    "p8_placed": p8_placed,
     "p9_found": p9_found,
     "p9_leaked_items": p9_leaked_items,
     "p10_found": p10_found,
@@ -150,6 +189,10 @@ item_gram as (select distinct item_id, array_to_string(w[i:i+11], ' ') as gram f
 cases as (select distinct doc_id, item_id from doc_gram join item_gram using (gram))
 """
 SQL = {
+    "p1_masked_lines": "select distinct entry_id, (length(content) - length(replace(content, chr(10), '')) + 1)::int as n_lines from file_entries where content <> ''",
+    "p5_json_faults": _ENTRIES + "select distinct entry_id from known where language = 'json' and not json_valid(content)",
+    "p6_given_back": "select distinct entry_id, md5(content) as digest, 0::bigint as n_faults from file_entries join exports using (export_id) where length(content) > split_max_chars or strlen(content) > max_export_bytes",
+    "p8_placed": "select container_kind, n_documents, 0::bigint as n_too_full, 0::bigint as n_twice from containers, (select count(distinct doc_id) as n_documents from documents where text is not null)",
     "p3_found": _ENTRIES + "select export_id, language, estimated_tokens from budget",
     "p3_budget_by_source": _ENTRIES + "select source, domain_label, language, count(distinct export_id) as n_exports, sum(budget.estimated_tokens)::bigint as estimated_tokens from budget join exports using (export_id) group by all",
     "p6_found": """select distinct entry_id from file_entries join exports using (export_id)
