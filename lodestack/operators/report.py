@@ -16,11 +16,16 @@ HEADING = r"^ {0,3}#{1,6}\s+\S"
 
 
 def assembled(rows: DataFrame, by: str, order: list[str], body: str, separator: str = "\n\n") -> DataFrame:
-    """The texts of each group, joined in order."""
+    """The texts of each group, joined in order. A group's whole text becomes one value; for texts without bound see ``ordered``."""
     ordered = F.array_sort(F.collect_list(F.struct(*order, body)))
     return rows.groupBy(by).agg(F.array_join(F.transform(ordered, lambda x: x[body]), separator).alias("text"))
 
 
+def ordered(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """``rows`` with ``place``, their place in the text of their group, which stays in rows until it is written (``sinks.write_ordered``)."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+
+
 def heading_sections(documents: DataFrame, key: str, content: str = "text") -> DataFrame:
     """``key, section, first_line, n_lines, heading``: a section begins at every heading; what comes before is section 0."""
     rows = documents.where(F.col(content).isNotNull()).select(key, F.posexplode(F.split(content, "\n", -1)).alias("pos", "line"))

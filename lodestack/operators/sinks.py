@@ -28,6 +28,24 @@ def write_text(path: str, body: str) -> None:
         raise
 
 
+def write_ordered(path: str, rows: DataFrame, text_column: str = "section", separator: str = "\n\n") -> int:
+    """Writes the rows of one report in the order of ``place``, partition by partition; returns their number. The text is never held whole."""
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    handle, name = tempfile.mkstemp(prefix=f".{target.name}.", dir=target.parent)
+    n = 0
+    try:
+        with os.fdopen(handle, "w", encoding="utf-8", newline="\n") as file:
+            for row in rows.select(text_column, "place").orderBy("place").toLocalIterator():
+                file.write((separator if n else "") + (row[0] or ""))
+                n += 1
+        os.replace(name, target)
+    except BaseException:
+        os.unlink(name)
+        raise
+    return n
+
+
 def write_parts(path: str, body: str, most: int) -> list[str]:
     """The file and, if it is longer than ``most`` characters, its parts; parts of an earlier, longer text are removed."""
     target = Path(path)

@@ -252,11 +252,13 @@ def f35(spark, sf_dir):
 
 @query(
     "ref_r1_assembled_report",
-    f"with {SQL_FILES} select export_id, md5(string_agg('## ' || path || chr(10) || chr(10) || content, chr(10) || chr(10) order by path, entry_id)) as digest from files where content is not null group by export_id",
+    f"with {SQL_FILES} select export_id, row_number() over (partition by export_id order by path, entry_id)::int as place, md5('## ' || path || chr(10) || chr(10) || content) as digest, length(content)::int as n_chars from files where content is not null",
 )
 def r1(spark, sf_dir):
-    rows = texts(spark, sf_dir, "export_id", "path", F.concat(F.lit("## "), "path", F.lit("\n\n"), "content").alias("section"))
-    return report.assembled(rows, "export_id", ["path", "entry_id"], "section").select("export_id", F.md5("text").alias("digest"))
+    """The sections of every report in their order; their texts are digested where they are read."""
+    section = F.concat(F.lit("## "), "path", F.lit("\n\n"), "content")
+    rows = texts(spark, sf_dir, "export_id", "path", F.md5(section).alias("digest"), F.length("content").alias("n_chars"))
+    return report.ordered(rows, "export_id", ["path", "entry_id"]).select("export_id", "place", "digest", "n_chars")
 
 
 _SECTIONS = r"""rows as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents where text is not null),

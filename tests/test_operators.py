@@ -190,6 +190,8 @@ def test_model_writers(spark, tmp_path):
     sinks.write_model("text", stream)
     sinks.write_model("text", tmp_path / "out.md")
     assert stream.getvalue() == (tmp_path / "out.md").read_text() == "text"
+    rows = report.ordered(spark.createDataFrame([(1, "b", "two"), (1, "a", "one"), (1, "c", None)], "r int, path string, section string"), "r", ["path"])
+    assert sinks.write_ordered(str(tmp_path / "r.md"), rows) == 3 and (tmp_path / "r.md").read_text() == "one\n\ntwo\n\n"
     assert sinks.summary_lines("Files", spark.sql("select 12345 as n_files, 'main' as branch")) == ["Files:", "  n files: 12,345", "  branch: main"]
 
 
