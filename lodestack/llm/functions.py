@@ -31,21 +31,23 @@ _SCRIPT_SKIP = re.compile(
 )
 _JAVA_SKIP = re.compile(r"(?P<c>//[^\n]*|/\*[\s\S]*?\*/)|\"{3}[\s\S]*?\"{3}|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)+'")
 _BASH_SKIP = re.compile(r"(?P<c>(?<![^\s;|&()])#[^\n]*)|(?<!<)<<-?[ \t]*([\"']?)(\w+)\2[^\n]*\n(?:[\s\S]*?\n)?[ \t]*\3(?=\r?\n|\Z)|\"(?:[^\"\\]|\\[\s\S])*\"|'[^']*'|\$\{[^}]*\}|\\.")
-_PYTHON_SKIP = re.compile(r"(?P<c>#[^\n]*)|(?:\"{3}(?:[^\\]|\\[\s\S])*?\"{3}|'{3}(?:[^\\]|\\[\s\S])*?'{3}|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*')")
+_PYTHON_SKIP = re.compile(r"[#\"'](?:(?<=#)[^\n]*|(?<=\")(?:\"\"(?:[^\\]|\\[\s\S])*?\"{3}|(?:[^\"\\\n]|\\[\s\S])*\")|(?<=')(?:''(?:[^\\]|\\[\s\S])*?'{3}|(?:[^'\\\n]|\\[\s\S])*'))")  # begins with a set of characters, for which it is searched fast
 _NOT_NAMES = "if|for|while|switch|catch|function|return|new|else|do|try|throw|await|typeof|with|super|synchronized|case|assert|yield|class|instanceof"
 _SCRIPT_HEAD = re.compile(
-    rf"^[ \t]*(?:(?:export[ \t]+)?(?:default[ \t]+)?(?:declare[ \t]+)?(?:async[ \t]+)?function\b\s*\*?\s*(?P<f>[\w$]+)\s*(?:<[^\n(]*>\s*)?\("
+    rf"^[ \t]*(?=[\w$#*])(?:(?:export[ \t]+)?(?:default[ \t]+)?(?:declare[ \t]+)?(?:async[ \t]+)?function\b\s*\*?\s*(?P<f>[\w$]+)\s*(?:<[^\n(]*>\s*)?\("
     rf"|(?:export[ \t]+)?const[ \t]+(?P<a>[\w$]+)\s*(?::[^=\n]+(?:=>[^=\n]+)?)?=\s*(?:async\b\s*)?(?:function\b\s*\*?\s*[\w$]*\s*{_ARGS}[^{{;=]*\{{|(?:<[^\n(]*>\s*)?(?:{_ARGS}|[\w$]+)\s*(?::[^={{;]+)?=>\s*\{{)"
-    rf"|(?:(?:public|private|protected|static|async|get|set|override|readonly|abstract)[ \t]+)*(?:\*[ \t]*)?(?!(?:{_NOT_NAMES})\b)(?P<m>\#?[\w$]+)[ \t]*(?:<[^\n(]*>[ \t]*)?{_ARGS}\s*(?::[^={{;]+)?\{{)",
+    rf"|(?:(?:public|private|protected|static|async|get|set|override|readonly|abstract)[ \t]+)*(?:\*[ \t]*)?(?=\#?[\w$]+[ \t]*[<(])(?!(?:{_NOT_NAMES})\b)(?P<m>\#?[\w$]+)[ \t]*(?:<[^\n(]*>[ \t]*)?{_ARGS}\s*(?::[^={{;]+)?\{{)",
     re.MULTILINE,
 )
 _AFTER_NAME = re.compile(_ARGS + r"\s*(?::\s*(?:\{[^{}]*\}|[^{};])*)?\{")
 _JAVA_HEAD = re.compile(
-    rf"^[ \t]*(?:@[\w.]+(?:{_ARGS})?[ \t]+)*(?:(?:public|protected|private|static|final|abstract|synchronized|native|default|strictfp)\s+)*(?:<[^\n(]*>\s*)?(?!(?:{_NOT_NAMES})\b)[\w$.]+(?:<[^;(){{}}=]*>)?(?:\[\])*\s+(?!(?:{_NOT_NAMES})\b)(?P<m>[\w$]+)\s*{_ARGS}\s*(?:throws\s+[\w$.,\s]+)?[{{;]",
+    rf"^[ \t]*(?=[\w$@<])(?:@[\w.]+(?:{_ARGS})?[ \t]+)*(?:(?:public|protected|private|static|final|abstract|synchronized|native|default|strictfp)\s+)*(?:<[^\n(]*>\s*)?(?!(?:{_NOT_NAMES})\b)[\w$.]+(?:<[^;(){{}}=]*>)?(?:\[\])*\s+(?!(?:{_NOT_NAMES})\b)(?P<m>[\w$]+)\s*{_ARGS}\s*(?:throws\s+[\w$.,\s]+)?[{{;]",
     re.MULTILINE,
 )
 _BASH_HEAD = re.compile(r"^[ \t]*(?:function[ \t]+(?P<f>[^\s(){};|&<>]+)(?:[ \t]*\([ \t]*\))?|(?P<m>[^\s(){};|&<>=]+)[ \t]*\([ \t]*\))\s*(?=[{(])", re.MULTILINE)
-_PYTHON_HEAD = re.compile(r"^[ \t]*(?:async[ \t]+)?def[ \t]+(?P<f>\w+)", re.MULTILINE)
+_PYTHON_HEAD = re.compile(r"def[ \t]+(?P<f>\w+)")
+_PYTHON_BEFORE = re.compile(r"[ \t]*(?:async[ \t]+)?\Z")
+_PYTHON_DEFINES = re.compile(r"(?:async[ \t]+)?def[ \t]+\w")
 _PYTHON_HEADER = re.compile(r"\s*\((?:[^()\[\]{}:]|\[[^()\[\]{}]*\]|:)*\)\s*(?:->[^:\n()\[\]{}]*(?:\[[^()\[\]{}]*\])?[^:\n()\[\]{}]*)?:")
 _NOTE = re.compile(rf"^[ \t]*@[A-Za-z_][\w.]*(?:{_ARGS})?[ \t]*\r?$", re.MULTILINE)
 _HEADS = {"javascript": _SCRIPT_HEAD, "typescript": _SCRIPT_HEAD, "java": _JAVA_HEAD, "bash": _BASH_HEAD}
@@ -71,10 +73,22 @@ class _Lines:
     def __init__(self, text: str):
         self.ends = [m.start() for m in re.finditer("\n", text)]
 
+    def starts(self) -> list[int]:
+        return [0, *(end + 1 for end in self.ends)]
+
     def of(self, at: int) -> int:
         return bisect_right(self.ends, at - 1) + 1
 
 
+def _at_lines(pattern: re.Pattern, text: str, lines: _Lines) -> Iterator[re.Match]:
+    """The matches of ``pattern`` that begin where a line does; a search would try every character."""
+    match, past = pattern.match, 0
+    for start in lines.starts():
+        if start >= past and (m := match(text, start)):
+            past = m.end()
+            yield m
+
+
 def tokens(language: str, text: str, ends: bool = True) -> list[tuple[int, str, int, int, str | None]]:
     """``(position, kind, first line, last line, text)`` of the structural tokens, in order; nothing without a function.
 
@@ -97,7 +111,7 @@ def tokens(language: str, text: str, ends: bool = True) -> list[tuple[int, str,
 
     blank = _SKIPS[language].sub(skip, text)
     heads, bodies = [], set()
-    for m in _HEADS[language].finditer(blank):
+    for m in _at_lines(_HEADS[language], blank, lines):
         name = m.lastgroup
         at = m.start(name)
         first = m.start() + len(m.group()) - len(m.group().lstrip())
@@ -110,7 +124,7 @@ def tokens(language: str, text: str, ends: bool = True) -> list[tuple[int, str,
         return []
     out += heads
     if language in ("java", "typescript", "javascript"):
-        out += [(m.start(), ANNOTATION, lines.of(m.start() + len(m.group()) - len(m.group().lstrip())), lines.of(m.end() - 1 if m.end() > m.start() else m.start()), None) for m in _NOTE.finditer(blank)]
+        out += [(m.start(), ANNOTATION, lines.of(m.start() + len(m.group()) - len(m.group().lstrip())), lines.of(m.end() - 1 if m.end() > m.start() else m.start()), None) for m in _at_lines(_NOTE, blank, lines)]
     stack: list[bool] = []
     for m in _BRACE.finditer(blank):
         at = m.start()
@@ -127,6 +141,8 @@ def tokens(language: str, text: str, ends: bool = True) -> list[tuple[int, str,
 def _python_tokens(text: str, blank: str, lines: _Lines, ends: bool) -> list[tuple[int, str, int, int, str | None]]:
     out: list[tuple[int, str, int, int, str | None]] = []
     for m in _PYTHON_HEAD.finditer(blank):
+        if not _PYTHON_BEFORE.fullmatch(blank, blank.rfind("\n", 0, m.start()) + 1, m.start()):
+            continue
         at = m.start("f")
         line = lines.of(at)
         depth, p = 0, m.end()
@@ -165,7 +181,7 @@ def _python_tokens(text: str, blank: str, lines: _Lines, ends: bool) -> list[tup
                 while width < indents[-1][0]:
                     if indents.pop()[1]:
                         out.append((at - 1, CLOSE, previous, previous, None))
-                defines = bare.startswith(("def", "async")) and _PYTHON_HEAD.match(line) is not None
+                defines = bare.startswith(("def ", "def\t", "async ", "async\t")) and _PYTHON_DEFINES.match(bare) is not None
             depth += bare.count("(") + bare.count("[") + bare.count("{") - bare.count(")") - bare.count("]") - bare.count("}")
             joined = bare.rstrip().endswith("\\")
             previous = number

@@ -27,7 +27,8 @@ from lodestack.llm.grammar import css, java, script, shell
 from lodestack.llm.grammar.brackets import Invalid
 
 
-_SCOPES = re.compile(r"^([ \t]*)(def|async def|class|return|for|while|else|break|continue)\b", re.MULTILINE)
+_SCOPE_WORDS = ("def", "async def", "class", "return", "for", "while", "else", "break", "continue")
+_SCOPE = re.compile(r"(def|async def|class|return|for|while|else|break|continue)\b")
 #: Words at which the compiler may find what parser and symbol table let pass.
 _COMPILER_ONLY = ("await", "async for", "async with", "yield", "nonlocal", "__future__", "__debug__", "except:", "except :", ", *")
 
@@ -35,8 +36,11 @@ _COMPILER_ONLY = ("await", "async for", "async with", "yield", "nonlocal", "__fu
 def _jumps_inside(text: str) -> bool:
     """Whether every line that begins with ``return``, ``break`` or ``continue`` surely lies within a function or a loop."""
     stack: list[tuple[int, str]] = []
-    for m in _SCOPES.finditer(text):
-        width, word = len(m[1].expandtabs(8)), m[2]
+    for line in text.split("\n"):
+        bare = line.lstrip(" \t")
+        if not bare.startswith(_SCOPE_WORDS) or not (m := _SCOPE.match(bare)):
+            continue
+        width, word = len(line[: len(line) - len(bare)].expandtabs(8)), m[1]
         while stack and stack[-1][0] >= width:
             stack.pop()
         if word == "return":
