@@ -12,6 +12,7 @@ import re
 import warnings
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +25,14 @@ from lodestack.llm.syntax import judge
 LANGUAGES = ("python", "javascript", "typescript", "java", "bash")
 COMMENT, LINE_COMMENT, ANNOTATION, FUNCTION, OPEN, CLOSE, DOCSTRING = "c", "l", "a", "f", "{", "}", "s"
 
-_ARGS = r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
+#: Brackets within an argument list may be nested so deep, which no source written or made comes near to.
+NESTED = 24
+_ARGS = reduce(lambda inner, _: rf"\((?:[^()]++|{inner})*+\)", range(NESTED), r"\([^()]*+\)")
 _RX = r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[a-z]*"
 _SCRIPT_SKIP = re.compile(
-    rf"(?P<c>//[^\n]*|/\*[\s\S]*?\*/)|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'|`(?:[^`\\]|\\[\s\S])*`|(?P<k>(?:[=(,:\[!&|?{{}};+\-*%~^<>]|\b(?:return|typeof|case))\s*){_RX}"
+    rf"(?P<c>//[^\n]*|/\*(?:[\s\S]*?\*/|[\s\S]*))|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'|`(?:[^`\\]|\\[\s\S])*`|(?P<k>(?:[=(,:\[!&|?{{}};+\-*%~^<>]|\b(?:return|typeof|case))\s*){_RX}"
 )
-_JAVA_SKIP = re.compile(r"(?P<c>//[^\n]*|/\*[\s\S]*?\*/)|\"{3}[\s\S]*?\"{3}|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)+'")
+_JAVA_SKIP = re.compile(r"(?P<c>//[^\n]*|/\*(?:[\s\S]*?\*/|[\s\S]*))|\"{3}[\s\S]*?\"{3}|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)+'")
 _BASH_SKIP = re.compile(r"(?P<c>(?<![^\s;|&()])#[^\n]*)|(?<!<)<<-?[ \t]*([\"']?)(\w+)\2[^\n]*\n(?:[\s\S]*?\n)?[ \t]*\3(?=\r?\n|\Z)|\"(?:[^\"\\]|\\[\s\S])*\"|'[^']*'|\$\{[^}]*\}|\\.")
 _PYTHON_SKIP = re.compile(r"[#\"'](?:(?<=#)[^\n]*|(?<=\")(?:\"\"(?:[^\\]|\\[\s\S])*?\"{3}|(?:[^\"\\\n]|\\[\s\S])*\")|(?<=')(?:''(?:[^\\]|\\[\s\S])*?'{3}|(?:[^'\\\n]|\\[\s\S])*'))")  # begins with a set of characters, for which it is searched fast
 _NOT_NAMES = "if|for|while|switch|catch|function|return|new|else|do|try|throw|await|typeof|with|super|synchronized|case|assert|yield|class|instanceof"

@@ -16,6 +16,9 @@ _CLOSE = {"(": ")", "[": "]", "{": "}"}
 
 def css(text: str) -> None:
     """Accepts rules and at-rules with balanced brackets whose blocks hold declarations (or nested rules)."""
+    last = text.rfind("*/") + 1
+    if text.count("/*", last) > 100:  # comments without an end, each of which would be searched for one
+        text = text[:last] + text[last:].replace("/*", "/ *")
     stack: list[str] = []
     part: list[str] = []
     at = blocks = 0

@@ -18,6 +18,7 @@ _WORDS = {
 _TOKEN = re.compile(
     r"""(?:\s+|//[^\n\r]*|/\*[\s\S]*?\*/)*(?:(?P<w>(?:[^\W\d]|\$)(?:\w|\$)*)
     |(?P<v>\"{3}[ \t]*\r?\n(?:[^\\]|\\[\s\S])*?\"{3}|"(?:[^"\\\n\r]|\\.)*"|'(?:[^'\\\n\r]|\\(?:u+[0-9a-fA-F]{4}|[0-7]{1,3}|.))'|(?:0[xX][\da-fA-F_]+|0[bB][01_]+|\d[\d_]*(?:\.(?!\.)[\d_]*)?(?:[eE][+-]?\d+)?|\.\d[\d_]*(?:[eE][+-]?\d+)?)[lLfFdD]?(?!\w))
+    |(?P<u>/\*)
     |(?P<b>[(\[{])|(?P<e>[)\]}])
     |(?P<o>->|::|\.{3}|\+\+|--|&&|\|\||<<=?|[=!<]=|[+\-*/%&|^]=|[;,.:?@=<>+\-*/%&|^!~])
     |(?P<end>\Z))""",
@@ -60,6 +61,8 @@ def lex(text: str) -> Node:
                 raise Invalid(f"unexpected {m['e']}")
             stack.pop()
             tokens = stack[-1].tokens
+        elif kind == "u":
+            raise Invalid("a comment without an end")
         at = m.end()
         if kind == "end":
             break

@@ -26,6 +26,7 @@ _TOKEN = re.compile(
     rf"""[ \t\f\v ﻿]*(?:(?P<w>(?:[^\W\d]|\$)(?:\w|\$)*)(?P<wr>(?<=return)\s*{_REGEX}|(?<=typeof)\s*{_REGEX}|(?<=case)\s*{_REGEX})?
     |(?P<n>(?:\r?\n|[\r\u2028\u2029])\s*)
     |(?P<c>//[^\n\r]*|/\*[\s\S]*?\*/|^\#![^\n]*)
+    |(?P<u>/\*)
     |(?P<v>"(?:[^"\\\n]|\\(?:\r\n|[\s\S]))*"|'(?:[^'\\\n]|\\(?:\r\n|[\s\S]))*'|(?:0[xXbBoO][\da-fA-F_]+|\d[\d_]*(?:\.[\d_]*)?(?:[eE][+-]?\d+)?|\.\d[\d_]*(?:[eE][+-]?\d+)?)n?(?!\w))
     |(?P<t>`(?:[^`\\$]|\\[\s\S]|\$(?!\{{)|\$\{{{_INNER}\}})*`)
     |(?P<i>\#(?:[^\W\d]|\$)(?:\w|\$)*)
@@ -95,6 +96,8 @@ def lex(text: str, typed: bool) -> Node:
         elif kind == "c":
             if "\n" in m["c"]:
                 tokens.append("N")
+        elif kind == "u":
+            raise Invalid("a comment without an end")
         else:  # the end
             at = m.end()
             break

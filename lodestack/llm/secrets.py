@@ -61,7 +61,7 @@ _NAME_OUT = re.compile(r"(?i)hash|digest|checksum|fingerprint|etag|integrity|pub
 _PASSWORD_NAME = re.compile(r"(?i)(?:password|passwd|pwd|passphrase|passcode)$")
 _ASSIGNS = re.compile(r"[\"'\])]{0,3}[ \t]*(?:=>|:=|=|:)[ \t]*[rbuf]{0,2}[\"'`]")
 _CALL = re.compile(r"^[A-Za-z_][\w.]*\(|[()\[\]]")
-_NAME_AFTER = re.compile(r"[\w-]*")
+_NAME_AFTER = re.compile(r"(?a)[\w-]*")
 _COMMENT = re.compile(r"[ \t]*#")
 
 
@@ -161,9 +161,13 @@ def _matches(kind: str, pattern: re.Pattern, text: str, low: str, start: int, st
                 return
             yield match, match.start()
         return
+    past = start
     for key in _KEY.finditer(low, start, end):
         if key.start() >= stop:
             return
+        if key.start() < past:
+            continue  # in the same name as a word before it, from which all that follows was tried
+        past = _NAME_AFTER.match(text, key.end()).end()
         if match := _KEY_TAIL.match(text, key.end(), end):
             yield match, key.start()
 

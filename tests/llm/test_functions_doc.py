@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import pytest
 
 from lodestack.llm import functions
@@ -43,3 +45,21 @@ def test_trivial_documentation(spark):
 
     got = [r.n for r in spark.createDataFrame([d[:2] for d in docs], "doc string, name string").select(functions.real_words(F.col("doc"), F.col("name")).alias("n")).collect()]
     assert got == [n for *_, n in docs]
+
+
+@pytest.mark.parametrize("depth", [1, 4, 20])
+def test_argument_lists_may_be_nested(depth):
+    value = "f(" * depth + "1" + ")" * depth
+    for language, text in (("javascript", f"function one(a = {value}) {{\n}}\nconst two = (b = {value}) => {{\n}}\nclass K {{\n  three(c = {value}) {{ }}\n}}\n"), ("java", f"class A {{\n    @P({value})\n    int one(int a) {{ return 1; }}\n}}\n")):
+        names = [t[4] for t in functions.tokens(language, text) if t[1] == functions.FUNCTION]
+        assert names == (["one", "two", "three"] if language == "javascript" else ["one"])
+
+
+def test_comments_without_an_end_take_no_time():
+    from lodestack.llm import handwritten
+
+    text = "/* " * 60_000
+    began = time.perf_counter()
+    assert not any(functions.tokens(language, text) for language in ("javascript", "typescript", "java"))
+    assert len(handwritten.tokenized("a.js", text, handwritten.both_masks())[0]) == 120_000
+    assert time.perf_counter() - began < 20
