@@ -31,8 +31,9 @@ def sql_suffix(column: str) -> str:
     return _SUFFIX.format(p=column)
 
 
-#: Whether there is content, in its place: the shuffle that makes repeated rows one needn't carry texts for that.
-THERE = F.when(F.col("content").isNotNull(), F.lit("")).alias("content")
+def there() -> Column:
+    """Whether there is content, in its place: the shuffle that makes repeated rows one needn't carry texts for that."""
+    return F.when(F.col("content").isNotNull(), F.lit("")).alias("content")
 
 
 def files(spark: SparkSession, sf_dir: str, *columns: str | Column, where: str = "true", language: bool = False) -> DataFrame:
@@ -349,7 +350,7 @@ def p18(spark, sf_dir):
 )
 def p19(spark, sf_dir):
     error = F.when(F.col("status") == "error", F.col("reason"))
-    return files(spark, sf_dir, "status", "text_status", "reason", THERE).groupBy(selection.entry_status(F.col("text_status"), error, F.col("content")).alias("derived"), "status").agg(F.count("*").alias("n_files"))
+    return files(spark, sf_dir, "status", "text_status", "reason", there()).groupBy(selection.entry_status(F.col("text_status"), error, F.col("content")).alias("derived"), "status").agg(F.count("*").alias("n_files"))
 
 
 # statistics
@@ -359,12 +360,12 @@ _EXPORTABLE = "(text_status = 'text' and content is not null and coalesce(status
 
 @query("ref_a1_totals", f"with {SQL_FILES} select export_id, sum(coalesce(line_count, 0))::bigint as total_lines, sum(coalesce(estimated_tokens, 0))::bigint as total_tokens from files where {_EXPORTABLE} group by all")
 def a1(spark, sf_dir):
-    return stats.totals(files(spark, sf_dir, "export_id", "text_status", THERE, "status", "line_count", "estimated_tokens"), "export_id")
+    return stats.totals(files(spark, sf_dir, "export_id", "text_status", there(), "status", "line_count", "estimated_tokens"), "export_id")
 
 
 @query("ref_a2_file_counts", f"with {SQL_FILES} select export_id, count(*) as tracked, count(*) filter ({_EXPORTABLE}) as exported, count(*) filter (text_status = 'binary') as \"binary\", count(*) filter (status = 'error') as faulty from files group by all")
 def a2(spark, sf_dir):
-    return stats.counts(files(spark, sf_dir, "export_id", "text_status", THERE, "status"), "export_id")
+    return stats.counts(files(spark, sf_dir, "export_id", "text_status", there(), "status"), "export_id")
 
 
 @query("ref_a3_file_types", f"with {SQL_FILES} select coalesce('.' || {sql_suffix('path')}, '[no extension]') as file_type, count(*) as n_files from files group by all")

@@ -23,7 +23,7 @@ SQL_MODULES = "modules as (select 's' || s_suppkey as module from supplier union
 
 
 #: The file that a row of ``part`` is written to: their number grows with the table.
-FILE = F.expr("p_partkey div 25")
+FILE = "p_partkey div 25"
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,7 +312,7 @@ def x5(spark, sf_dir):
     "with p as (select p_partkey, p_size, unnest(range(0, 3)) as position from part) select 't' || p_partkey as table_name, position::int as position, case position when 0 then 'id' when 1 then 'label' else 'size ' || p_size end as column_name, case position when 0 then 'BIGINT' when 1 then 'VARCHAR(20)' else 'NUMERIC(10, 2)' end as data_type, case position when 0 then false when 2 then true end as nullable, case position when 1 then '''a;b''' end as default_value, position = 0 as is_primary_key from p",
 )
 def x6(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select(FILE.alias("file"), "p_partkey", "p_size")
+    rows = table(spark, sf_dir, "part").select(F.expr(FILE).alias("file"), "p_partkey", "p_size")
     line = "concat('-- part ', p_partkey, '; not a statement\\nCREATE TABLE IF NOT EXISTS t', p_partkey, ' (id BIGINT NOT NULL PRIMARY KEY, label VARCHAR(20) DEFAULT ''a;b'', \"size ', p_size, '\" NUMERIC(10, 2) NULL, CHECK (id > 0));')"
     line = line.replace("''a;b''", "\\'a;b\\'")
     return extract.sql_tables(_rendered(rows, "file", "p_partkey", line), "file").drop("file")
@@ -320,7 +320,7 @@ def x6(spark, sf_dir):
 
 @query("ref_x7_dependencies_read_again", "select 'lib-' || p_partkey as normalized_name, '>=' || p_size as version_constraint, case when p_partkey % 3 = 0 then 'optional' else 'runtime' end as dependency_type, case when p_partkey % 3 = 0 then 'extra' end as group_name from part")
 def x7(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select(FILE.alias("file"), "p_partkey", "p_size")
+    rows = table(spark, sf_dir, "part").select(F.expr(FILE).alias("file"), "p_partkey", "p_size")
     item = F.concat(F.lit('"Lib_'), F.col("p_partkey").cast("string"), F.lit(">="), F.col("p_size").cast("string"), F.lit('"'))
     grouped = rows.groupBy("file").agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("p_partkey") % 3 > 0, item))), ", ").alias("runtime"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("p_partkey") % 3 == 0, item))), ", ").alias("extra"))
     texts = grouped.select("file", F.concat(F.lit('[project]\nname = "x"\ndependencies = ['), "runtime", F.lit("]\n[project.optional-dependencies]\nextra = ["), "extra", F.lit("]\n")).alias("content"))
@@ -332,7 +332,7 @@ def x7(spark, sf_dir):
     "select p_partkey // 25 as file, 'lib-' || p_partkey as normalized_name, case when p_partkey % 7 = 0 then null else '==' || p_size end as version_constraint, 'runtime' as dependency_type from part union all select distinct p_partkey // 25, null, null, 'warning' from part",
 )
 def x8(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select(FILE.alias("file"), "p_partkey", "p_size")
+    rows = table(spark, sf_dir, "part").select(F.expr(FILE).alias("file"), "p_partkey", "p_size")
     texts = _rendered(rows, "file", "p_partkey", "concat('Lib.', p_partkey, if(p_partkey % 7 = 0, '', concat('==', p_size)), if(p_partkey % 5 = 0, '  # pinned', ''))")
     whole = texts.select("file", F.concat(F.lit("# generated rows\n--index-url here\n\n"), "content").alias("content"), F.lit("requirements.txt").alias("path"))
     return extract.requirement_lines(whole, "file").select("file", "normalized_name", "version_constraint", "dependency_type")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestack.common import table
 from lodestack.functions.text import tokens_up
 from lodestack.operators import changes, lifecycle, masking, model, report, selection
-from lodestack.plans.file_queries import SQL_FILES, THERE, files, texts
+from lodestack.plans.file_queries import SQL_FILES, files, texts, there
 from lodestack.streaming import events as event_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,7 +116,7 @@ def u5(spark, sf_dir):
     union all select min(entry_id), 'duplicate_path' from files group by export_id, path having count(*) > 1""",
 )
 def v1(spark, sf_dir):
-    return model.issues(files(spark, sf_dir, "export_id", "path", "language", "status", "text_status", THERE, "size_bytes", "line_count", "estimated_tokens"))
+    return model.issues(files(spark, sf_dir, "export_id", "path", "language", "status", "text_status", there(), "size_bytes", "line_count", "estimated_tokens"))
 
 
 @query(
@@ -162,7 +162,7 @@ _COUNTED = f"""{SQL_FILES}, sums as (select export_id, count(*) as total_files,
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir, "export_id", "path", "language", "status", "text_status", THERE, "size_bytes", "line_count", "estimated_tokens", tokens_up(F.col("content")).alias("text_tokens"))
+    return files(spark, sf_dir, "export_id", "path", "language", "status", "text_status", there(), "size_bytes", "line_count", "estimated_tokens", tokens_up(F.col("content")).alias("text_tokens"))
 
 
 @query("ref_v2_finalized", f"with {_COUNTED} select s.*, n_tree, coalesce(n_issues, 0)::bigint as n_issues from sums s join tree using (export_id) left join issues using (export_id)")

@@ -145,7 +145,7 @@ def w2(spark, sf_dir):
 def w7(spark, sf_dir):
     from lodestack.plans.graph_queries import FILE, _rendered
 
-    rows = table(spark, sf_dir, "part").select(FILE.alias("file"), "p_partkey")
+    rows = table(spark, sf_dir, "part").select(F.expr(FILE).alias("file"), "p_partkey")
     line = "concat('create table t', p_partkey, ' (a int, primary key (a), b int, constraint c check (a > 0), d int);')"
     found = extract.sql_tables(_rendered(rows, "file", "p_partkey", line), "file")
     return found.where("position between 0 and 2").groupBy("file", "table_name").agg(F.count_distinct("position").alias("n_columns"))
