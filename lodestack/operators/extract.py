@@ -6,6 +6,7 @@ import ast
 import re
 import tomllib
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -68,9 +69,21 @@ def _nodes(tree: ast.Module) -> Iterator[tuple[ast.AST, tuple[str, ...], tuple[s
         stack += [(child, scope, classes) for child in reversed(list(ast.iter_child_nodes(node)))]
 
 
+def _statements(tree: ast.Module) -> Iterator[ast.stmt]:
+    """All statements in the order of the source; expressions, which hold none, aren't entered."""
+    stack: list[ast.AST] = list(reversed(tree.body))
+    while stack:
+        node = stack.pop()
+        if isinstance(node, ast.stmt):
+            yield node
+        for field in ("finalbody", "orelse", "handlers", "cases", "body"):
+            if isinstance(inner := getattr(node, field, None), list):
+                stack += reversed(inner)
+
+
 def _imports_in(tree: ast.Module) -> list[tuple]:
     rows: list[tuple] = []
-    for node, _, _ in _nodes(tree):
+    for node in _statements(tree):
         if isinstance(node, ast.Import):
             rows += [("import", a.name, None, a.asname, 0, node.lineno, len(rows) + i, None) for i, a in enumerate(node.names)]
         elif isinstance(node, ast.ImportFrom):
@@ -118,23 +131,25 @@ def python_calls(files: DataFrame, key: str = "entry_id") -> DataFrame:
 FACT = "fact string, kind string, name string, parent string, alias string, level int, line_start int, line_end int, visit_ord int, scope string, error string"
 
 
-def facts_of(content: str) -> list[tuple]:
-    """Symbols, imports and calls from one parse, tagged 'symbol', 'import' and 'call'; one 'error' for a file that can't be read."""
+def facts_of(content: str, calls: bool = True) -> list[tuple]:
+    """Symbols, imports and, if asked for, calls from one parse, tagged 'symbol', 'import' and 'call'; one 'error' for a file that can't be read."""
     try:
         tree = ast.parse(content)
     except _UNREADABLE as error:
         return [("error", None, None, None, None, None, getattr(error, "lineno", None), None, 0, None, str(error))]
     out = [("symbol", kind, name, parent, None, None, start, end, i, None, None) for i, (kind, name, start, end, parent, _) in enumerate(_symbols_in(tree))]
     out += [("import", kind, name, module, alias, level, line, None, i, None, None) for kind, module, name, alias, level, line, i, _ in _imports_in(tree)]
-    out += [("call", form, callee, base, owner, None, line, None, i, caller, None) for caller, owner, form, base, callee, line, i in _calls_in(tree)]
+    if calls:
+        out += [("call", form, callee, base, owner, None, line, None, i, caller, None) for caller, owner, form, base, callee, line, i in _calls_in(tree)]
     return out
 
 
 class PythonFacts:
     """What all Python files define, import and call: every file is parsed once, and equal rows of a file count once."""
 
-    def __init__(self, files: DataFrame, key: str = "entry_id"):
-        self.key, self.rows = key, cut(_table(files, key, facts_of, FACT).distinct())
+    def __init__(self, files: DataFrame, key: str = "entry_id", calls: bool = True):
+        read = facts_of if calls else partial(facts_of, calls=False)
+        self.key, self.rows = key, cut(_table(files, key, read, FACT).distinct())
 
     def _of(self, fact: str, *columns: Column) -> DataFrame:
         return self.rows.where(F.col("fact") == fact).select(self.key, *columns)

@@ -254,7 +254,7 @@ def p15_again(spark, sf_dir):
 )
 def g6_again(spark, sf_dir):
     own = _modules(spark, sf_dir)
-    return extract.PythonFacts(own).resolved_imports(own, "l_suppkey").select("l_suppkey", "source_module", "imported_module", "imported_name", "target_module", "resolution")
+    return extract.PythonFacts(own, calls=False).resolved_imports(own, "l_suppkey").select("l_suppkey", "source_module", "imported_module", "imported_name", "target_module", "resolution")
 
 
 @query(
@@ -352,8 +352,8 @@ def _of_language(spark: SparkSession, sf_dir: str, language: str, *columns: str)
     return with_language(rows, table(spark, sf_dir, "languages")).where(F.col("lang") == language).select("entry_id", *columns, "content")
 
 
-def _facts(spark: SparkSession, sf_dir: str) -> extract.PythonFacts:
-    return extract.PythonFacts(_of_language(spark, sf_dir, "python"))
+def _facts(spark: SparkSession, sf_dir: str, calls: bool = True) -> extract.PythonFacts:
+    return extract.PythonFacts(_of_language(spark, sf_dir, "python"), calls=calls)
 
 
 @query("ref_x1_python_symbols")
@@ -369,7 +369,7 @@ def x3_files(spark, sf_dir):
 @query("ref_g6_import_graph")
 def g6(spark, sf_dir):
     """Imports of every Python file, resolved within its export."""
-    found = _facts(spark, sf_dir).resolved_imports(files(spark, sf_dir, "export_id", "path"), "export_id")
+    found = _facts(spark, sf_dir, calls=False).resolved_imports(files(spark, sf_dir, "export_id", "path"), "export_id")
     return found.select("export_id", "source_module", "import_type", "imported_module", "imported_name", "line_number", "target_module", "resolution")
 
 
