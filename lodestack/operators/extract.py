@@ -175,12 +175,12 @@ class PythonFacts:
         references = self.imports().join(sources, self.key).withColumn("reference_id", F.concat_ws("-", F.col(self.key).cast("string"), F.col("visit_ord").cast("string")))
         return graph.resolve_imports(references, own.select(scope, "module", "path"), scope)
 
-    def resolved_calls(self, files: DataFrame, scope: str) -> DataFrame:
+    def resolved_calls(self, files: DataFrame, scope: str, found: DataFrame | None = None) -> DataFrame:
         """Calls with ``confidence``, ``callee_qualified_name`` and, of imported functions of the same scope, ``target_path``.
 
-        A name imported from a module of the scope that defines exactly one such top-level function is 'imported_local'.
+        A name imported from a module of the scope that defines exactly one such top-level function is 'imported_local'. ``found`` are the resolved imports, if they are at hand.
         """
-        found = self.resolved_imports(files, scope)
+        found = self.resolved_imports(files, scope) if found is None else found
         own = files.select(self.key, scope, "path").distinct()
         defined = self.symbols().where("kind = 'function'").join(own, self.key).groupBy(scope, F.col("path").alias("target_path"), F.col("name").alias("imported_name")).agg(F.count("*").alias("n_defined"))
         told = found.join(defined, [scope, "target_path", "imported_name"], "left").select(self.key, "visit_ord", "resolution", "target_module", F.when((F.col("import_type") == "from") & (F.col("n_defined") == 1), F.col("target_path")).alias("target_path"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.common import suffix
+from lodestack.common import cut, suffix
 from lodestack.functions import paths
 from lodestack.operators.graph import centrality
 
@@ -139,6 +139,7 @@ def rank_repository(facts, files: DataFrame, scope: str, scripts: DataFrame | No
     from lodestack.operators.extract import script_paths
 
     paths_of = files.select(facts.key, F.col("path").alias("source"))
-    imports = facts.resolved_imports(files, scope).where("resolution = 'local'").select(scope, F.col("source_path").alias("source"), F.col("target_path").alias("target")).distinct()
-    calls = facts.resolved_calls(files, scope).where("target_path is not null").join(files.select(facts.key, scope), facts.key).join(paths_of, facts.key).select(scope, "source", F.col("target_path").alias("target")).distinct()
+    found = cut(facts.resolved_imports(files, scope))
+    imports = found.where("resolution = 'local'").select(scope, F.col("source_path").alias("source"), F.col("target_path").alias("target")).distinct()
+    calls = facts.resolved_calls(files, scope, found).where("target_path is not null").join(files.select(facts.key, scope), facts.key).join(paths_of, facts.key).select(scope, "source", F.col("target_path").alias("target")).distinct()
     return rank(files, imports, calls, scope, script_paths(scripts, files, scope) if scripts is not None else None)
