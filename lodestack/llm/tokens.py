@@ -14,7 +14,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
 from lodestack.common import with_language
-from lodestack.llm.unigram import ESTIMATE_SYMBOL, RunCounter, UnigramCounter, estimate_counter
+from lodestack.llm.unigram import BatchCounter, UnigramCounter, estimate_counter
 
 TOKENIZER_DIR = os.environ.get("LODESTACK_TOKENIZERS", "/opt/tokenizers")
 DEFAULT_RANKS = f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken"
@@ -34,27 +34,23 @@ def encoding(ranks_path: str):
 
 
 @lru_cache(maxsize=2)
-def _estimate_runs() -> RunCounter:
-    return RunCounter(estimate_counter(), ESTIMATE_SYMBOL)
+def _estimate_counter() -> BatchCounter:
+    return BatchCounter(estimate_counter())
 
 
 @pandas_udf(LongType())
-def _run_counts(lengths: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    counter = _estimate_runs()
-    for batch in lengths:
-        there = batch.notna()
-        out = pd.Series(pd.array([None] * len(batch), dtype="Int64"))
-        out[there.to_numpy()] = counter.count(batch[there].astype("int64").to_numpy())
-        yield out
+def _estimates(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    counter = _estimate_counter()
+    for batch in batches:
+        yield pd.Series(counter.count(batch.where(batch.notna(), None).tolist()), dtype="Int64")
 
 
 def estimated_tokens(text: Column) -> Column:
     """The project's own estimate: best-path pieces of ``text`` under ``ESTIMATE_PIECES``; null for null, 0 for ''.
 
-    Normalizing maps every code point to one symbol, so the normalized segment is known by its length, which is all that
-    leaves the JVM.
+    Every text is normalized, matched by the trie and passed through by Viterbi.
     """
-    return _run_counts(F.length(text))
+    return _estimates(text)
 
 
 def unigram_tokens(text: Column, pieces: Sequence[tuple[str, float]], space: str = "▁") -> Column:

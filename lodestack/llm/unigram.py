@@ -120,6 +120,127 @@ class UnigramCounter:
         return total
 
 
+class BatchCounter:
+    """``UnigramCounter`` over many texts at once: every text is normalized, matched by the trie at each position and passed through by Viterbi.
+
+    The trie is walked from all positions of a slice together; the forward pass goes over texts of like length in step and
+    keeps scores and counts of the last ``longest`` positions only. Segments are whole texts. Where few texts are left, and in
+    texts longer than a slice, the pass goes on text by text over stretches of ``STRETCH`` positions, so that memory is bounded.
+    """
+
+    SLICE, STRETCH, NARROW = 1 << 21, 1 << 16, 12
+
+    def __init__(self, counter: UnigramCounter):
+        trie = counter.trie
+        self.normalize, self.unknown = counter.normalize, counter.unknown
+        # a last state without transitions stands for the texts that left the trie; no slot lies beyond the tables
+        rest = max(trie.code.values(), default=0) + 1
+        self.base, self.check = np.array([*trie.base, 0], np.int32), np.array([*trie.check, *[0] * rest], np.int32)
+        self.score, self.nowhere = np.array([*trie.score, np.nan]), np.int32(len(trie.base))
+        self.score[np.isnan(self.score)] = -np.inf
+        symbols = sorted((ord(symbol), code) for symbol, code in trie.code.items())
+        self.points, self.codes = np.array([p for p, _ in symbols], np.uint32), np.array([c for _, c in symbols], np.int32)
+        depth = {0: 0}
+        while deeper := {int(s): depth[int(self.check[s]) - 1] + 1 for s in np.flatnonzero(self.check) if int(s) not in depth and int(self.check[s]) - 1 in depth}:
+            depth |= deeper
+        self.longest = max(1, *depth.values())
+
+    def coded(self, text: str) -> np.ndarray:
+        """The codes of the normalized text, 0 outside the alphabet."""
+        points = np.frombuffer(self.normalize(text).encode("utf-32-le", "surrogatepass"), np.uint32)
+        if not len(self.points):
+            return np.zeros(len(points), np.int32)
+        at = np.minimum(np.searchsorted(self.points, points), len(self.points) - 1)
+        return np.where(self.points[at] == points, self.codes[at], 0)
+
+    def matched(self, codes: np.ndarray, size: int) -> np.ndarray:
+        """Row ``d`` has the score of the key of ``d + 1`` symbols that begins at each of the first ``size`` positions, or none; a single unknown symbol is a key."""
+        out = np.empty((self.longest, size))
+        ahead, state = np.concatenate([codes, np.zeros(self.longest, np.int32)]), np.zeros(size, np.int32)
+        for d in range(self.longest):
+            slot = self.base[state] + ahead[d : d + size]
+            state = np.where(self.check[slot] == state + 1, slot, self.nowhere)
+            out[d] = self.score[state]
+        out[0, np.isneginf(out[0])] = self.unknown
+        return out
+
+    def _on(self, codes: np.ndarray, begin: int, held: list[tuple[float, int]]) -> int:
+        """The count of a text of which ``held`` are the last (score, count) up to position ``begin``."""
+        for start in range(begin, len(codes), self.STRETCH):
+            low = max(0, start - self.longest + 1)
+            stop = min(start + self.STRETCH, len(codes))
+            scores = self.matched(codes[low : stop + self.longest], stop - low).T.tolist()
+            for end in range(start + 1, stop + 1):
+                best, count = -np.inf, 0
+                for size in range(1, min(len(held), self.longest) + 1):
+                    before, n = held[-size]
+                    total = before + scores[end - size - low][size - 1]
+                    if total > best or (total == best and n + 1 < count):
+                        best, count = total, n + 1
+                held.append((best, count))
+                if len(held) > self.longest:
+                    del held[0]
+        return held[-1][1]
+
+    def _together(self, texts: list[np.ndarray]) -> list[int]:
+        """The counts of texts that come longest first."""
+        lengths = np.array([len(t) for t in texts])
+        apart = np.zeros(1, np.int32)  # a code that no key goes over
+        starts = np.cumsum(lengths + 1) - lengths - 1
+        flat = np.concatenate([part for t in texts for part in (t, apart)])
+        scores, ring = self.matched(flat, len(flat)), self.longest + 1
+        best, counts = np.full((ring, len(texts)), -np.inf), np.zeros((ring, len(texts)), np.int64)
+        best[0] = 0
+        out = np.zeros(len(texts), np.int64)
+        active = len(texts) - np.searchsorted(lengths[::-1], np.arange(1, lengths[0] + 1))
+        for end in range(1, lengths[0] + 1):
+            m = active[end - 1]
+            if m < self.NARROW:
+                for k in range(m):
+                    held = [(float(best[p % ring, k]), int(counts[p % ring, k])) for p in range(max(0, end - self.longest), end)]
+                    out[k] = self._on(texts[k], end - 1, held)
+                break
+            top, n = np.full(m, -np.inf), np.zeros(m, np.int64)
+            for size in range(1, min(self.longest, end) + 1):
+                total = best[(end - size) % ring, :m] + scores[size - 1].take(starts[:m] + (end - size))
+                pieces = counts[(end - size) % ring, :m] + 1
+                better = (total > top) | ((total == top) & (pieces < n))
+                top, n = np.where(better, total, top), np.where(better, pieces, n)
+            best[end % ring, :m], counts[end % ring, :m] = top, n
+            out[:m] = n
+        return out.tolist()
+
+    def count(self, texts: list[str | None]) -> list[int | None]:
+        """Null for null, 0 for an empty text."""
+        out: list[int | None] = [None if t is None else 0 for t in texts]
+        order = sorted((k for k, t in enumerate(texts) if t), key=lambda k: -len(texts[k]))
+        own: list[int] = []
+        coded: list[np.ndarray] = []
+
+        def finish() -> None:
+            known = sorted(zip(coded, own, strict=True), key=lambda x: -len(x[0]))  # normalizing may change lengths
+            if known and len(known[0][0]):
+                for (_, k), n in zip(known, self._together([c for c, _ in known]), strict=True):
+                    out[k] = n
+            own.clear()
+            coded.clear()
+
+        size = 0
+        for k in order:
+            codes = self.coded(texts[k])
+            if len(codes) > self.SLICE:
+                out[k] = self._on(codes, 0, [(0.0, 0)])
+                continue
+            if size + len(codes) > self.SLICE:
+                finish()
+                size = 0
+            own.append(k)
+            coded.append(codes)
+            size += len(codes)
+        finish()
+        return out
+
+
 class RunCounter:
     """Counts for texts whose normalized form is a run of one symbol; the run is given by its length.
 

@@ -73,6 +73,26 @@ def test_runs_of_any_length(pieces):
     assert len(runs.first) <= runs.REMEMBERED + 1 and runs.count(np.zeros(0, np.int64)).size == 0
 
 
+@given(st.lists(st.text("abcxé😀", max_size=40), max_size=60))
+@settings(max_examples=60, deadline=None)
+def test_texts_in_step(texts):
+    counter = unigram.UnigramCounter(PIECES)
+    batch = unigram.BatchCounter(counter)
+    want = [counter.count(t) for t in texts]
+    assert batch.longest == 3 and batch.count([*texts, None]) == [*want, None]
+    batch.NARROW, batch.SLICE, batch.STRETCH = 2, 50, 7
+    assert batch.count(texts) == want
+
+
+def test_the_estimate_passes_over_every_text():
+    seen = []
+    counter = unigram.estimate_counter()
+    counter.normalize = lambda text: seen.append(text) or "x" * len(text)
+    batch = unigram.BatchCounter(counter)
+    texts = ["é" * n for n in (0, 1, 4, 5, 30_001)] * 30
+    assert batch.count(texts) == [-(-len(t) // 4) for t in texts] and sorted(seen) == sorted(t for t in texts if t)
+
+
 def test_a_run_of_a_billion():
     runs = unigram.RunCounter(unigram.estimate_counter(), unigram.ESTIMATE_SYMBOL)
     assert runs.period and runs.count(np.array([10**9 + 1, 10**9])).tolist() == [250_000_001, 250_000_000]
