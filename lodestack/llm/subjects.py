@@ -32,7 +32,8 @@ SHARE, NEAR = 0.25, 0.2
 ROUNDS, SURE, LEAD, SEED_WEIGHT = 2, 0.6, 0.2, 0.5
 NO_SUBJECT = "none"
 LEAST_WORDS = 3
-SLICE_TOKENS = 150_000
+#: The vectors of a slice (4 MB) stay in the cache.
+SLICE_TOKENS = 16_000
 
 #: Frequent short words that tell the language of a text.
 FUNCTION_WORDS = {

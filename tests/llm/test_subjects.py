@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from lodestack.llm import subjects
 
@@ -54,3 +55,20 @@ def test_decomposition_spans_the_leading_directions(spark):
     assert np.linalg.norm(leading @ basis, axis=1).min() > 0.98
     counts = np.bincount(np.concatenate([np.unique(t) for t in texts]), minlength=subjects.PLACES)
     assert weights.n == 150 and np.array_equal(weights.places, np.flatnonzero((counts >= 2) & (counts < 150) & (np.arange(subjects.PLACES) > 0)))
+
+
+def test_slices_stay_in_the_cache_and_change_nothing(monkeypatch):
+    assert subjects.SLICE_TOKENS * subjects.DIMENSIONS * 4 <= 4 << 20
+    rng = random.Random(3)
+    texts = [subjects.encode(document(rng, [list(TERMS)[d % 3]])) for d in range(40)]
+    counts = np.bincount(np.concatenate([np.unique(t) for t in texts]), minlength=subjects.PLACES)
+    counts[0] = len(texts)
+    weights = subjects.Weights(dict(enumerate(counts.tolist())))
+    basis = np.linalg.qr(np.random.default_rng(0).standard_normal((len(weights.places), 8)))[0].astype(np.float32)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array([t.tobytes() for t in texts], pa.binary()), pa.array([0] * 40, pa.int32())], names=["doc_id", "ids", "language"])
+    sums = []
+    for size in (1, 300, 10**6):
+        monkeypatch.setattr(subjects, "SLICE_TOKENS", size)
+        out = next(subjects._step(weights, basis)(iter([batch])))
+        sums.append(np.stack([np.frombuffer(v, np.float32) for v in out.column("vector").to_pylist()]))
+    assert np.allclose(sums[0], sums[1], atol=1e-4) and np.allclose(sums[0], sums[2], atol=1e-4)
