@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestack.common import table, with_language
-from lodestack.operators import extract, graph, project, ranking
+from lodestack.operators import extract, graph, project, ranking, repository
 from lodestack.plans.file_queries import SQL_FILES, files, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -218,7 +218,8 @@ _CHAIN = "parts as (select distinct l_suppkey, l_partkey as k from lineitem), ch
 
 def _chain(spark: SparkSession, sf_dir: str, content: str, path: str) -> DataFrame:
     """One file for each part of a supplier, which knows the next part, ``n``."""
-    rows = _parts(spark, sf_dir).withColumn("n", F.lead("k").over(Window.partitionBy("l_suppkey").orderBy("k")))
+    parts = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_partkey").alias("k")).repartition("l_suppkey").distinct()  # shuffled once for both
+    rows = parts.withColumn("n", F.lead("k").over(Window.partitionBy("l_suppkey").orderBy("k")))
     return rows.select(F.concat_ws("/", "l_suppkey", "k").alias("entry_id"), "l_suppkey", F.expr(path).alias("path"), F.expr(content).alias("content"))
 
 
@@ -234,13 +235,12 @@ def _modules(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def j7_again(spark, sf_dir):
     """Every supplier is a repository, every part of it a module that imports the next one's function."""
-    own = _modules(spark, sf_dir)
-    return extract.PythonFacts(own).resolved_calls(own, "l_suppkey").join(own.select("entry_id", "l_suppkey"), "entry_id").select("l_suppkey", "caller", "callee", "confidence", "callee_qualified_name", "target_path")
+    return repository.resolved_calls(_modules(spark, sf_dir), "l_suppkey", ("l_suppkey", "caller", "callee", "confidence", "callee_qualified_name", "target_path"))
 
 
 @query("ref_a15_confidence_read_again", f"with {_CHAIN} select case when n is null then 'unresolved' else 'imported_local' end as confidence, count(*) as n_calls from chain group by 1 having confidence = 'imported_local' union all select 'unresolved', count(*) + count(*) filter (n is null) from chain union all select 'external', count(*) from chain")
 def a15_again(spark, sf_dir):
-    return j7_again(spark, sf_dir).groupBy("confidence").agg(F.count("*").alias("n_calls"))
+    return repository.resolved_calls(_modules(spark, sf_dir), "l_suppkey", ("confidence",)).groupBy("confidence").agg(F.count("*").alias("n_calls"))
 
 
 @query("ref_p15_classes_read_again", f"with {_CHAIN} select 'internal' as call_class, count(n) as n_calls from chain union all select 'unresolved', count(*) + count(*) filter (n is null) from chain union all select 'external', count(*) from chain")
