@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lodestack.common import cut, suffix
 from lodestack.functions import paths
+from lodestack.operators import repository
+from lodestack.operators.extract import script_paths
 from lodestack.operators.graph import centrality
 
 # Points.
@@ -24,16 +26,23 @@ def bounded(n: Column, weight: int, most: int) -> Column:
 
 
 def entrypoint_score(path: Column) -> Column:
+    return _entrypoint(F.lower(paths.stem(path)), suffix(path))
+
+
+def _entrypoint(stem: Column, kind: Column) -> Column:
     out = F.lit(0)
-    for stem, points in ENTRYPOINTS.items():
-        out = F.when(F.lower(paths.stem(path)) == stem, points).otherwise(out)
-    return F.when(suffix(path) == "py", out).otherwise(0)
+    for known, points in ENTRYPOINTS.items():
+        out = F.when(stem == known, points).otherwise(out)
+    return F.when(kind == "py", out).otherwise(0)
 
 
 def documentation_score(path: Column) -> Column:
     """The first rule that matches; only for text formats and bare standard names."""
-    low, name, stem = F.lower(path), F.lower(paths.name(path)), F.lower(paths.stem(path))
-    eligible = F.coalesce(suffix(path), F.lit("")).isin("md", "markdown", "rst", "txt") | name.isin("readme", "license", "changelog", "contributing")
+    return _documentation(F.lower(path), F.lower(paths.name(path)), F.lower(paths.stem(path)), suffix(path))
+
+
+def _documentation(low: Column, name: Column, stem: Column, kind: Column) -> Column:
+    eligible = F.coalesce(kind, F.lit("")).isin("md", "markdown", "rst", "txt") | name.isin("readme", "license", "changelog", "contributing")
     score = (
         F.when(stem.isin("license", "licence"), 35)
         .when(name.startswith("readme"), 90)
@@ -50,7 +59,10 @@ def documentation_score(path: Column) -> Column:
 
 
 def structure_score(path: Column, content: Column) -> Column:
-    name = F.lower(paths.name(path))
+    return _structure(F.lower(paths.name(path)), content)
+
+
+def _structure(name: Column, content: Column) -> Column:
     out = F.lit(0)
     for known, points in STRUCTURE.items():
         out = F.when(name == known, points).otherwise(out)
@@ -123,12 +135,19 @@ def rank(files: DataFrame, import_edges: DataFrame, call_edges: DataFrame, scope
         return centrality(inside, "s", "t", *points).select("node", *[F.col(c).alias(f"{prefix}_{c}") for c in ("n_in", "n_out", "score")])
 
     joined = base.join(neighbours(import_edges, IMPORT_POINTS, "i"), "node", "left").join(neighbours(call_edges, CALL_POINTS, "c"), "node", "left")
+    return _placed(joined, scope, scripts)
+
+
+def _placed(joined: DataFrame, scope: str, scripts: DataFrame | None) -> DataFrame:
+    """Files with the numbers and points of their neighbours, scored and ranked."""
     target = F.lit(0)
     if scripts is not None:
         joined = joined.join(scripts.select(scope, "path", F.lit(SCRIPT_TARGET).alias("script")).distinct(), [scope, "path"], "left")
         target = F.coalesce("script", F.lit(0))
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("i_n_in", "i_n_out", "i_score", "c_n_in", "c_n_out", "c_score")}
-    entry, docs, structure = target + entrypoint_score(F.col("path")), documentation_score(F.col("path")), F.col("structure")
+    by_path = {"entry": entrypoint_score, "docs": documentation_score}
+    entry, docs = (F.col(c) if c in joined.columns else score(F.col("path")) for c, score in by_path.items())
+    entry, structure = target + entry, F.col("structure")
     score = entry + zero["i_score"] + zero["c_score"] + docs + structure
     scored = joined.select(scope, "path", score.cast("long").alias("score"), reasons(entry, zero["i_n_in"], zero["i_n_out"], zero["c_n_in"], zero["c_n_out"], docs, structure).alias("reasons")).where("score > 0 and reasons <> ''")
     return scored.withColumn("place", F.row_number().over(Window.partitionBy(scope).orderBy(F.desc("score"), paths.depth(F.col("path")), "path")))
@@ -136,10 +155,18 @@ def rank(files: DataFrame, import_edges: DataFrame, call_edges: DataFrame, scope
 
 def rank_repository(facts, files: DataFrame, scope: str, scripts: DataFrame | None = None) -> DataFrame:
     """``rank`` over the edges that ``facts`` (see ``extract.PythonFacts``) gives for ``files``, and console scripts (scope, target)."""
-    from lodestack.operators.extract import script_paths
-
     paths_of = files.select(facts.key, F.col("path").alias("source"))
     found = cut(facts.resolved_imports(files, scope))
     imports = found.where("resolution = 'local'").select(scope, F.col("source_path").alias("source"), F.col("target_path").alias("target")).distinct()
     calls = facts.resolved_calls(files, scope, found).where("target_path is not null").join(files.select(facts.key, scope), facts.key).join(paths_of, facts.key).select(scope, "source", F.col("target_path").alias("target")).distinct()
     return rank(files, imports, calls, scope, script_paths(scripts, files, scope) if scripts is not None else None)
+
+
+def rank_repositories(files: DataFrame, scope: str, scripts: DataFrame | None = None) -> DataFrame:
+    """``rank_repository`` of Python files (scope, path, content), one row a path, all of one repository read by one task (see ``repository``)."""
+    # A name's parts are columns before their points are, and the points before the counts: a filter above would have Spark take them apart once for each rule.
+    named = files.select(scope, "path", "content", F.lower("path").alias("low"), F.lower(paths.name(F.col("path"))).alias("name"), F.lower(paths.stem(F.col("path"))).alias("stem"), suffix(F.col("path")).alias("kind"))
+    points = {"entry": _entrypoint(F.col("stem"), F.col("kind")), "docs": _documentation(*map(F.col, ("low", "name", "stem", "kind"))), "structure": _structure(F.col("name"), F.col("content"))}
+    counted = repository.neighbours(named.select(scope, "path", "content", *[p.alias(c) for c, p in points.items()]), scope, tuple(points))
+    points = {f"{p}_score": bounded(F.col(f"{p}_n_in"), weights[0][0], weights[0][1]) + bounded(F.col(f"{p}_n_out"), weights[1][0], weights[1][1]) for p, weights in (("i", IMPORT_POINTS), ("c", CALL_POINTS))}
+    return _placed(counted.withColumns(points), scope, script_paths(scripts, files, scope) if scripts is not None else None)

@@ -264,8 +264,7 @@ def g6_again(spark, sf_dir):
     select l_suppkey, path, score, reasons, row_number() over (partition by l_suppkey order by score desc, path)::int as place from p where score > 0""",
 )
 def j10_again(spark, sf_dir):
-    own = _modules(spark, sf_dir)
-    return ranking.rank_repository(extract.PythonFacts(own), own, "l_suppkey")
+    return ranking.rank_repositories(_modules(spark, sf_dir), "l_suppkey")
 
 
 @query(

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lodestack.operators import extract, repository
+from lodestack.operators import extract, ranking, repository
 from lodestack.plans import graph_queries
 
 SOURCES = {
@@ -38,13 +38,15 @@ def held(request, monkeypatch):
     return request.param
 
 
-def test_calls_are_those_of_joined_facts(spark):
+def test_calls_and_ranks_are_those_of_joined_facts(spark):
     files = odd(spark)
     names = ["r", *repository.CALL]
     joined = extract.PythonFacts(files).resolved_calls(files, "r").join(files.select("entry_id", "r", F.col("path").alias("path")), "entry_id").select(*names)
     got = sorted(map(repr, repository.resolved_calls(files, "r").select(*names).collect()))
     assert got == sorted(map(repr, joined.collect())) and len(got) > 50
     assert {"local", "local_method", "ambiguous", "imported_local", "external", "unresolved", "unresolved_method"} <= {r.confidence for r in joined.collect()}
+    want = sorted(map(repr, ranking.rank_repository(extract.PythonFacts(files), files, "r").collect()))
+    assert sorted(map(repr, ranking.rank_repositories(files, "r").collect())) == want and len(want) > 15
 
 
 def test_waiting_files_are_read_again(held):
@@ -77,7 +79,7 @@ def test_texts_of_one_shape():
     assert len(reader.recent) == repository._RECENT and any(reader.shapes.values())
 
 
-@pytest.mark.parametrize("name", ["ref_a15_confidence_read_again", "ref_j7_calls_read_again"])
+@pytest.mark.parametrize("name", ["ref_a15_confidence_read_again", "ref_j7_calls_read_again", "ref_j10_ranked_read_again"])
 def test_files_of_a_repository_are_shuffled_once(spark, tmp_path, name):
     """Facts are neither stored nor joined: pairs are shuffled once by supplier, and then only the result."""
     rows = [(s, p) for s in range(7) for p in range(s * 3)] * 2 + [(9, 9)]
